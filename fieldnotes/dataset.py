@@ -80,7 +80,7 @@ class Dataset:
         wanted = [self.field(n) for n in names] if names is not None else self.fields
         missing = [f for f in wanted if f.position not in self._readings]
         if missing:
-            self._readings.update(infer.read_fields(self.cells, missing))
+            self._readings.update(infer.read_fields(self.cells, missing, self.row_count))
         return {f.position: self._readings[f.position] for f in wanted}
 
     def typed(self, name: str) -> Column:
@@ -92,42 +92,38 @@ class Dataset:
         """Kind, counts and flags of the given columns (all by default)."""
         wanted = [self.field(n) for n in names] if names is not None else self.fields
         readings = self.readings([f.name for f in wanted])
-        new = [f for f in wanted if f.position not in self._facts]
+        self._collect_numbers(wanted, readings)
+        new = [f for f in wanted if f.position not in self._distinct]
         if new:
-            facts = profile.typed_facts(self.cells, new, readings)
-            self._facts.update({f.position: facts.get(f.position, {"valid": 0}) for f in new})
-        countable = [
-            f for f in wanted
-            if f.position not in self._distinct and self._facts[f.position]["valid"]
-            and readings[f.position].kind != UNSUPPORTED
-        ]
-        if countable:
-            self._distinct.update(profile.distinct_facts(self.cells, countable, readings))
+            found = profile.distinct_facts(self.cells, new, readings)
+            self._distinct.update({f.position: found.get(f.position, {}) for f in new})
         result = []
         for f in wanted:
-            facts = {**self._facts[f.position], **self._distinct.get(f.position, {})}
             reading = readings[f.position]
-            unique = facts.get("unique", 0) if reading.kind != UNSUPPORTED else None
+            facts = {**self._facts.get(f.position, {}), **self._distinct[f.position]}
+            unique = None if reading.kind == UNSUPPORTED else facts.get("unique", 0)
             result.append(profile.settle(
-                Profile(f, reading, reading.kind, self.row_count, facts["valid"], unique, facts=facts)
+                Profile(f, reading, reading.kind, self.row_count, facts.get("valid", 0), unique, facts=facts)
             ))
         return result
 
+    def _collect_numbers(self, wanted: list[Field], readings: dict[int, Reading]) -> None:
+        new = [f for f in wanted if f.position not in self._facts]
+        if new:
+            found = profile.number_facts(self.cells, new, readings)
+            self._facts.update({f.position: found.get(f.position, {}) for f in new})
+
     def profile(self, name: str) -> Profile:
         return self.profiles([name])[0]
 
-    def is_numeric(self, name: str) -> bool:
-        f = self.field(name)
-        return self.readings([name])[f.position].kind == NUMERIC and self.valid_count(name) > 0
-
-    def valid_count(self, name: str) -> int:
-        """Valid values of a column, without counting its distinct values."""
+    def valid_numbers(self, name: str) -> int:
+        """Valid values of a numeric column, without counting its distinct values; 0 for other kinds."""
         f = self.field(name)
         readings = self.readings([name])
-        if f.position not in self._facts:
-            facts = profile.typed_facts(self.cells, [f], readings)
-            self._facts[f.position] = facts.get(f.position, {"valid": 0})
-        return self._facts[f.position]["valid"]
+        if readings[f.position].kind != NUMERIC:
+            return 0
+        self._collect_numbers([f], readings)
+        return self._facts[f.position].get("valid", 0)
 
     # ------------------------------------------------------------- results
     def codebook(self) -> DataFrame:

@@ -23,9 +23,6 @@ MONTHS = (
 # How a column writes its dates.
 ISO, MIXED = "iso", "mixed"
 
-# No date that starts with a letter is longer than this.
-_LONGEST_NAMED = 19
-
 # Every shape is rewritten to ``=year-month-dayThour:minute:secondZoffset`` with
 # gaps for what the text leaves out. Rewriting keeps one cell one expression,
 # where taking the pieces apart would repeat the text once per piece.
@@ -51,9 +48,17 @@ _FILL_RULES = (
 )
 
 
+# Every text that the rules rewrite starts with a digit or is a month with day and year.
+_DIGIT_FIRST = r"^(?:\d{4}(?:$|[-/. \d])|\d{1,2}[-/.]\d{1,2}[-/.]\d{2}|\d{1,2} [A-Za-z]{3,9}\.? \d{4}$)"
+_NAME_FIRST = r"^[A-Za-z]{3,9}\.? \d{1,2},? \d{4}$"
+_LONGEST_NAME_FIRST = len("September. 30, 2024")
+
+
 def could_be_date(text: Column) -> Column:
-    """A cheap test that every readable date passes and most prose fails."""
-    return text.rlike("^[0-9]") | (F.length(text) <= _LONGEST_NAMED)
+    """A cheap test that every readable date passes; most text leaves at its first or last character."""
+    digit_first = F.ascii(text).between(ord("0"), ord("9"))
+    name_first = (F.length(text) <= _LONGEST_NAME_FIRST) & F.right(text, F.lit(1)).between("0", "9")
+    return (digit_first & text.rlike(_DIGIT_FIRST)) | (~digit_first & name_first & text.rlike(_NAME_FIRST))
 
 
 def _rewrite(text: Column, *rules: tuple[str, str]) -> Column:

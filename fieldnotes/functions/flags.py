@@ -12,13 +12,16 @@ FALSE_WORDS = ("false", "no", "n", "f")
 READER_WORDS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
+_LONGEST_WORD = max(map(len, TRUE_WORDS + FALSE_WORDS))
+_FIRST_LETTERS = sorted({ord(case(word[0])) for word in TRUE_WORDS + FALSE_WORDS for case in (str.lower, str.upper)})
+
+
 def word_bit(text: Column) -> Column:
     """A distinct bit for each yes/no word, so that ``bit_or`` collects the set of words."""
-    word = F.lower(text)
-    bits = F.lit(None).cast("int")
-    for k, known in enumerate(TRUE_WORDS + FALSE_WORDS):
-        bits = F.when(word == known, F.lit(1 << k)).otherwise(bits)
-    return F.when(F.length(text) <= 5, bits)
+    words = F.array(*[F.lit(word) for word in TRUE_WORDS + FALSE_WORDS])
+    could_be_word = (F.length(text) <= _LONGEST_WORD) & F.ascii(text).isin(_FIRST_LETTERS)
+    place = F.when(could_be_word, F.array_position(words, F.lower(text)))
+    return F.call_function("shiftleft", F.lit(1), F.nullif(place, F.lit(0)).cast("int"))
 
 
 def is_true_word(text: Column) -> Column:

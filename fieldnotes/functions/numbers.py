@@ -15,22 +15,35 @@ LEADING_ZERO_CODE = r"^0\d+$"
 WHOLE_NUMBER = r"^[+-]?[0-9]+$"
 PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_WORD = r"^[+-]?(?i:inf|infinity)$"
+_LONGEST_INFINITY = len("+infinity")
 # A text with any other character can't be a number under any style, so the
 # costlier patterns are not tried on it.
 NUMBER_CHARACTERS = rf"^[0-9eE+\-.,()%{CURRENCY}\s]+$"
 
+# First characters that a text of those patterns can have.
+_FIRST_CHARACTERS = [ord(c) for c in "0123456789eE+-.,()%" + CURRENCY]
+
 # How a column writes its numbers.
 PLAIN, BARE, EURO, THOUSANDS, DECIMAL = "plain", "bare", "euro", "thousands", "decimal"
 
 
+def could_be_number(text: Column) -> Column:
+    """A cheap test that every readable number passes; most text leaves at its first character."""
+    return (F.ascii(text).isin(_FIRST_CHARACTERS) & text.rlike(NUMBER_CHARACTERS)) | is_infinity(text)
+
+
+def is_plain_number(text: Column) -> Column:
+    """True for a plain finite number such as ``-1.5e3``."""
+    return text.rlike(PLAIN_NUMBER) & (F.abs(text.try_cast("double")) < F.lit(float("inf")))
+
+
 def plain_number(text: Column) -> Column:
-    """The finite value of a plain number such as ``-1.5e3``; NULL for anything else."""
-    parsed = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    """The value of a plain finite number; NULL for anything else."""
+    return F.when(is_plain_number(text), text.try_cast("double"))
 
 
 def is_infinity(text: Column) -> Column:
-    return text.rlike(INFINITY_WORD)
+    return (F.length(text) <= _LONGEST_INFINITY) & text.rlike(INFINITY_WORD)
 
 
 def infinity(text: Column) -> Column:
@@ -49,6 +62,10 @@ def styled_number(text: Column, style: str) -> Column:
         text = F.replace(text, F.lit(","), F.lit(""))
     elif style == DECIMAL:
         text = F.replace(text, F.lit(","), F.lit("."))
-    bare = F.btrim(F.regexp_replace(text, rf"(?U)[\s{CURRENCY}%]", ""), F.lit("()"))
-    number = plain_number(bare)
-    return F.when(text.rlike(r"^\(.*\)$"), -number).otherwise(number)
+    number = plain_number(strip_decoration(text))
+    return F.when(text.rlike(r"^\(.*\)$"), F.lit(-1.0)).otherwise(F.lit(1.0)) * number
+
+
+def strip_decoration(text: Column) -> Column:
+    """Drop white space, currency and percent signs, and brackets around the whole."""
+    return F.btrim(F.regexp_replace(text, rf"(?U)[\s{CURRENCY}%]", ""), F.lit("()"))

@@ -25,9 +25,15 @@ CELL_SEPARATOR = "\x1f"
 
 
 def trimmed(value: Column) -> Column:
-    """Strip white space from both ends; blank becomes NULL."""
-    bare = F.btrim(value, F.lit(WHITESPACE))
-    return F.when(bare != "", bare)
+    """Strip white space from both ends; blank becomes NULL.
+
+    Stripping a set of characters is costly, so only cells with white space at an
+    end go through it.
+    """
+    codes = [ord(c) for c in WHITESPACE]
+    loose = F.ascii(value).isin(codes) | F.ascii(F.right(value, F.lit(1))).isin(codes)
+    bare = F.when(loose, F.btrim(value, F.lit(WHITESPACE))).otherwise(value)
+    return F.nullif(bare, F.lit(""))
 
 
 def trimmed_cell(value: Column) -> Column:
@@ -35,6 +41,11 @@ def trimmed_cell(value: Column) -> Column:
     return F.when(~value.isin(*MISSING_TOKENS), trimmed(value))
 
 
+def _plain_word(java: Column) -> Column:
+    """``0.0`` and the words for infinity and not-a-number in their short form."""
+    return F.when(java.contains("Infinity"), F.replace(java, F.lit("Infinity"), F.lit("inf"))).otherwise(java)
+
+
 def double_text(value: Column) -> Column:
     """Shortest decimal text of a double: ``10000000.0``, ``1e+16``, ``1e-05``.
 
@@ -42,6 +53,7 @@ def double_text(value: Column) -> Column:
     laid out again around the decimal point.
     """
     java = value.cast("string")
+    size = F.abs(value)
     sign = F.when(java.startswith("-"), "-").otherwise("")
     mantissa = F.regexp_replace(F.split_part(java, F.lit("E"), F.lit(1)), "^-", "")
     exponent = F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")
@@ -56,7 +68,8 @@ def double_text(value: Column) -> Column:
         F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), "0"),
     )
     return (
-        F.when(exponent.isNull(), java)
+        F.when((size >= 1e-3) & (size < 1e7), java)
+        .when(exponent.isNull(), _plain_word(java))
         .when((exponent >= 0) & (exponent < 16), shifted_left)
         .when((exponent < 0) & (exponent >= -4), shifted_right)
         .otherwise(power)

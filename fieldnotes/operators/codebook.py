@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
-
 from pyspark.sql import DataFrame
 
 from .columns import BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, TEXT, Profile
@@ -16,10 +14,6 @@ CODEBOOK_SCHEMA = (
 )
 
 
-def moment(micros: int | None) -> datetime | None:
-    return None if micros is None else datetime(1970, 1, 1) + timedelta(microseconds=micros)
-
-
 def _summary(p: Profile) -> dict:
     facts, valid = p.facts, p.valid
     if not valid:
@@ -31,7 +25,7 @@ def _summary(p: Profile) -> dict:
     if p.kind == BOOLEAN:
         return {"true_pct": facts["sum"] / valid * 100}
     if p.kind == DATETIME:
-        return {"first": moment(facts["first"]), "last": moment(facts["last"])}
+        return {"first": facts["first"], "last": facts["last"]}
     return {}
 
 

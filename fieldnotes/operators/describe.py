@@ -9,7 +9,7 @@ from ..functions.dates import epoch_micros, from_epoch_micros
 from ..functions.rounding import rounded
 from .columns import BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, TEXT, Profile
 from .profile import exact_sum
-from .quantiles import DIRECT_LIMIT, exact_quantiles
+from .quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 SECONDS_PER_DAY = 86_400
@@ -30,13 +30,6 @@ def quartiles(ds, p: Profile) -> list:
     return known[p.field.position]
 
 
-def _quartile_columns(ds, p: Profile) -> Column:
-    """Quartiles as part of a larger aggregate where one task can hold the values."""
-    if p.valid <= DIRECT_LIMIT and p.field.position not in ds.known_quartiles:
-        return F.percentile(F.col("v"), QUARTILES)
-    return F.array(*[F.lit(float(q)) for q in quartiles(ds, p)])
-
-
 def _numeric(ds, p: Profile) -> DataFrame:
     n, v = p.valid, F.col("v")
     facts = ds.cells.select(ordered_value(ds, p).alias("v")).agg(
@@ -45,9 +38,8 @@ def _numeric(ds, p: Profile) -> DataFrame:
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.skewness(v).alias("skewness"),
-        _quartile_columns(ds, p).alias("q"),
     )
-    q1, median, q3 = (F.get("q", F.lit(k)) for k in range(3))
+    q1, median, q3 = (F.lit(float(q)) for q in quartiles(ds, p))
     # From the population figure to the one corrected for sample size; a constant has none.
     correction = (n * (n - 1)) ** 0.5 / (n - 2) if n >= 3 else None
     skewness = F.coalesce("skewness", F.lit(0.0)) * F.lit(correction).cast("double")
@@ -86,13 +78,13 @@ def _boolean(ds, p: Profile) -> DataFrame:
 
 def _datetime(ds, p: Profile) -> DataFrame:
     facts = ds.cells.select(ordered_value(ds, p).alias("v")).agg(
-        F.min("v").alias("first"), F.max("v").alias("last"), _quartile_columns(ds, p).alias("q")
+        F.min("v").alias("first"), F.max("v").alias("last")
     )
     days = (F.col("last") - F.col("first")) / (SECONDS_PER_DAY * 1_000_000)
     return facts.select(
         from_epoch_micros(F.col("first")).alias("min"),
         from_epoch_micros(F.col("last")).alias("max"),
-        from_epoch_micros(F.get("q", F.lit(1)).cast("bigint")).alias("median"),
+        from_epoch_micros(F.lit(int(quartiles(ds, p)[1]))).alias("median"),
         rounded(days, 2).alias("span_days"),
     )
 

@@ -33,7 +33,7 @@ def round_edges(low: float, high: float, target: int) -> list[float]:
     step = next((m * power for m in ROUND_STEPS if raw <= m * power), 10 * power)
     first = math.floor(low / step) * step
     last = max(math.ceil(high / step) * step, first + step)
-    return [round(first + k * step, 10) for k in range(int(round((last - first) / step)) + 1)]
+    return [round(float(first + k * step), 10) for k in range(int(round((last - first) / step)) + 1)]
 
 
 def number_label(value: float) -> str:

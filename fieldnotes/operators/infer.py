@@ -1,6 +1,6 @@
 """Type inference: what a text column means, decided from all of its rows.
 
-One aggregate collects a fixed set of counts per text column, the driver picks a
+Aggregates collect a fixed set of counts per text column, the driver picks a
 reading for each column from those counts, and the typed view stays a lazy
 projection.
 """
@@ -23,66 +23,76 @@ DATE_SAMPLE = 300
 def long_form(df: DataFrame, **values: dict[int, Column]) -> DataFrame:
     """One row per cell: ``i`` names the column, the keyword columns hold its value.
 
-    A long table keeps the generated code the same size for any number of
-    columns and reads the source once for all of them.
+    A long table keeps the aggregate the same size for any number of columns and
+    reads the source once for all of them.
     """
     indices = sorted({i for by_column in values.values() for i in by_column})
-    cells = []
+    slots = [F.lit(len(indices))]
     for i in indices:
-        slots = [
-            by_column.get(i, F.lit(None)).cast(_SLOT_TYPES[slot]).alias(slot) for slot, by_column in values.items()
-        ]
-        cells.append(F.struct(F.lit(i).alias("i"), *slots))
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+        slots.append(F.lit(i))
+        slots += [by_column.get(i, F.lit(None)).cast(_SLOT_TYPES[slot]) for slot, by_column in values.items()]
+    return df.select(F.stack(*slots).alias("i", *values))
 
 
-_SLOT_TYPES = {"text": "string", "number": "double", "micros": "bigint", "present": "boolean"}
+_SLOT_TYPES = {"text": "string", "number": "double", "moment": "timestamp_ntz"}
 
 
-def text_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
-    """Counts over all rows of the given text columns, by column position."""
-    cells = long_form(df, text={f.position: f.raw for f in fields})
-    text = F.col("text")
-    # Words and prose leave at the first test; only number-like and short cells go further.
-    cells = cells.select(
-        "i", "text",
-        (text.rlike(numbers.NUMBER_CHARACTERS) | numbers.is_infinity(text)).alias("numberish"),
-        text.rlike(dates.DATE_LIKE).alias("dateish"),
-        F.when(dates.could_be_date(text), text).alias("moment"),
-        text.contains(",").alias("comma"),
-    )
-    numberish, dateish, comma, moment = F.col("numberish"), F.col("dateish"), F.col("comma"), F.col("moment")
-
-    def numeric(condition: Column) -> Column:
-        return F.count_if(F.when(numberish, condition))
-
-    def parsed(style: str) -> Column:
-        return numeric(numbers.styled_number(text, style).isNotNull())
-
-    rows = cells.groupBy("i").agg(
-        F.count("*").alias("rows"),
-        F.count("text").alias("valid"),
-        numeric(text.rlike(numbers.LEADING_ZERO_CODE)).alias("zero_codes"),
-        numeric(numbers.plain_number(text).isNotNull() | numbers.is_infinity(text)).alias("plain"),
-        numeric(text.rlike(numbers.WHOLE_NUMBER) & text.try_cast("bigint").isNotNull()).alias("whole"),
-        F.count_if(text.isin(*flags.READER_WORDS)).alias("reader_flags"),
-        F.count_if(comma).alias("comma"),
+def _cells(df: DataFrame, fields: list[Field]) -> DataFrame:
+    return long_form(df, text={f.position: f.raw for f in fields}).where("text is not null")
+
+
+def _by_column(rows: DataFrame) -> dict[int, dict]:
+    return {row["i"]: row.asDict() for row in rows.collect()}
+
+
+def screen(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
+    """Cheap counts that rule out most readings of most text columns."""
+    text, word = F.col("text"), F.col("word")
+    cells = _cells(df, fields).withColumn("word", flags.word_bit(text))
+    return _by_column(cells.groupBy("i").agg(
+        F.count("*").alias("valid"),
+        F.count_if(numbers.could_be_number(text)).alias("numberish"),
+        F.count_if(dates.could_be_date(text)).alias("datable"),
+        F.count_if(text.contains(",")).alias("comma"),
         F.count_if(text.contains(".")).alias("dot"),
-        F.count_if(comma & text.contains(".")).alias("comma_dot"),
-        numeric(comma & text.rlike(numbers.EURO_STYLE)).alias("euro_shape"),
-        numeric(comma & text.rlike(numbers.THOUSANDS_COMMA)).alias("thousands_shape"),
-        numeric(comma & text.rlike(numbers.DECIMAL_COMMA)).alias("decimal_shape"),
-        parsed(numbers.BARE).alias(numbers.BARE),
-        parsed(numbers.EURO).alias(numbers.EURO),
-        parsed(numbers.THOUSANDS).alias(numbers.THOUSANDS),
-        parsed(numbers.DECIMAL).alias(numbers.DECIMAL),
-        F.count(flags.word_bit(text)).alias("flag_words"),
-        F.bit_count(F.bit_or(flags.word_bit(text))).alias("distinct_flag_words"),
-        F.count_if(dateish).alias("dateish"),
-        F.count(dates.text_timestamp(moment, dates.ISO)).alias(dates.ISO),
-        F.count(dates.text_timestamp(moment, dates.MIXED)).alias(dates.MIXED),
+        F.count("word").alias("flag_words"),
+        F.bit_count(F.bit_or("word")).alias("distinct_flag_words"),
+        F.count_if(F.when(word.isNotNull(), text.isin(*flags.READER_WORDS))).alias("reader_flags"),
+    ))
+
+
+def number_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
+    """Counts that settle whether and how columns write numbers."""
+    text, comma = F.col("text"), F.col("text").contains(",")
+    # A cell with a comma parses when it has the shape that settles its style,
+    # so only cells without one have to be tried, with and without their dots.
+    bare = F.when(~comma, numbers.strip_decoration(text))
+    undotted = F.when(
+        ~comma & text.contains("."), numbers.strip_decoration(F.replace(text, F.lit("."), F.lit("")))
     )
-    return {row["i"]: row.asDict() for row in rows.collect()}
+    cells = _cells(df, fields).select("i", "text", comma.alias("comma"), bare.alias("bare"), undotted.alias("undotted"))
+    comma = F.col("comma")
+    return _by_column(cells.groupBy("i").agg(
+        F.count_if(text.rlike(numbers.LEADING_ZERO_CODE)).alias("zero_codes"),
+        F.count_if(numbers.is_plain_number(text) | numbers.is_infinity(text)).alias("plain"),
+        F.count_if(text.rlike(numbers.WHOLE_NUMBER) & text.try_cast("bigint").isNotNull()).alias("whole"),
+        F.count_if(comma & text.contains(".")).alias("comma_dot"),
+        F.count_if(comma & text.rlike(numbers.EURO_STYLE)).alias("euro_shape"),
+        F.count_if(comma & text.rlike(numbers.THOUSANDS_COMMA)).alias("thousands_shape"),
+        F.count_if(comma & text.rlike(numbers.DECIMAL_COMMA)).alias("decimal_shape"),
+        F.count_if(numbers.is_plain_number(F.col("bare"))).alias("bare"),
+        F.count_if(numbers.is_plain_number(F.coalesce("undotted", "bare"))).alias("euro"),
+    ))
+
+
+def date_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
+    """Counts that settle whether and how columns write dates."""
+    text = F.col("text")
+    return _by_column(_cells(df, fields).where(dates.could_be_date(text)).groupBy("i").agg(
+        F.count_if(text.rlike(dates.DATE_LIKE)).alias("dateish"),
+        F.count(dates.text_timestamp(text, dates.ISO)).alias(dates.ISO),
+        F.count(dates.text_timestamp(text, dates.MIXED)).alias(dates.MIXED),
+    ))
 
 
 def number_style(facts: dict) -> str | None:
@@ -91,17 +101,18 @@ def number_style(facts: dict) -> str | None:
         return None
     if facts["plain"] == facts["valid"]:
         return numbers.PLAIN
-    style = numbers.BARE
+    style, parsed = numbers.BARE, facts["bare"]
     if facts["comma"]:
+        parsed += facts["comma"]
         if facts["euro_shape"] == facts["comma"] and facts["comma_dot"]:
-            style = numbers.EURO
+            style, parsed = numbers.EURO, facts["comma"] + facts["euro"]
         elif facts["thousands_shape"] == facts["comma"]:
             style = numbers.THOUSANDS
         elif facts["decimal_shape"] == facts["comma"] and not facts["dot"]:
             style = numbers.DECIMAL
         else:
             return None
-    return style if facts[style] >= NUMERIC_SHARE * facts["valid"] else None
+    return style if parsed >= NUMERIC_SHARE * facts["valid"] else None
 
 
 def date_share_of_first_values(df: DataFrame, f: Field) -> float:
@@ -114,45 +125,66 @@ def date_share_of_first_values(df: DataFrame, f: Field) -> float:
     return first_seen.agg(F.avg(F.col("text").rlike(dates.DATE_LIKE).cast("int"))).first()[0] or 0.0
 
 
-def cell_type(facts: dict) -> str:
+def date_style(df: DataFrame, f: Field, facts: dict) -> str | None:
+    """How the column writes dates, or None when it holds something else."""
+    valid = facts["valid"]
+    style = next((s for s in (dates.ISO, dates.MIXED) if facts[s] >= DATETIME_SHARE * valid), None)
+    if style is None or not facts["dateish"]:
+        return None
+    if facts["dateish"] < valid and date_share_of_first_values(df, f) < DATETIME_SHARE:
+        return None
+    return style
+
+
+def cell_type(facts: dict, rows: int) -> str:
     """The type a reader of delimited files gives a column by itself."""
-    if facts["zero_codes"]:
-        return ""
-    if facts["plain"] == facts["valid"]:
-        return "bigint" if facts["whole"] == facts["rows"] else "double"
+    if "plain" in facts and not facts["zero_codes"] and facts["plain"] == facts["valid"]:
+        return "bigint" if facts["whole"] == rows else "double"
     return "boolean" if facts["reader_flags"] == facts["valid"] else ""
 
 
-def read_text(df: DataFrame, f: Field, facts: dict | None) -> Reading:
-    """The reading of one text column."""
-    if not facts or not facts["valid"]:
-        return Reading(EMPTY)
-    reading = _choose_reading(df, f, facts)
-    reading.cell_type = cell_type(facts)
-    return reading
+def read_text(df: DataFrame, fields: list[Field], row_count: int) -> dict[int, Reading]:
+    """The readings of text columns, each narrowed down with as few passes as it needs.
 
+    The first pass screens all columns; only columns that are still open go into
+    the passes with the costlier patterns. No pass moves a value.
+    """
+    facts = screen(df, fields)
+    readings = {f.position: Reading(EMPTY) for f in fields if f.position not in facts}
+    open_fields = [f for f in fields if f.position in facts]
+
+    def still_possible(count: str, share: float) -> list[Field]:
+        return [
+            f for f in open_fields
+            if f.position not in readings and facts[f.position][count] >= share * facts[f.position]["valid"]
+        ]
 
-def _choose_reading(df: DataFrame, f: Field, facts: dict) -> Reading:
-    valid = facts["valid"]
-    style = number_style(facts)
-    if style:
-        return Reading(NUMERIC, style)
-    if facts["flag_words"] == valid and facts["distinct_flag_words"] <= 2:
-        return Reading(BOOLEAN)
-    if facts["dateish"]:
-        if facts["dateish"] == valid or date_share_of_first_values(df, f) >= DATETIME_SHARE:
-            if facts[dates.ISO] >= DATETIME_SHARE * valid:
-                return Reading(DATETIME, dates.ISO)
-            if facts["mixed"] >= DATETIME_SHARE * valid:
-                return Reading(DATETIME, dates.MIXED)
-    return Reading(LABEL)
-
-
-def read_fields(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
+    maybe_numbers = still_possible("numberish", NUMERIC_SHARE)
+    if maybe_numbers:
+        for i, found in number_facts(df, maybe_numbers).items():
+            facts[i].update(found)
+            style = number_style(facts[i])
+            if style:
+                readings[i] = Reading(NUMERIC, style)
+    for f in open_fields:
+        fact = facts[f.position]
+        if f.position not in readings and fact["flag_words"] == fact["valid"] and fact["distinct_flag_words"] <= 2:
+            readings[f.position] = Reading(BOOLEAN)
+    maybe_dates = still_possible("datable", DATETIME_SHARE)
+    if maybe_dates:
+        by_position = {f.position: f for f in maybe_dates}
+        for i, found in date_facts(df, maybe_dates).items():
+            style = date_style(df, by_position[i], {**facts[i], **found})
+            if style:
+                readings[i] = Reading(DATETIME, style)
+    for f in open_fields:
+        reading = readings.setdefault(f.position, Reading(LABEL))
+        reading.cell_type = cell_type(facts[f.position], row_count)
+    return readings
+
+
+def read_fields(df: DataFrame, fields: list[Field], row_count: int) -> dict[int, Reading]:
     """The reading of every given field; native types settle without a job."""
     text_fields = [f for f in fields if f.native_kind is None]
-    facts = text_facts(df, text_fields) if text_fields else {}
-    return {
-        f.position: read_text(df, f, facts.get(f.position)) if f.native_kind is None else Reading(f.native_kind)
-        for f in fields
-    }
+    readings = {f.position: Reading(f.native_kind) for f in fields if f.native_kind is not None}
+    return {**readings, **(read_text(df, text_fields, row_count) if text_fields else {})}

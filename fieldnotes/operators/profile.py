@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import epoch_micros
+from .clean import value_counts
 from .columns import (
     BOOLEAN, CATEGORICAL, DATETIME, EMPTY, LABEL, NUMERIC, TEXT, UNSUPPORTED,
     Field, Profile, Reading, typed_value,
@@ -35,40 +35,26 @@ def exact_sum(value: Column) -> Column:
     return F.sum(whole) + F.sum(value - whole)
 
 
-def _slots(fields: list[Field], readings: dict[int, Reading]) -> dict[str, dict[int, Column]]:
-    """Sort typed columns into the value slots of the long form."""
-    slots: dict[str, dict[int, Column]] = {"number": {}, "micros": {}, "text": {}}
-    for f in fields:
-        kind, value = readings[f.position].kind, typed_value(f, readings[f.position])
-        if kind == NUMERIC:
-            slots["number"][f.position] = value
-        elif kind == BOOLEAN:
-            slots["number"][f.position] = value.cast("double")
-        elif kind == DATETIME:
-            slots["micros"][f.position] = epoch_micros(value)
-        elif kind == LABEL:
-            slots["text"][f.position] = value
-    return slots
-
-
-def typed_facts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    """Counts, extremes and moments of typed columns in one scan without moving any value."""
-    slots = _slots(fields, readings)
-    present = {f.position: f.raw.isNotNull() for f in fields if readings[f.position].kind in (LABEL, UNSUPPORTED)}
-    number, micros = F.col("number"), F.col("micros")
-    rows = (
-        long_form(df, number=slots["number"], micros=slots["micros"], present=present)
-        .groupBy("i")
-        .agg(
-            F.count_if(number.isNotNull() | micros.isNotNull() | F.col("present")).alias("valid"),
-            exact_sum(number).alias("sum"),
-            F.stddev_samp(number).alias("std"),
-            F.min(number).alias("min"),
-            F.max(number).alias("max"),
-            F.count_if(number != F.rint(number)).alias("fractions"),
-            F.min(micros).alias("first"),
-            F.max(micros).alias("last"),
-        )
+def _typed(fields: list[Field], readings: dict[int, Reading], *kinds: str) -> dict[int, Column]:
+    """Typed values of the columns of the given kinds."""
+    return {
+        f.position: typed_value(f, readings[f.position]) for f in fields if readings[f.position].kind in kinds
+    }
+
+
+def number_facts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    """Counts, extremes and moments of numbers and booleans in one scan that moves no value."""
+    values = _typed(fields, readings, NUMERIC, BOOLEAN)
+    if not values:
+        return {}
+    number = F.col("number")
+    rows = long_form(df, number=values).groupBy("i").agg(
+        F.count(number).alias("valid"),
+        exact_sum(number).alias("sum"),
+        F.stddev_samp(number).alias("std"),
+        F.min(number).alias("min"),
+        F.max(number).alias("max"),
+        F.count_if(number != F.rint(number)).alias("fractions"),
     )
     return {row["i"]: row.asDict() for row in rows.collect()}
 
@@ -81,38 +67,56 @@ def _short(text: Column) -> Column:
     return F.when(F.octet_length(text) <= SHORT_TEXT_BYTES, text)
 
 
-def distinct_counts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> DataFrame:
+def _counted(df: DataFrame, slot: str, values: dict[int, Column], *keys: Column | str) -> DataFrame:
     """Occurrences ``n`` of every distinct value of every column, exactly, in one shuffle.
 
     A value that fills a third of the rows is combined to one row per task
     before the shuffle.
     """
-    slots = _slots(fields, readings)
-    cells = long_form(df, **slots).where("number is not null or micros is not null or text is not null")
-    return (
-        cells.select("i", "number", "micros", _short(F.col("text")).alias("text"), _digest(F.col("text")).alias("digest"))
-        .groupBy("i", "number", "micros", "text", "digest")
-        .agg(F.count("*").alias("n"))
+    cells = long_form(df, **{slot: values}).where(F.col(slot).isNotNull())
+    return cells.select("i", *keys).groupBy("i", *[c for c in cells.select(*keys).columns]).agg(F.count("*").alias("n"))
+
+
+def _text_counts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> DataFrame:
+    text = F.col("text")
+    return _counted(
+        df, "text", _typed(fields, readings, LABEL), _short(text).alias("text"), _digest(text).alias("digest")
     )
 
 
 def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    """Exact distinct count per column, and mode with its count for labels."""
-    counts = distinct_counts(df, fields, readings)
-    is_long = F.col("digest").isNotNull()
-    best_short = F.min(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("n"), "text")))
-    rows = counts.groupBy("i").agg(
-        F.count("*").alias("unique"),
-        best_short.alias("short"),
-        F.max(F.when(is_long, F.col("n"))).alias("long_n"),
-    )
-    facts = {}
-    by_position = {f.position: f for f in fields}
-    for row in rows.collect():
-        fact = {"unique": row["unique"]}
-        if readings[row["i"]].kind == LABEL:
-            fact.update(_mode(df, by_position[row["i"]], readings, row))
-        facts[row["i"]] = fact
+    """Exact distinct count per column, extremes of times, and mode with its count of labels.
+
+    Each storage type is counted apart, over its own columns of the source.
+    """
+    facts: dict[int, dict] = {}
+    numbers = _typed(fields, readings, NUMERIC, BOOLEAN)
+    if numbers:
+        counts = _counted(df, "number", numbers, "number").groupBy("i").agg(F.count("*").alias("unique"))
+        facts.update({row["i"]: {"unique": row["unique"]} for row in counts.collect()})
+    moments = _typed(fields, readings, DATETIME)
+    if moments:
+        counts = _counted(df, "moment", moments, "moment").groupBy("i").agg(
+            F.count("*").alias("unique"), F.sum("n").alias("valid"),
+            F.min("moment").alias("first"), F.max("moment").alias("last"),
+        )
+        facts.update({row["i"]: row.asDict() for row in counts.collect()})
+    labels = [f for f in fields if readings[f.position].kind == LABEL]
+    if labels:
+        is_long = F.col("digest").isNotNull()
+        best_short = F.min(F.when(~is_long, F.struct((-F.col("n")).alias("n"), "text")))
+        counts = _text_counts(df, labels, readings).groupBy("i").agg(
+            F.count("*").alias("unique"), F.sum("n").alias("valid"),
+            best_short.alias("short"), F.max(F.when(is_long, F.col("n"))).alias("long_n"),
+        )
+        by_position = {f.position: f for f in labels}
+        for row in counts.collect():
+            mode = _mode(df, by_position[row["i"]], readings, row)
+            facts[row["i"]] = {"unique": row["unique"], "valid": row["valid"], **mode}
+    unsupported = [f for f in fields if readings[f.position].kind == UNSUPPORTED]
+    if unsupported:
+        present = value_counts(df, unsupported)
+        facts.update({f.position: {"valid": present[f.physical]} for f in unsupported})
     return facts
 
 
@@ -133,7 +137,7 @@ def _smallest_long_text(df: DataFrame, f: Field, readings: dict[int, Reading], n
     """The first in text order of the long texts that occur ``n`` times."""
     texts = df.select(f.raw.alias("text")).where(F.octet_length("text") > SHORT_TEXT_BYTES)
     if n > 1:
-        tied = distinct_counts(df, [f], readings).where((F.col("n") == n) & F.col("digest").isNotNull()).select("digest")
+        tied = _text_counts(df, [f], readings).where((F.col("n") == n) & F.col("digest").isNotNull()).select("digest")
         texts = texts.withColumn("digest", _digest(F.col("text"))).join(tied, "digest", "left_semi")
     return texts.agg(F.min("text")).first()[0]
 

@@ -1,7 +1,7 @@
 """Exact quantiles of columns of any size.
 
-``percentile`` keeps every distinct value of a group in one task, so it is used
-only below a known bound. Above it the value at a rank is found by narrowing: a
+Sorting the values of a group in one task is fast, but only done below a known
+bound. Above it the value at a rank is found by narrowing: a
 fixed-size sketch proposes two values close to the rank, one counting pass
 settles exactly on which side of them the rank lies, and the search goes on
 between them. Every pass is a scan with a small aggregate; no value is moved.
@@ -13,7 +13,7 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Values (with repeats) that one task may hold to answer a quantile directly.
@@ -73,11 +73,22 @@ def exact_quantiles(df: DataFrame, value: str, counts: dict[Any, int], shares: l
 
 
 def _direct(df: DataFrame, value: str, wanted: dict, shares: list[float], group: str | None) -> dict[Any, list]:
-    quantiles = F.percentile(F.col(value), [float(s) for s in shares]).alias("quantiles")
+    """Sort the values of each group in one task; the caller has checked how many there are."""
+    in_order = F.sort_array(F.collect_list(value)).alias("a")
+    quantiles = F.array(*[_at_share("a", share) for share in shares])
     if group is None:
-        return {None: list(df.agg(quantiles).first()["quantiles"])}
+        return {None: list(df.agg(in_order).select(quantiles).first()[0])}
     kept = df.where(F.col(group).isin(*wanted))
-    return {row[0]: list(row[1]) for row in kept.groupBy(group).agg(quantiles).collect()}
+    return {row[0]: list(row[1]) for row in kept.groupBy(group).agg(in_order).select(group, quantiles).collect()}
+
+
+def _at_share(ordered: str, share: float) -> Column:
+    """Linear interpolation between the two values next to a share of an ordered array."""
+    last = F.size(ordered) - 1
+    place = F.lit(float(share)) * last
+    low = F.floor(place)
+    below, above = F.get(ordered, low), F.get(ordered, F.least(low + 1, last))
+    return below + (above - below) * (place - low)
 
 
 def _solve(df: DataFrame, value: str, searches: list[_Search], group: str | None, limit: int) -> None:
@@ -116,8 +127,8 @@ def _inside(df: DataFrame, value: str, searches: list[_Search], group: str | Non
 
 def _narrow(df: DataFrame, value: str, searches: list[_Search], group: str | None) -> None:
     """Move the bounds of every search closer to its rank; both new bounds are data values."""
-    grid = [k / _GRID for k in range(_GRID + 1)]
-    sketch = F.percentile_approx("v", grid, _SKETCH_ACCURACY)
+    grid = ", ".join(f"{k / _GRID!r}D" for k in range(_GRID + 1))
+    sketch = F.expr(f"percentile_approx(v, array({grid}), {_SKETCH_ACCURACY})")
     by_key = {s.key: s for s in searches}
     proposals = []
     rows = _inside(df, value, searches, group)
@@ -138,7 +149,7 @@ def _narrow(df: DataFrame, value: str, searches: list[_Search], group: str | Non
 
 def _count_around(rows: DataFrame, proposals: list, dtype: str) -> dict[int, Any]:
     """Exact counts below, at, between and at the two proposed values."""
-    def lookup(values: dict) -> F.Column:
+    def lookup(values: dict) -> Column:
         entries = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(dtype))]
         return F.element_at(F.create_map(*entries), F.col("key"))
 

@@ -36,14 +36,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder the cluster names; make one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share that the cluster names; made up only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
-        shared = tempfile.mkdtemp(prefix="fieldnotes-checkpoint-")
-    context.setCheckpointDir(shared)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+    return tempfile.mkdtemp(prefix="fieldnotes-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -100,7 +100,7 @@ def _line_facts(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("path"), "value"
     )
-    bytes_as_text = F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))
+    bytes_as_text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     return lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
