@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .operators import clean, codebook, compare, describe, distribution, infer, profile, report, rows, suggest
-from .operators.columns import NUMERIC, UNSUPPORTED, Field, Profile, Reading, typed_value
+from .operators.columns import NUMERIC, UNSUPPORTED, Field, Profile, Reading, is_parsed, typed_value
+from .session import shared_folder
 
 
 class Dataset:
@@ -74,6 +78,20 @@ class Dataset:
             return self.cells.where(clean.has_value(self.fields))
         return self.cells
 
+    def stage(self) -> "Dataset":
+        """Store the cleaned cells once as Parquet in the shared folder and go on from there.
+
+        Every question then reads only its own columns, where a delimited file
+        would be parsed whole for each pass. Rows are stored with their place, as
+        files of a folder are not read back in order.
+        """
+        path = f"{shared_folder(self.spark).rstrip('/')}/fieldnotes-{uuid.uuid4().hex}"
+        filled = self.cells.where(clean.has_value(self.fields))
+        clean.with_row_id(filled.select(*[f.raw for f in self.fields])).write.parquet(path)
+        self.cells = self.spark.read.parquet(path)
+        self._row_count, self._has_blank_rows = self.cells.count(), False
+        return self
+
     # --------------------------------------------------------------- facts
     def readings(self, names: list[str] | None = None) -> dict[int, Reading]:
         """How each column is read; text columns cost one shared scan the first time."""
@@ -88,6 +106,19 @@ class Dataset:
         f = self.field(name)
         return typed_value(f, self.readings([name])[f.position])
 
+    def values(self, **columns: str) -> DataFrame:
+        """Typed values of columns under new names.
+
+        Values that are read from text go through a generator, which the optimizer
+        does not inline, so that a text is read once however often its value is used.
+        """
+        readings = self.readings(list(columns.values()))
+        fields = [self.field(n) for n in columns.values()]
+        typed = [typed_value(f, readings[f.position]) for f in fields]
+        if any(is_parsed(f, readings[f.position]) for f in fields):
+            return self.cells.select(F.stack(F.lit(1), *typed).alias(*columns))
+        return self.cells.select(*[value.alias(name) for value, name in zip(typed, columns)])
+
     def profiles(self, names: list[str] | None = None) -> list[Profile]:
         """Kind, counts and flags of the given columns (all by default)."""
         wanted = [self.field(n) for n in names] if names is not None else self.fields

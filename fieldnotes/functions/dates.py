@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,32 +22,51 @@ MONTHS = (
     "jul|july", "aug|august", "sep|sept|september", "oct|october", "nov|november", "dec|december",
 )
 
+# The range a nanosecond timestamp can hold.
+EARLIEST, LATEST = "1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775"
+
 # How a column writes its dates.
 ISO, MIXED = "iso", "mixed"
 
-# Every shape is rewritten to ``=year-month-dayThour:minute:secondZoffset`` with
-# gaps for what the text leaves out. Rewriting keeps one cell one expression,
-# where taking the pieces apart would repeat the text once per piece.
-_ISO_RULE = (
-    r"^(\d{4})(?:([-/. ])(\d{1,2})(?:\2(\d{1,2}))?|(\d{2})(\d{2}))?"
-    r"(?:[ T](\d{1,2})(?::(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?)?"
-    r"(?: ?(?:Z|([+-]\d{2}):?(\d{2})?))?)?$",
-    "=$1-$3$5-$4$6T$7:$8:$9Z$10:$11",
+# What a date text can consist of, and how to see it. A column is read with the
+# rules of the shapes it has, so plain columns take few of them.
+SHAPES = {
+    "year_first": r"^\d{4}",
+    "offset": r"[ T]\d.*(?:Z|[+-]\d{2}(?::?\d{2})?)$",
+    "day_month": r"^\d{1,2}[-/.]",
+    "short_year": r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{1,2}(?: |$)",
+    "half_day": r"[AaPp][Mm]$",
+    "named": r"[A-Za-z]{3}",
+}
+
+# Rules rewrite a text to ``=year-month-day hour:minute:second``, which Spark can
+# read with its last parts left out. One chain of rewriting keeps a cell one
+# expression, where taking pieces apart would repeat the text once per piece.
+_YEAR_FIRST = r"^(\d{4})(?:([-/. ])(\d{1,2})(?:\2(\d{1,2}))?|(\d{2})(\d{2}))?"
+_YEAR_FIRST_RULES = (
+    (_YEAR_FIRST + r"(?:[ T](\d{1,2}(?::\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?))?$", "=$1-$3$5-$4$6 $7"),
+    (r"(?<=-)(?=[- ])", "1"),
 )
 _DAY_FIRST_RULE = (r"^(1[3-9]|2\d|3[01])[-/.](\d{1,2})[-/.](\d{2}|\d{4})(?=$| )", "$2/$1/$3")
 _SHORT_YEAR_FIRST_RULE = (r"^(3[2-9]|[4-9]\d)[-/.](\d{1,2})[-/.](\d{1,2})(?=$| )", "$2/$3/$1")
-_TWELVE_RULE = (r" 12:(\d{2}(?::\d{2})? ?[AaPp][Mm])$", " 0:$1")
-_DAY = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
-_CLOCK_RULE = (_DAY + r"(?: (\d{1,2}):(\d{2})(?::(\d{2}))?)?$", "=$3-$1-$2T$4:$5:$6Z:")
-_MORNING_RULE = (_DAY + r" (0?\d|1[01]):(\d{2})(?::(\d{2}))? ?[Aa][Mm]$", "=$3-$1-$2T$4:$5:$6Z:")
+_MONTH_FIRST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})"
+_MONTH_FIRST_RULE = (_MONTH_FIRST + r"(?: (\d{1,2}:\d{2}(?::\d{2})?))?$", "=$3-$1-$2 $4")
+
+# Texts with an offset to UTC get all of their parts and an offset:
+# ``=year-month-dayThour:minute:second+hour:minute``.
+_OFFSET_RULES = (
+    (
+        _YEAR_FIRST + r"[ T](\d{1,2})(?::(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?)? ?(?:Z|([+-]\d{2}):?(\d{2})?)$",
+        "=$1-$3$5-$4$6T$7:$8:$9Z$10:$11",
+    ),
+)
 # Half past ten in the evening is half past ten, twelve hours west.
-_EVENING_RULE = (_DAY + r" (0?\d|1[01]):(\d{2})(?::(\d{2}))? ?[Pp][Mm]$", "=$3-$1-$2T$4:$5:$6Z-12:")
-_FILL_RULES = (
-    (r"(?<=-)(?=[-T])", "1"),
-    (r"(?<=[T:])(?=[:Z]|$)", "0"),
-    (r"Z(?=:)", "+0"),
-    (r"Z", ""),
+_HALF_DAY_RULES = (
+    (r" 12:(\d{2}(?::\d{2})? ?[AaPp][Mm])$", " 0:$1"),
+    (_MONTH_FIRST + r" (0?\d|1[01]):(\d{2})(?::(\d{2}))? ?[Aa][Mm]$", "=$3-$1-$2T$4:$5:$6Z:"),
+    (_MONTH_FIRST + r" (0?\d|1[01]):(\d{2})(?::(\d{2}))? ?[Pp][Mm]$", "=$3-$1-$2T$4:$5:$6Z-12:"),
 )
+_GAP_RULES = ((r"(?<=-)(?=[-T])", "1"), (r"(?<=[T:])(?=[:Z]|$)", "0"), (r"Z(?=:)", "+0"), (r"Z", ""))
 
 
 # Every text that the rules rewrite starts with a digit or is a month with day and year.
@@ -84,31 +105,62 @@ def _short_year_rules() -> list[tuple[str, str]]:
 def _named_rules() -> list[tuple[str, str]]:
     """``Jan 5, 2024`` and ``5 January 2024``, month by month."""
     return [
-        (rf"(?i)^(?:(?:{names})\.? (\d{{1,2}}),?|(\d{{1,2}}) (?:{names})\.?) (\d{{4}})$", f"=$3-{number}-$1$2T::Z:")
+        (rf"(?i)^(?:(?:{names})\.? (\d{{1,2}}),?|(\d{{1,2}}) (?:{names})\.?) (\d{{4}})$", f"=$3-{number}-$1$2")
         for number, names in enumerate(MONTHS, 1)
     ]
 
 
-def _moment(rewritten: Column) -> Column:
-    """UTC wall time of a rewritten text; NULL outside the range of a nanosecond timestamp."""
-    iso = F.regexp_extract(_rewrite(rewritten, *_FILL_RULES), "^=(.*)$", 1)
-    nanoseconds = F.try_multiply(F.unix_micros(iso.try_cast("timestamp")), F.lit(1000))
-    return from_epoch_micros(F.call_function("div", nanoseconds, F.lit(1000)))
+def shape_bits(text: Column) -> Column:
+    """A bit for each shape a text has."""
+    bits = [F.when(text.rlike(pattern), F.lit(1 << k)).otherwise(F.lit(0)) for k, pattern in enumerate(SHAPES.values())]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def shapes_of(bits: int) -> tuple[str, ...]:
+    return tuple(shape for k, shape in enumerate(SHAPES) if bits >> k & 1)
+
+
+def _month_first_rules(shapes: Sequence[str]) -> list[tuple[str, str]]:
+    """Bring day, month and year into the order of ``month/day/year``, with four digits."""
+    rules = [_DAY_FIRST_RULE]
+    if "short_year" in shapes:
+        rules += [_SHORT_YEAR_FIRST_RULE, *_short_year_rules()]
+    return rules
+
+
+def _local(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    return F.regexp_extract(_rewrite(text, *rules), "^=(.*)$", 1).try_cast("timestamp_ntz")
+
+
+def _zoned(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    instant = F.regexp_extract(_rewrite(text, *rules, *_GAP_RULES), "^=(.*)$", 1).try_cast("timestamp")
+    return from_epoch_micros(F.unix_micros(instant))
 
 
-def text_timestamp(text: Column, style: str) -> Column:
-    """The moment a text names: year-first dates with time and offset, or any of the known shapes.
+def text_timestamp(text: Column, style: str, shapes: Sequence[str] = tuple(SHAPES)) -> Column:
+    """The UTC wall time a text names: year-first dates only, or any of the known shapes.
 
-    Of two small numbers the first is the month unless it can't be one.
+    Of two small numbers the first is the month unless it can't be one. What a
+    nanosecond timestamp can't hold is missing.
     """
-    if style == ISO:
-        return _moment(_rewrite(text, _ISO_RULE))
-    named = F.when(text.rlike("[A-Za-z]{3}"), _rewrite(text, *_named_rules()))
-    numeric = _rewrite(
-        text, _ISO_RULE, _DAY_FIRST_RULE, _SHORT_YEAR_FIRST_RULE, *_short_year_rules(),
-        _TWELVE_RULE, _CLOCK_RULE, _MORNING_RULE, _EVENING_RULE,
-    )
-    return _moment(F.coalesce(named, numeric))
+    moments = []
+    if "year_first" in shapes:
+        moments.append(_local(text, _YEAR_FIRST_RULES))
+        if "offset" in shapes:
+            moments.append(_zoned(text, _OFFSET_RULES))
+    if style == MIXED:
+        if "day_month" in shapes:
+            order = _month_first_rules(shapes)
+            moments.append(_local(text, [*order, _MONTH_FIRST_RULE]))
+            if "half_day" in shapes:
+                moments.append(_zoned(text, [*order, *_HALF_DAY_RULES]))
+        if "named" in shapes:
+            moments.append(_local(text, _named_rules()))
+    if not moments:
+        return F.lit(None).cast("timestamp_ntz")
+    moment = F.coalesce(*moments)
+    low, high = (F.lit(bound).cast("timestamp_ntz") for bound in (EARLIEST, LATEST))
+    return F.when(moment.between(low, high), moment)
 
 
 _EPOCH = "1970-01-01 00:00:00"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,17 +53,26 @@ def clean_cells(df: DataFrame, names: list[str], missing_tokens: bool = False) -
 
 def has_value(fields: list[Field]) -> Column:
     """True for rows with at least one value."""
-    return reduce(lambda a, b: a | b, [f.raw.isNotNull() for f in fields])
+    tests = [f.raw.isNotNull() for f in fields]
+    # Joined in pairs, so that wide tables don't make a deep expression.
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + (tests[-1:] if len(tests) % 2 else [])
+    return tests[0]
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Add an id that grows in row order. Only the row numbers derived from it are dense."""
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+    """Add an id that grows in row order, unless the table was stored with one."""
+    return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
+
+
+def _partition_of_id() -> Column:
+    return F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT).cast("int")
 
 
 def partition_starts(df: DataFrame) -> DataFrame:
     """Number of rows ahead of each partition; one small row per partition of the scan."""
-    sizes = df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("size"))
+    partition = _partition_of_id() if ROW_ID in df.columns else F.spark_partition_id()
+    sizes = df.groupBy(partition.alias("partition")).agg(F.count("*").alias("size"))
     ahead = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select("partition", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("start"))
 
@@ -76,10 +83,9 @@ def with_row_number(identified: DataFrame, starts: DataFrame) -> DataFrame:
     The row id holds the partition and the position inside it, so adding the
     rows ahead of the partition numbers the table without moving any row.
     """
-    partition = F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT).cast("int")
     inside = F.col(ROW_ID).bitwiseAND(F.lit((1 << _PARTITION_SHIFT) - 1))
     return (
-        identified.withColumn("partition", partition)
+        identified.withColumn("partition", _partition_of_id())
         .join(starts, "partition")
         .withColumn("_row", F.col("start") + inside)
         .drop("partition", "start", ROW_ID)

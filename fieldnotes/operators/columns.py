@@ -58,6 +58,7 @@ class Reading:
 
     kind: str
     style: str = ""
+    shapes: tuple[str, ...] = ()
     # The type a reader of delimited files would give the raw cells: "" for text.
     cell_type: str = ""
 
@@ -98,7 +99,7 @@ def typed_value(f: Field, reading: Reading) -> Column:
         return F.when(raw.isNotNull(), flags.is_true_word(raw)) if native is None else raw
     if reading.kind == DATETIME:
         if native is None:
-            return dates.text_timestamp(raw, reading.style)
+            return dates.text_timestamp(raw, reading.style, reading.shapes)
         if isinstance(f.dtype, T.TimestampType):
             return F.convert_timezone(None, F.lit("UTC"), raw.cast("timestamp_ntz"))
         return raw.cast("timestamp_ntz")
@@ -107,6 +108,11 @@ def typed_value(f: Field, reading: Reading) -> Column:
     return raw
 
 
+def is_parsed(f: Field, reading: Reading) -> bool:
+    """Whether the typed values are read from text, which costs more than copying them."""
+    return f.native_kind is None and reading.kind in (NUMERIC, DATETIME)
+
+
 def shown_cell(f: Field, reading: Reading | None) -> tuple[Column, T.DataType]:
     """The raw cell as a row page shows it; cells of delimited files get their reader's type."""
     cell_type = reading.cell_type if reading else ""

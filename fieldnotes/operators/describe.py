@@ -15,24 +15,24 @@ QUARTILES = [0.25, 0.5, 0.75]
 SECONDS_PER_DAY = 86_400
 
 
-def ordered_value(ds, p: Profile) -> Column:
-    """The typed value as a number quantiles can work on; microseconds for times."""
-    value = ds.typed(p.name)
-    return epoch_micros(value) if p.kind == DATETIME else value
+def ordered_values(ds, p: Profile) -> DataFrame:
+    """The values ``v`` of a column as numbers quantiles can work on; microseconds for times."""
+    values = ds.values(v=p.name)
+    return values.select(epoch_micros(F.col("v")).alias("v")) if p.kind == DATETIME else values
 
 
 def quartiles(ds, p: Profile) -> list:
     """First quartile, median and third quartile, kept on the dataset."""
     known = ds.known_quartiles
     if p.field.position not in known:
-        values = ds.cells.select(ordered_value(ds, p).alias("v")).where("v is not null")
+        values = ordered_values(ds, p).where("v is not null")
         known[p.field.position] = exact_quantiles(values, "v", {None: p.valid}, QUARTILES)[None]
     return known[p.field.position]
 
 
 def _numeric(ds, p: Profile) -> DataFrame:
     n, v = p.valid, F.col("v")
-    facts = ds.cells.select(ordered_value(ds, p).alias("v")).agg(
+    facts = ds.values(v=p.name).agg(
         exact_sum(v).alias("sum"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
@@ -77,15 +77,13 @@ def _boolean(ds, p: Profile) -> DataFrame:
 
 
 def _datetime(ds, p: Profile) -> DataFrame:
-    facts = ds.cells.select(ordered_value(ds, p).alias("v")).agg(
-        F.min("v").alias("first"), F.max("v").alias("last")
-    )
-    days = (F.col("last") - F.col("first")) / (SECONDS_PER_DAY * 1_000_000)
-    return facts.select(
-        from_epoch_micros(F.col("first")).alias("min"),
-        from_epoch_micros(F.col("last")).alias("max"),
+    first, last = p.facts["first"], p.facts["last"]
+    days = (last - first).total_seconds() / SECONDS_PER_DAY
+    return ds.spark.range(0, 1, 1, 1).select(
+        F.lit(first).cast("timestamp_ntz").alias("min"),
+        F.lit(last).cast("timestamp_ntz").alias("max"),
         from_epoch_micros(F.lit(int(quartiles(ds, p)[1]))).alias("median"),
-        rounded(days, 2).alias("span_days"),
+        rounded(F.lit(days), 2).alias("span_days"),
     )
 
 
@@ -107,7 +105,7 @@ def describe(ds, column: str) -> DataFrame:
     """One row of statistics; which ones depends on the kind of the column."""
     p = ds.profile(column)
     if p.kind not in _BY_KIND or not p.valid:
-        return ds.spark.range(1).select(*_base(p))
+        return ds.spark.range(0, 1, 1, 1).select(*_base(p))
     return _BY_KIND[p.kind](ds, p).select(*_base(p), "*")
 
 

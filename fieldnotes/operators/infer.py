@@ -86,15 +86,22 @@ def number_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
 
 
 def date_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
-    """Counts that settle whether and how columns write dates."""
+    """What the date-like texts of each column look like."""
     text = F.col("text")
     return _by_column(_cells(df, fields).where(dates.could_be_date(text)).groupBy("i").agg(
         F.count_if(text.rlike(dates.DATE_LIKE)).alias("dateish"),
-        F.count(dates.text_timestamp(text, dates.ISO)).alias(dates.ISO),
-        F.count(dates.text_timestamp(text, dates.MIXED)).alias(dates.MIXED),
+        F.bit_or(dates.shape_bits(text)).alias("shapes"),
     ))
 
 
+def dates_read(df: DataFrame, f: Field, style: str, shapes: tuple[str, ...]) -> int:
+    """Cells that can be read as a date in a style; each distinct text is read once."""
+    texts = df.groupBy(f.raw.alias("text")).agg(F.count("*").alias("n"))
+    moment = F.when(dates.could_be_date(F.col("text")), dates.text_timestamp(F.col("text"), style, shapes))
+    read = texts.select(F.stack(F.lit(1), moment, F.col("n")).alias("moment", "n")).where("moment is not null")
+    return read.agg(F.sum("n")).first()[0] or 0
+
+
 def number_style(facts: dict) -> str | None:
     """How the column writes numbers, or None when it is not numeric."""
     if facts["zero_codes"]:
@@ -125,15 +132,18 @@ def date_share_of_first_values(df: DataFrame, f: Field) -> float:
     return first_seen.agg(F.avg(F.col("text").rlike(dates.DATE_LIKE).cast("int"))).first()[0] or 0.0
 
 
-def date_style(df: DataFrame, f: Field, facts: dict) -> str | None:
-    """How the column writes dates, or None when it holds something else."""
-    valid = facts["valid"]
-    style = next((s for s in (dates.ISO, dates.MIXED) if facts[s] >= DATETIME_SHARE * valid), None)
-    if style is None or not facts["dateish"]:
+def read_dates(df: DataFrame, f: Field, facts: dict) -> Reading | None:
+    """The reading of a column of dates, or None when it holds something else."""
+    valid, shapes = facts["valid"], dates.shapes_of(facts["shapes"])
+    if not facts["dateish"]:
         return None
     if facts["dateish"] < valid and date_share_of_first_values(df, f) < DATETIME_SHARE:
         return None
-    return style
+    year_first_only = set(shapes) <= {"year_first", "offset"}
+    for style in (dates.ISO,) if year_first_only else (dates.ISO, dates.MIXED):
+        if dates_read(df, f, style, shapes) >= DATETIME_SHARE * valid:
+            return Reading(DATETIME, style, shapes)
+    return None
 
 
 def cell_type(facts: dict, rows: int) -> str:
@@ -174,9 +184,9 @@ def read_text(df: DataFrame, fields: list[Field], row_count: int) -> dict[int, R
     if maybe_dates:
         by_position = {f.position: f for f in maybe_dates}
         for i, found in date_facts(df, maybe_dates).items():
-            style = date_style(df, by_position[i], {**facts[i], **found})
-            if style:
-                readings[i] = Reading(DATETIME, style)
+            reading = read_dates(df, by_position[i], {**facts[i], **found})
+            if reading:
+                readings[i] = reading
     for f in open_fields:
         reading = readings.setdefault(f.position, Reading(LABEL))
         reading.cell_type = cell_type(facts[f.position], row_count)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .clean import value_counts
 from .columns import (
     BOOLEAN, CATEGORICAL, DATETIME, EMPTY, LABEL, NUMERIC, TEXT, UNSUPPORTED,
-    Field, Profile, Reading, typed_value,
+    Field, Profile, Reading, is_parsed, typed_value,
 )
 from .infer import long_form
 
@@ -84,6 +85,21 @@ def _text_counts(df: DataFrame, fields: list[Field], readings: dict[int, Reading
     )
 
 
+def _moment_counts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> DataFrame:
+    """Times with their occurrences; of times written as text, each distinct text is read once."""
+    parts = []
+    native = [f for f in fields if not is_parsed(f, readings[f.position])]
+    if native:
+        parts.append(_counted(df, "moment", _typed(native, readings, DATETIME), "moment"))
+    for f in fields:
+        if is_parsed(f, readings[f.position]):
+            texts = df.where(f.raw.isNotNull()).groupBy(f.raw).agg(F.count("*").alias("n"))
+            moment = typed_value(f, readings[f.position])
+            read = texts.select(F.stack(F.lit(1), moment, F.col("n")).alias("moment", "n")).where("moment is not null")
+            parts.append(read.groupBy(F.lit(f.position).alias("i"), "moment").agg(F.sum("n").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
     """Exact distinct count per column, extremes of times, and mode with its count of labels.
 
@@ -94,9 +110,9 @@ def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Readi
     if numbers:
         counts = _counted(df, "number", numbers, "number").groupBy("i").agg(F.count("*").alias("unique"))
         facts.update({row["i"]: {"unique": row["unique"]} for row in counts.collect()})
-    moments = _typed(fields, readings, DATETIME)
-    if moments:
-        counts = _counted(df, "moment", moments, "moment").groupBy("i").agg(
+    times = [f for f in fields if readings[f.position].kind == DATETIME]
+    if times:
+        counts = _moment_counts(df, times, readings).groupBy("i").agg(
             F.count("*").alias("unique"), F.sum("n").alias("valid"),
             F.min("moment").alias("first"), F.max("moment").alias("last"),
         )

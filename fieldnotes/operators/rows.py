@@ -93,7 +93,9 @@ def _sort_key(ds, sort: str, order: str) -> list[Column]:
 
 def _plain_window(frame: DataFrame, identified: DataFrame, offset: int, size: int) -> DataFrame:
     """A page in row order."""
-    if offset + size <= FRONT_ROWS:
+    if ROW_ID in frame.columns and offset + size <= HEAP_ROWS:
+        return _ordered_window(frame, identified, [], offset, size)
+    if ROW_ID not in frame.columns and offset + size <= FRONT_ROWS:
         # take() reads only as many partitions as it needs and keeps their order.
         front = frame.take(offset + size)[offset:]
         lines = [(k + 1, offset + k, *row) for k, row in enumerate(front)]

@@ -103,12 +103,14 @@ def _read_all(spark: SparkSession, path: str, with_file: bool = False) -> tuple[
     return whole, names
 
 
-def read_delimited(spark: SparkSession, path: str, on_bad: str = "fail", name: str | None = None) -> Dataset:
+def read_delimited(spark: SparkSession, path: str, on_bad: str = "fail", name: str | None = None,
+                   stage: bool = True) -> Dataset:
     """A dataset from a delimited file or a folder of them.
 
     Delimiter, encoding and line breaks inside cells are found out per file.
     Rows with more fields than the header fail the job that meets them, or are
-    left out with ``on_bad="quarantine"`` (``bad_rows`` shows them).
+    left out with ``on_bad="quarantine"`` (``bad_rows`` shows them). The cells are
+    parsed once and kept as Parquet in the shared folder, unless ``stage`` is off.
     """
     if on_bad not in ("fail", "quarantine"):
         raise ValueError("on_bad must be 'fail' or 'quarantine'.")
@@ -116,7 +118,9 @@ def read_delimited(spark: SparkSession, path: str, on_bad: str = "fail", name: s
     fits = F.col(_OVERFLOW).isNull()
     df = df.where(fits if on_bad == "quarantine" else fits | F.raise_error(F.lit(_TOO_MANY)).cast("boolean"))
     ds = Dataset(df.drop(_OVERFLOW), names, name=name or path.rstrip("/").rsplit("/", 1)[-1], delimited=True)
-    if not ds.fields or ds.cells.where(has_value(ds.fields)).isEmpty():
+    if ds.fields and stage:
+        ds.stage()
+    if not ds.fields or (ds.row_count == 0 if stage else ds.cells.where(has_value(ds.fields)).isEmpty()):
         raise ValueError("The file has a header row but no data rows.")
     return ds
 

@@ -31,13 +31,14 @@ def test_dates_and_answers(make):
     assert (book["flag"]["kind"], book["flag"]["true_pct"], book["flag"]["unique"]) == ("boolean", 75.0, 2)
 
 
-@pytest.mark.parametrize("values, kind", [
+KINDS = [
     (["1.234,5", "12.000"], "numeric"),         # a dot group in every comma value
     (["1.234,5", "994,5"], "categorical"),      # one comma value without a dot group
     (["3,5", "-2,25", "7"], "numeric"),         # decimal commas, no dots
     (["3,5", "2.5"], "categorical"),            # decimal commas and a dot
     (["1,234", "12,345.67", "8.5"], "numeric"),  # thousands commas
-    (["1,234", "12,34"], "categorical"),
+    (["1,234", "12,34"], "numeric"),            # all of them decimal commas
+    (["1,234.5", "12,34"], "categorical"),
     (["1", "0"], "numeric"),                    # digits are never yes/no
     (["yes", "no", "n"], "categorical"),        # three words
     (["T", "f", "t"], "boolean"),
@@ -46,9 +47,12 @@ def test_dates_and_answers(make):
     (["2024", "2025"], "numeric"),
     (["12:30", "09:15"], "categorical"),
     (["  ", "", "\t"], "empty"),
-])
-def test_kinds_of_small_columns(make, values, kind):
-    assert by_name(make(v=values))["v"]["kind"] == kind
+]
+
+
+def test_kinds_of_small_columns(make):
+    book = by_name(make(**{f"v{k}": values + [None] * (3 - len(values)) for k, (values, _) in enumerate(KINDS)}))
+    assert [book[f"v{k}"]["kind"] for k in range(len(KINDS))] == [kind for _, kind in KINDS]
 
 
 def test_styles_read_their_values(make):

@@ -107,7 +107,7 @@ def test_a_folder_of_differently_written_files(spark, tmp_path):
 
 
 def test_a_header_longer_than_the_sample(csv):
-    names = [f"column_number_{k:06d}" for k in range(4000)]
+    names = [f"column {k} " + "x" * 1000 for k in range(80)]
     assert len(",".join(names)) > 64 * 1024
     ds = csv(",".join(names) + "\n" + ",".join("1" for _ in names) + "\n")
     assert ds.columns == names
@@ -126,3 +126,19 @@ def test_tables_by_name_and_the_first_with_data(spark, tmp_path):
         book.use("nope")
     with pytest.raises(ValueError):
         book.use("a_cover")
+
+
+@pytest.mark.parametrize("stage", [True, False])
+def test_rows_keep_the_order_of_the_file(spark, tmp_path, stage):
+    path = tmp_path / "long.csv"
+    path.write_text("n,t\n" + "".join(f"{k},{'x' * (k % 37)}\n" if k % 5 else ",\n" for k in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        ds = read_delimited(spark, str(path), stage=stage)
+        assert ds.cells.rdd.getNumPartitions() > 2
+        expected = [k for k in range(4000) if k % 5]
+        assert lines(ds.rows(page=6, page_size=500).rows, "n") == expected[2500:3000]
+        assert lines(ds.rows(page=6, page_size=500).rows, "row_number") == list(range(2501, 3001))
+        assert lines(ds.rows(page=2, page_size=20, q="xxx").rows, "n") == [k for k in expected if k % 37 >= 3][20:40]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
