@@ -86,8 +86,11 @@ class Dataset:
         files of a folder are not read back in order.
         """
         path = f"{shared_folder(self.spark).rstrip('/')}/fieldnotes-{uuid.uuid4().hex}"
-        filled = self.cells.where(clean.has_value(self.fields))
-        clean.with_row_id(filled.select(*[f.raw for f in self.fields])).write.parquet(path)
+        # The generator keeps the cleaning of a cell from being repeated by the filter.
+        cells = self.cells.select(
+            F.stack(F.lit(1), *[f.raw for f in self.fields]).alias(*[f.physical for f in self.fields])
+        )
+        clean.with_row_id(cells.where(clean.has_value(self.fields))).write.parquet(path)
         self.cells = self.spark.read.parquet(path)
         self._row_count, self._has_blank_rows = self.cells.count(), False
         return self
@@ -106,8 +109,8 @@ class Dataset:
         f = self.field(name)
         return typed_value(f, self.readings([name])[f.position])
 
-    def values(self, **columns: str) -> DataFrame:
-        """Typed values of columns under new names.
+    def values(self, present: str, **columns: str) -> DataFrame:
+        """Typed values of columns under new names, of the rows in which ``present`` has one.
 
         Values that are read from text go through a generator, which the optimizer
         does not inline, so that a text is read once however often its value is used.
@@ -115,9 +118,13 @@ class Dataset:
         readings = self.readings(list(columns.values()))
         fields = [self.field(n) for n in columns.values()]
         typed = [typed_value(f, readings[f.position]) for f in fields]
+        # Asked of the raw column first, as a test the scan can use to skip data.
+        cells = self.cells.where(self.field(columns[present]).raw.isNotNull())
         if any(is_parsed(f, readings[f.position]) for f in fields):
-            return self.cells.select(F.stack(F.lit(1), *typed).alias(*columns))
-        return self.cells.select(*[value.alias(name) for value, name in zip(typed, columns)])
+            values = cells.select(F.stack(F.lit(1), *typed).alias(*columns))
+        else:
+            values = cells.select(*[value.alias(name) for value, name in zip(typed, columns)])
+        return values.where(F.col(present).isNotNull())
 
     def profiles(self, names: list[str] | None = None) -> list[Profile]:
         """Kind, counts and flags of the given columns (all by default)."""

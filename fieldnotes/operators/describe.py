@@ -17,7 +17,7 @@ SECONDS_PER_DAY = 86_400
 
 def ordered_values(ds, p: Profile) -> DataFrame:
     """The values ``v`` of a column as numbers quantiles can work on; microseconds for times."""
-    values = ds.values(v=p.name)
+    values = ds.values("v", v=p.name)
     return values.select(epoch_micros(F.col("v")).alias("v")) if p.kind == DATETIME else values
 
 
@@ -25,14 +25,14 @@ def quartiles(ds, p: Profile) -> list:
     """First quartile, median and third quartile, kept on the dataset."""
     known = ds.known_quartiles
     if p.field.position not in known:
-        values = ordered_values(ds, p).where("v is not null")
+        values = ordered_values(ds, p)
         known[p.field.position] = exact_quantiles(values, "v", {None: p.valid}, QUARTILES)[None]
     return known[p.field.position]
 
 
 def _numeric(ds, p: Profile) -> DataFrame:
     n, v = p.valid, F.col("v")
-    facts = ds.values(v=p.name).agg(
+    facts = ds.values("v", v=p.name).agg(
         exact_sum(v).alias("sum"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),

@@ -19,10 +19,10 @@ from .columns import BOOLEAN, LABEL, shown_cell
 MAX_PAGE, MAX_PAGE_SIZE, MAX_QUERY = 10_000_000, 500, 200
 ORDERS = ("asc", "desc")
 
-# Up to this many rows a page is read from the front of the table, or kept in a
-# heap per task; pages further in take the paths that hold no such prefix.
-FRONT_ROWS = 2_000
-HEAP_ROWS = 50_000
+# Up to this many whole rows a page is read from the front of the table, or kept in
+# a heap per task; pages further in take the paths that hold no such prefix.
+FRONT_ROWS = 1_000
+HEAP_ROWS = 5_000
 
 
 @dataclass
