@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import clean, codebook, compare, describe, distribution, infer, profile, report, rows, suggest
 from .operators.columns import NUMERIC, UNSUPPORTED, Field, Profile, Reading, is_parsed, typed_value
+from .operators.jobs import together
 from .session import shared_folder
 
 
@@ -101,7 +102,7 @@ class Dataset:
         wanted = [self.field(n) for n in names] if names is not None else self.fields
         missing = [f for f in wanted if f.position not in self._readings]
         if missing:
-            self._readings.update(infer.read_fields(self.cells, missing, self.row_count))
+            self._readings.update(infer.read_fields(self.cells, missing))
         return {f.position: self._readings[f.position] for f in wanted}
 
     def typed(self, name: str) -> Column:
@@ -130,11 +131,12 @@ class Dataset:
         """Kind, counts and flags of the given columns (all by default)."""
         wanted = [self.field(n) for n in names] if names is not None else self.fields
         readings = self.readings([f.name for f in wanted])
-        self._collect_numbers(wanted, readings)
-        new = [f for f in wanted if f.position not in self._distinct]
-        if new:
-            found = profile.distinct_facts(self.cells, new, readings)
-            self._distinct.update({f.position: found.get(f.position, {}) for f in new})
+        together(
+            self.spark,
+            lambda: self.row_count,
+            lambda: self._collect_numbers(wanted, readings),
+            lambda: self._collect_distincts(wanted, readings),
+        )
         result = []
         for f in wanted:
             reading = readings[f.position]
@@ -151,6 +153,12 @@ class Dataset:
             found = profile.number_facts(self.cells, new, readings)
             self._facts.update({f.position: found.get(f.position, {}) for f in new})
 
+    def _collect_distincts(self, wanted: list[Field], readings: dict[int, Reading]) -> None:
+        new = [f for f in wanted if f.position not in self._distinct]
+        if new:
+            found = profile.distinct_facts(self.cells, new, readings)
+            self._distinct.update({f.position: found.get(f.position, {}) for f in new})
+
     def profile(self, name: str) -> Profile:
         return self.profiles([name])[0]
 

@@ -48,9 +48,10 @@ def _by_column(rows: DataFrame) -> dict[int, dict]:
 def screen(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
     """Cheap counts that rule out most readings of most text columns."""
     text, word = F.col("text"), F.col("word")
-    cells = _cells(df, fields).withColumn("word", flags.word_bit(text))
+    cells = long_form(df, text={f.position: f.raw for f in fields}).withColumn("word", flags.word_bit(text))
     return _by_column(cells.groupBy("i").agg(
-        F.count("*").alias("valid"),
+        F.count("*").alias("rows"),
+        F.count("text").alias("valid"),
         F.count_if(numbers.could_be_number(text)).alias("numberish"),
         F.count_if(dates.could_be_date(text)).alias("datable"),
         F.count_if(text.contains(",")).alias("comma"),
@@ -146,20 +147,20 @@ def read_dates(df: DataFrame, f: Field, facts: dict) -> Reading | None:
     return None
 
 
-def cell_type(facts: dict, rows: int) -> str:
+def cell_type(facts: dict) -> str:
     """The type a reader of delimited files gives a column by itself."""
     if "plain" in facts and not facts["zero_codes"] and facts["plain"] == facts["valid"]:
-        return "bigint" if facts["whole"] == rows else "double"
+        return "bigint" if facts["whole"] == facts["rows"] else "double"
     return "boolean" if facts["reader_flags"] == facts["valid"] else ""
 
 
-def read_text(df: DataFrame, fields: list[Field], row_count: int) -> dict[int, Reading]:
+def read_text(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
     """The readings of text columns, each narrowed down with as few passes as it needs.
 
     The first pass screens all columns; only columns that are still open go into
     the passes with the costlier patterns. No pass moves a value.
     """
-    facts = screen(df, fields)
+    facts = {i: fact for i, fact in screen(df, fields).items() if fact["valid"]}
     readings = {f.position: Reading(EMPTY) for f in fields if f.position not in facts}
     open_fields = [f for f in fields if f.position in facts]
 
@@ -189,12 +190,12 @@ def read_text(df: DataFrame, fields: list[Field], row_count: int) -> dict[int, R
                 readings[i] = reading
     for f in open_fields:
         reading = readings.setdefault(f.position, Reading(LABEL))
-        reading.cell_type = cell_type(facts[f.position], row_count)
+        reading.cell_type = cell_type(facts[f.position])
     return readings
 
 
-def read_fields(df: DataFrame, fields: list[Field], row_count: int) -> dict[int, Reading]:
+def read_fields(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
     """The reading of every given field; native types settle without a job."""
     text_fields = [f for f in fields if f.native_kind is None]
     readings = {f.position: Reading(f.native_kind) for f in fields if f.native_kind is not None}
-    return {**readings, **(read_text(df, text_fields, row_count) if text_fields else {})}
+    return {**readings, **(read_text(df, text_fields) if text_fields else {})}

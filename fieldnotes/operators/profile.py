@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from .columns import (
     Field, Profile, Reading, is_parsed, typed_value,
 )
 from .infer import long_form
+from .jobs import together
 
 # The limits behind the flags, and the names an identifier goes by.
 DISCRETE_MAX_UNIQUE = 25
@@ -105,37 +106,52 @@ def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Readi
 
     Each storage type is counted apart, over its own columns of the source.
     """
+    by_kind = ((_number_distincts, (NUMERIC, BOOLEAN)), (_moment_distincts, (DATETIME,)),
+               (_label_distincts, (LABEL,)), (_present, (UNSUPPORTED,)))
+    jobs = []
+    for count, kinds in by_kind:
+        chosen = [f for f in fields if readings[f.position].kind in kinds]
+        if chosen:
+            jobs.append(partial(count, df, chosen, readings))
     facts: dict[int, dict] = {}
-    numbers = _typed(fields, readings, NUMERIC, BOOLEAN)
-    if numbers:
-        counts = _counted(df, "number", numbers, "number").groupBy("i").agg(F.count("*").alias("unique"))
-        facts.update({row["i"]: {"unique": row["unique"]} for row in counts.collect()})
-    times = [f for f in fields if readings[f.position].kind == DATETIME]
-    if times:
-        counts = _moment_counts(df, times, readings).groupBy("i").agg(
-            F.count("*").alias("unique"), F.sum("n").alias("valid"),
-            F.min("moment").alias("first"), F.max("moment").alias("last"),
-        )
-        facts.update({row["i"]: row.asDict() for row in counts.collect()})
-    labels = [f for f in fields if readings[f.position].kind == LABEL]
-    if labels:
-        is_long = F.col("digest").isNotNull()
-        best_short = F.min(F.when(~is_long, F.struct((-F.col("n")).alias("n"), "text")))
-        counts = _text_counts(df, labels, readings).groupBy("i").agg(
-            F.count("*").alias("unique"), F.sum("n").alias("valid"),
-            best_short.alias("short"), F.max(F.when(is_long, F.col("n"))).alias("long_n"),
-        )
-        by_position = {f.position: f for f in labels}
-        for row in counts.collect():
-            mode = _mode(df, by_position[row["i"]], readings, row)
-            facts[row["i"]] = {"unique": row["unique"], "valid": row["valid"], **mode}
-    unsupported = [f for f in fields if readings[f.position].kind == UNSUPPORTED]
-    if unsupported:
-        present = value_counts(df, unsupported)
-        facts.update({f.position: {"valid": present[f.physical]} for f in unsupported})
+    for found in together(df.sparkSession, *jobs):
+        facts.update(found)
     return facts
 
 
+def _number_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    counts = _counted(df, "number", _typed(fields, readings, NUMERIC, BOOLEAN), "number")
+    rows = counts.groupBy("i").agg(F.count("*").alias("unique")).collect()
+    return {row["i"]: {"unique": row["unique"]} for row in rows}
+
+
+def _moment_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    rows = _moment_counts(df, fields, readings).groupBy("i").agg(
+        F.count("*").alias("unique"), F.sum("n").alias("valid"),
+        F.min("moment").alias("first"), F.max("moment").alias("last"),
+    )
+    return {row["i"]: row.asDict() for row in rows.collect()}
+
+
+def _label_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    is_long = F.col("digest").isNotNull()
+    best_short = F.min(F.when(~is_long, F.struct((-F.col("n")).alias("n"), "text")))
+    rows = _text_counts(df, fields, readings).groupBy("i").agg(
+        F.count("*").alias("unique"), F.sum("n").alias("valid"),
+        best_short.alias("short"), F.max(F.when(is_long, F.col("n"))).alias("long_n"),
+    )
+    by_position = {f.position: f for f in fields}
+    return {
+        row["i"]: {"unique": row["unique"], "valid": row["valid"], **_mode(df, by_position[row["i"]], readings, row)}
+        for row in rows.collect()
+    }
+
+
+def _present(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    present = value_counts(df, fields)
+    return {f.position: {"valid": present[f.physical]} for f in fields}
+
+
 def _mode(df: DataFrame, f: Field, readings: dict[int, Reading], row) -> dict:
     """The most frequent label; among equals the first in text order."""
     short_n = -row["short"]["n"] if row["short"] else 0
