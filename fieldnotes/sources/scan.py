@@ -6,6 +6,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ UTF8, CP1252, LATIN1 = "utf-8", "cp1252", "latin-1"
 # Bytes without a character in Windows-1252.
 CP1252_GAPS = "[\u0081\u008d\u008f\u0090\u009d]"
 
-_HEAD_SCHEMA = "path string, bytes bigint, sep string, header_bytes binary"
+_SUFFIX = r"(?i)\.(" + "|".join(e[1:] for e in EXTENSIONS) + ")$"
+_HEAD_SCHEMA = "path string, file string, bytes bigint, sep string, header_bytes binary"
 
 
 def sniff_delimiter(sample: str) -> str:
@@ -52,11 +54,11 @@ def open_location(path: str):
     """File system and path of a Hadoop-style location."""
     from pyarrow import fs
 
-    uri = re.sub(r"^file:/+", "file:///", path)
-    uri = re.sub(r"^s3[an]://", "s3://", uri)
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = path.rpartition("://") if "://" in path else path.rpartition(":/")
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", path)
+    # Spark shows paths as they are; a URI has its spaces and accents escaped.
+    return fs.FileSystem.from_uri(f"{re.sub('^s3[an]$', 's3', scheme)}://{quote(rest)}")
 
 
 def _first_record(stream, head: bytes) -> bytes:
@@ -79,30 +81,32 @@ def _read_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One output row per file from its first bytes."""
     for batch in batches:
         rows = []
-        for path, size in zip(batch["path"], batch["length"]):
+        for path, file, size in zip(batch["path"], batch["file"], batch["length"]):
             filesystem, location = open_location(path)
             with filesystem.open_input_stream(location) as stream:
                 head = stream.read(SAMPLE_BYTES)
                 sep = "\t" if path.lower().endswith(".tsv") else sniff_delimiter(_decode_sample(head))
-                rows.append((path, size, sep, _first_record(stream, head)))
-        yield pd.DataFrame(rows, columns=["path", "bytes", "sep", "header_bytes"])
+                rows.append((path, file, size, sep, _first_record(stream, head)))
+        yield pd.DataFrame(rows, columns=["path", "file", "bytes", "sep", "header_bytes"])
 
 
 def _list_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths and sizes; the contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    suffix = r"(?i)\.(" + "|".join(e[1:] for e in EXTENSIONS) + ")$"
-    return found.where(F.col("path").rlike(suffix)).select("path", "length")
+    return found.where(F.col("path").rlike(_SUFFIX)).select(
+        "path", F.col("_metadata.file_path").alias("file"), "length"
+    )
 
 
 def _line_facts(spark: SparkSession, path: str) -> DataFrame:
     """Per file, from every line: is it UTF-8, is it Windows-1252, do quoted cells hold line breaks?"""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
-        F.col("_metadata.file_path").alias("path"), "value"
-    )
+    file = F.col("_metadata.file_path")
+    # A test on the path alone is made on the list of files, so others are not opened.
+    texts = spark.read.option("recursiveFileLookup", "true").text(path).where(file.rlike(_SUFFIX))
+    lines = texts.select(file.alias("file"), "value")
     bytes_as_text = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return lines.groupBy("path").agg(
+    return lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_and(~bytes_as_text.rlike(CP1252_GAPS)).alias("cp1252"),
         # A cell with a line break leaves an odd number of quotes on its first line.
@@ -114,7 +118,7 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, size, delimiter, encoding and first record of every delimited file under ``path``."""
     heads = _list_files(spark, path).mapInPandas(_read_heads, _HEAD_SCHEMA)
     encoding = F.when(F.coalesce("utf8", F.lit(True)), UTF8).when(F.col("cp1252"), CP1252).otherwise(LATIN1)
-    return heads.join(_line_facts(spark, path), "path", "left").select(
+    return heads.join(_line_facts(spark, path), "file", "left").select(
         "path", "bytes", "sep", encoding.alias("encoding"),
         F.coalesce("multiline", F.lit(False)).alias("multiline"), "header_bytes",
     )

@@ -106,6 +106,15 @@ def test_a_folder_of_differently_written_files(spark, tmp_path):
     assert got == {(1, "a", None), (2, "b", None), (3, "é", "x"), (4, "f", "y"), (5, "g", None)}
 
 
+def test_names_with_spaces_and_accents(spark, tmp_path):
+    folder = tmp_path / "mes données"
+    folder.mkdir()
+    (folder / "un fichier.csv").write_bytes("ville;n\nQuébec;1\n".encode("cp1252"))
+    (folder / "un fichier.bin").write_bytes(b"\x00\x01")
+    assert _layout(spark, folder) == (";", "cp1252", False)
+    assert lines(read_delimited(spark, str(folder)).rows().rows, "ville") == ["Québec"]
+
+
 def test_a_header_longer_than_the_sample(csv):
     names = [f"column {k} " + "x" * 1000 for k in range(80)]
     assert len(",".join(names)) > 64 * 1024
