@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,23 +55,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordHash(dict):
-    """64 bits of BLAKE2 for each word, kept while there are not too many."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        from hashlib import blake2b
-
-        if len(self) > self.LIMIT:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
-
-
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values evenly (a finalizer of xor-shifts and odd factors)."""
     values = values ^ (values >> np.uint64(32))
@@ -80,18 +64,60 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def shingle_hashes(text: str | None, cache: WordHash) -> np.ndarray:
-    """Hashes of all runs of five words, in order and with repeats; with fewer words of the whole sequence."""
-    ids = [cache[w] for w in words(text)]
-    if not ids:
-        return np.empty(0, np.uint64)
-    ids = np.array(ids, np.uint64)
-    width = min(SHINGLE, len(ids))
-    count = len(ids) - width + 1
-    total = np.full(count, np.uint64(width), np.uint64)
-    for k in range(width):
-        total = mix(total + ids[k : k + count] * _MULTIPLIERS[k])
-    return total
+#: Random factors of a multilinear hash: of a byte's value, of its place in a word, of a word's place in a shingle.
+_RANDOM = np.random.Generator(np.random.PCG64(20240229))
+_OF_BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
+_OF_BYTE[65:91] = _OF_BYTE[97:123]  # A-Z count as a-z
+_OF_PLACE = _RANDOM.integers(0, 2**64, 1 << 16, np.uint64) | np.uint64(1)
+_OF_WORD = _RANDOM.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text that are hashed together.
+_TOGETHER = 2_000_000
+
+
+def _hashed_together(raw: list[bytes]) -> list[np.ndarray]:
+    body = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    space = _SPACE[body]
+    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    if not len(first):
+        return [np.empty(0, np.uint64) for _ in raw]
+    inside = np.flatnonzero(~space)
+    ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
+    sizes = ends - first
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(inside)) - np.repeat(starts, sizes)
+    part = _OF_BYTE[body[inside]] * _OF_PLACE[place & 0xFFFF] + (place >> 16).astype(np.uint64)
+    ids = mix(np.add.reduceat(part, starts) + sizes.astype(np.uint64))
+    bounds = np.searchsorted(first, np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    whole = np.full(max(0, len(ids) - SHINGLE + 1), SHINGLE, np.uint64)
+    for k in range(SHINGLE):
+        whole = mix(whole + ids[k : k + len(whole)] * _OF_WORD[k])
+    found = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        if b - a >= SHINGLE or b == a:
+            found.append(whole[a : b - SHINGLE + 1] if b > a else np.empty(0, np.uint64))
+        else:  # fewer words: the whole sequence
+            total = np.full(1, b - a, np.uint64)
+            for k in range(b - a):
+                total = mix(total + ids[a + k : a + k + 1] * _OF_WORD[k])
+            found.append(total)
+    return found
+
+
+def shingle_hashes(texts) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of all runs of five words, in order and with repeats; with fewer words of the
+    whole sequence; without words none. Words are those of words(); bytes are hashed in bulk, without a loop."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text.encode("utf-8", "surrogatepass") if text else b"")
+        size += len(held[-1])
+        if size >= _TOGETHER:
+            yield from _hashed_together(held)
+            held, size = [], 0
+    if held:
+        yield from _hashed_together(held)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.base import SHINGLE, SIMILAR, WordHash, mix, saved, shingle_hashes, words
+from fieldnotes.llm.base import SHINGLE, SIMILAR, mix, saved, shingle_hashes, words
 
 BANDS = 32
 #: Upper bounds of item sizes in shingles; larger items are cut into pieces of the last size for the search.
@@ -57,13 +57,12 @@ def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (item_id, kind, value, size): kind 0 a distinct shingle, kind 1 + partition a band's key."""
-    cache = WordHash()
     for batch in batches:
         rows = []
-        for item, text in zip(batch["item_id"], batch["text"]):
-            hashes = np.unique(shingle_hashes(text, cache)) if len(words(text)) >= SHINGLE else np.empty(0, np.uint64)
+        for item, text, ordered in zip(batch["item_id"], batch["text"], shingle_hashes(batch["text"])):
+            ordered = ordered if len(words(text)) >= SHINGLE else ordered[:0]
+            hashes = np.unique(ordered)
             rows += [(item, 0, int(h), len(hashes)) for h in hashes.view(np.int64)]
-            ordered = shingle_hashes(text, cache) if len(hashes) else hashes
             for at in range(0, len(ordered), SIZES[-1]):
                 piece = np.unique(ordered[at : at + SIZES[-1]])
                 part = int(np.searchsorted(SIZES, len(piece)))
@@ -156,12 +155,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SIMILAR) ->
         return _found(group, parts, bands.value, shingles.value)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
         for batch in batches:
             docs_at: list = []
             many = 0
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                hashes = shingle_hashes(text, cache)
+            for doc, hashes in zip(batch["doc_id"], shingle_hashes(batch["text"])):
                 if len(hashes):
                     docs_at.append((doc, hashes))
                     many += len(hashes)

@@ -9,7 +9,7 @@ For a similarity t two sets can only be linked if the smaller has t of the large
   linked sets share one of those. The order puts frequent shingles last, so that lists stay short.
 * The boundary is where the subsets of the light and the lists of the heavy cost least together.
 
-Members of a list are not paired off. In every round each class is held against one member of its lists, the one
+Members of a list are not paired off. In every round each class is held against a few members of its lists, the ones
 it shares most lists with among those drawn for that round, the links found are closed into components, and lists
 whose members have all met drop out. When no list is left or a round finds nothing new, the pairs of members that
 are still apart are compared in full, so that no link between components is lost.
@@ -30,13 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.base import SIMILAR, WordHash, components, mix, saved, shingle_hashes
+from fieldnotes.llm.base import SIMILAR, components, mix, saved, shingle_hashes
 
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together.
 LIGHT, FREQUENT, LAST, TOGETHER = 10, 24, 131_072, 2_000_000
 #: All pairs that are still apart are compared at once when there are at most so many for each member of a list.
 DIRECT = 8
+#: Members that are drawn from a list in a round, and candidates that a class is held against.
+DRAWN = 4
 #: Ids that may go to every task, 16 bytes each; more than that are joined by a shuffle.
 FEW = 200_000
 
@@ -45,12 +47,11 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of the most frequent shingles. Tasks send what they have seen in two documents or more."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch["text"]:
-                held.append(np.unique(shingle_hashes(text, cache)))
+            for hashes in shingle_hashes(batch["text"]):
+                held.append(np.unique(hashes))
                 size += len(held[-1])
                 if size >= TOGETHER:
                     yield repeated(held)
@@ -76,11 +77,10 @@ def _sets(rows: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class, small), small: the hashes of sets that may be light."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
         for batch in batches:
             table = []
-            for text in batch["text"]:
-                own = np.unique(shingle_hashes(text, cache))
+            for hashes in shingle_hashes(batch["text"]):
+                own = np.unique(hashes)
                 table.append((len(own), _class_of(own) if len(own) else None, own.view(np.int64) if 0 < len(own) <= LIGHT else None))
             more = pd.DataFrame(table, columns=["n_shingles", "class", "small"]).astype({"class": "Int64"})
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), more], axis=1)
@@ -93,23 +93,26 @@ def _lists(texts: DataFrame, last: np.ndarray, least: int) -> DataFrame:
     """(token, class, n): the first shingles of every set in the shared order."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
+        done: set[int] = set()  # classes that this task has listed; copies need no second line
         for batch in batches:
             held = []
-            for text in batch["text"]:
-                own = np.unique(shingle_hashes(text, cache))
-                n = len(own)
-                if not n:
+            for hashes in shingle_hashes(batch["text"]):
+                own = np.unique(hashes)
+                n, which = len(own), _class_of(own)
+                if not n or which in done:
                     continue
+                if len(done) >= 1_000_000:
+                    done.clear()
+                done.add(which)
                 at = np.searchsorted(last, own)
                 late = (last[np.minimum(at, len(last) - 1)] == own) if len(last) else np.zeros(n, bool)
                 ordered = own[np.lexsort((mix(own), late))]
-                held.append((ordered[: n - ceil(least * n / 100) + 1].view(np.int64), _class_of(own), n))
+                held.append((ordered[: n - ceil(least * n / 100) + 1].view(np.int64), which, n))
             if held:
                 sizes = [len(h[0]) for h in held]
                 yield pd.DataFrame({"token": np.concatenate([h[0] for h in held]), "class": np.repeat([h[1] for h in held], sizes), "n": np.repeat([h[2] for h in held], sizes)})
 
-    return texts.mapInPandas(build, "token long, class long, n long").distinct()
+    return texts.mapInPandas(build, "token long, class long, n long")
 
 
 def _subset_sizes(n: int, boundary: int, least: int) -> set[int]:
@@ -133,8 +136,10 @@ def _subsets(sets: DataFrame, boundary: int, least: int) -> DataFrame:
 
 
 def _shared(lists: DataFrame) -> DataFrame:
-    """The lists with at least two members."""
-    return lists.join(lists.groupBy("token").count().filter("count > 1").select("token"), "token")
+    """The lists with at least two members, each member once. One shuffle serves the count and the join."""
+    dealt = lists.repartition("token")
+    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several")).filter("several").select("token")
+    return dealt.join(several, "token").dropDuplicates(["token", "class"])
 
 
 def _boundary(lists: DataFrame, classes: DataFrame, least: int) -> int:
@@ -204,9 +209,8 @@ def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(members) if few else members, "doc_id")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHash()
         for batch in batches:
-            own = [np.unique(shingle_hashes(t, cache)) for t in batch["text"]]
+            own = [np.unique(h) for h in shingle_hashes(batch["text"])]
             same = [len(o) > 0 and _class_of(o) == c for o, c in zip(own, batch["class"])]
             yield pd.DataFrame({"class": batch["class"][same], "hashes": [o.view(np.int64) for o, s in zip(own, same) if s]})
 
@@ -229,13 +233,16 @@ def _pairs_apart(lists: DataFrame) -> int:
 
 
 def _drawn(lists: DataFrame, turn: int, least: int) -> DataFrame:
-    """For every class one member of its lists with another label: of those drawn this turn, one for each list,
-    the one that shares most lists with it."""
-    drawn = lists.groupBy("token").agg(F.min_by(F.struct("class", "n", "label"), F.xxhash64("class", F.lit(turn))).alias("p"))
+    """For every class some members of its lists with another label: of those drawn this turn, a few for each list,
+    the ones that share most lists with it."""
+    draw = [F.min_by(F.struct("class", "n", "label"), F.xxhash64("class", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]
+    drawn = lists.groupBy("token").agg(F.array_distinct(F.array(*draw)).alias("drawn")).select("token", F.explode("drawn").alias("p"))
     near = lists.join(drawn, "token").filter(F.col("p.label") != F.col("label")).select(
         F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p.class").alias("b"), F.col("p.n").alias("n_b")
     )
-    return _likely(near, least).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    best = _likely(near, least).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, DRAWN).alias("best"))
+    pairs = best.select("a", F.explode("best").alias("best")).select("a", F.col("best.b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _all_apart(lists: DataFrame, least: int) -> DataFrame:
