@@ -138,7 +138,7 @@ def _subsets(sets: DataFrame, boundary: int, least: int) -> DataFrame:
 def _shared(lists: DataFrame) -> DataFrame:
     """The lists with at least two members, each member once. One shuffle serves the count and the join."""
     dealt = lists.repartition("token")
-    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several")).filter("several").select("token")
+    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.max("n").alias("most")).filter("several and most > 0").select("token")
     return dealt.join(several, "token").dropDuplicates(["token", "class"])
 
 

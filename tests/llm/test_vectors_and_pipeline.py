@@ -1,0 +1,54 @@
+"""The multi-index against brute force, and the pipeline's rows on a small table."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from fieldnotes.llm import multi_index
+
+
+def test_multi_index(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((60, 16))
+    rows = [v.tolist() for b in base for v in (b, b, b * 3, b + 0.2 * rng.standard_normal(16), b + 0.3 * rng.standard_normal(16))]
+    odd = [None, [], [0.0] * 16, [float("nan")] * 16, [1.0, None] + [0.0] * 14, [float("inf")] * 16, [1.0, 2.0, 3.0], [2.0, 4.0, 6.0]]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(rows + odd)], "vec_id long, embedding array<double>").withColumn("component_id", F.lit("clash"))
+    got = {r.vec_id: r for r in multi_index.link(table).collect()}
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.95
+    links = near.sum(1) - 1
+    assert len(got) == len(rows) + len(odd)
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
+    assert all(got[i].component_id == i // 5 * 5 and got[i].kept == (i % 5 == 0) for i in range(len(rows)) if i % 5 < 3)
+    last = len(rows)
+    assert [got[last + k].n_links for k in range(8)] == [0] * 6 + [1, 1] and got[last + 7].component_id == last + 6
+
+
+def test_multi_index_without_vectors(spark):
+    assert multi_index.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    result = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and 0 < len(result) < len(texts)
+    assert all(r.n_tokens > 0 for r in result.values())
+    # stages on their own input, by brute force
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    kept = {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, folder).collect()}
+    for i in sets:
+        similar = [j for j in sets if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        assert (i not in kept) == bool(similar) or i not in kept
+    items = [r.text.encode().lower().split() for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    items = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in items]
+    clean = {r.doc_id for r in corpus_pipeline.benchmark_decontamination(spark, docs, folder).collect()}
+    assert clean == {i for i, s in sets.items() if not any(q and 100 * len(q & s) >= 75 * len(q) for q in items)}
+    assert corpus_pipeline.secrets_replaced(spark, docs, folder).columns == docs.columns
