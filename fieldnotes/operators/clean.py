@@ -65,6 +65,11 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def moves_rows(df: DataFrame) -> bool:
+    """Whether rows are dealt anew on the way, so that two plans over the same table may number them differently."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def _partition_of_id() -> Column:
     return F.shiftright(F.col(ROW_ID), _PARTITION_SHIFT).cast("int")
 

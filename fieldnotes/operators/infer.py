@@ -34,7 +34,7 @@ def long_form(df: DataFrame, **values: dict[int, Column]) -> DataFrame:
     return df.select(F.stack(*slots).alias("i", *values))
 
 
-_SLOT_TYPES = {"text": "string", "number": "double", "moment": "timestamp_ntz"}
+_SLOT_TYPES = {"text": "string", "number": "double", "moment": "timestamp_ntz", "whole": "bigint"}
 
 
 def _cells(df: DataFrame, fields: list[Field]) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clean import value_counts
 from .columns import (
@@ -120,8 +121,20 @@ def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Readi
 
 
 def _number_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    counts = _counted(df, "number", _typed(fields, readings, NUMERIC, BOOLEAN), "number")
+    others = [f for f in fields if not (readings[f.position].kind == NUMERIC and isinstance(f.dtype, T.LongType))]
+    if not others:
+        return _whole_distincts(df, fields, readings)
+    counts = _counted(df, "number", _typed(others, readings, NUMERIC, BOOLEAN), "number")
     rows = counts.groupBy("i").agg(F.count("*").alias("unique")).collect()
+    return {row["i"]: {"unique": row["unique"]} for row in rows} | _whole_distincts(df, fields, readings)
+
+
+def _whole_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    """64-bit columns are counted on their own type: doubles of 2^53 and more fall together."""
+    whole = {f.position: f.raw.cast("bigint") for f in fields if readings[f.position].kind == NUMERIC and isinstance(f.dtype, T.LongType)}
+    if not whole:
+        return {}
+    rows = _counted(df, "whole", whole, "whole").groupBy("i").agg(F.count("*").alias("unique")).collect()
     return {row["i"]: {"unique": row["unique"]} for row in rows}
 
 

@@ -92,3 +92,8 @@ def test_suggestion(make, people):
     assert (first.variable, first.group_by, first.metric, first.agg) == ("pay", "team", "pay", "mean")
     only = make(team=["a", "b"] * 10).suggest()
     assert (only.variable, only.group_by, only.metric, only.agg) == ("team", "team", None, "count")
+
+
+def test_labels_with_type_letters_are_text(make):
+    ds = make(g=["10d", "2d", "7d"] * 3, v=list(range(9)))
+    assert [r.label for r in ds.compare("g", "v", sort="label").items.orderBy("position").collect()] == ["10d", "2d", "7d"]

@@ -107,3 +107,9 @@ def test_unknown_columns(make):
         ds.describe("nope")
     with pytest.raises(ValueError):
         ds.describe("")
+
+
+def test_large_whole_numbers_are_counted_exactly(make):
+    ds = make(order_key=[2**53 + k for k in range(20)])
+    row = ds.codebook().first()
+    assert row["unique"] == 20 and row["is_identifier"]

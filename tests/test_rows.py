@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from conftest import lines
 
 from fieldnotes.operators import rows as rows_module
@@ -85,7 +86,7 @@ def test_double_text_is_the_shortest_form(spark, value):
 
 
 @pytest.mark.parametrize("arguments", [
-    {"page": 0}, {"page_size": 0}, {"page_size": 501}, {"order": "sideways"}, {"page": 10_000_001},
+    {"page": 0}, {"page_size": 0}, {"page_size": 501}, {"order": "sideways"}, {"page": 2**62 + 1},
 ])
 def test_bad_arguments(people, arguments):
     with pytest.raises(ValueError):
@@ -95,3 +96,25 @@ def test_bad_arguments(people, arguments):
 def test_unknown_sort_column(people):
     with pytest.raises(KeyError):
         people.rows(sort="nope")
+
+
+def test_rows_of_a_shuffled_join_are_all_numbered(spark):
+    from fieldnotes import from_dataframe
+
+    folder = "/root/testdata/sf0.01"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+        joined = lines.join(spark.read.parquet(f"{folder}/part.parquet"), lines.l_partkey == F.col("p_partkey"))
+        ds = from_dataframe(joined)
+        total = joined.count()
+        last = ds.rows(page=10**9, page_size=500)
+        assert last.total == total and last.page == -(-total // 500)
+        assert [r.row_number for r in last.rows.collect()] == list(range((last.page - 1) * 500 + 1, total + 1))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_search_text_is_used_whole(make):
+    ds = make(a=["x" * 300, "x" * 250])
+    assert ds.rows(q="x" * 280).total == 1
