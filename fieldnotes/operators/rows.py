@@ -16,7 +16,7 @@ from .clean import ROW_ID, partition_starts, with_row_id, with_row_number
 from .columns import BOOLEAN, LABEL, shown_cell
 
 # Request bounds.
-MAX_PAGE, MAX_PAGE_SIZE = 2**62, 500
+MAX_PAGE, MAX_PAGE_SIZE = 2**31 - 1, 500
 ORDERS = ("asc", "desc")
 
 # Up to this many whole rows a page is read from the front of the table, or kept in
@@ -66,7 +66,7 @@ def query_rows(ds, page: int = 1, page_size: int = 50, sort: str | None = None,
     rows = window.select("position", (F.col("_row") + 1).alias("row_number"), *cells).orderBy("position")
     info = ds.spark.createDataFrame(
         [(total, page, page_size, pages, sort, order if sort else None, q)],
-        "total bigint, page bigint, page_size int, pages bigint, sort string, order string, q string",
+        "total bigint, page int, page_size int, pages bigint, sort string, order string, q string",
     )
     return Page(rows.toDF("position", "row_number", *ds.columns), info, total, page, pages)
 
