@@ -91,10 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Exact shingle containment of every item in every document, over whole tables.
 _DECONTAMINATE = """
 WITH shingles AS (
-    SELECT id, kind, unnest(list_transform(range(1, len(w) - 3), i -> list_slice(w, i, i + 4))) AS s FROM (
-        SELECT doc_id AS id, 0 AS kind, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents
+    SELECT id, kind, unnest(list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4))) AS s FROM (
+        SELECT doc_id AS id, 0 AS kind, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
         UNION ALL
-        SELECT item_id, 1, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') FROM benchmark
+        SELECT item_id, 1, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') FROM benchmark
     )
 ), items AS (SELECT DISTINCT id AS item_id, s FROM shingles WHERE kind = 1),
 sizes AS (SELECT item_id, count(*) AS size FROM items GROUP BY item_id),
