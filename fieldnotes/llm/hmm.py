@@ -16,6 +16,7 @@ belongs to the training rows. Without training rows all words are unseen. Clashi
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from fieldnotes.llm.base import saved, words
 
 #: States, symbols of words, words counted locally, rounds of training, tokens that are run together.
-STATES, SYMBOLS, LOCAL, ROUNDS, TOGETHER = 6, 8_192, 262_144, 3, 600_000
+STATES, SYMBOLS, LOCAL, ROUNDS, TOGETHER = 6, 8_192, 131_072, 3, 600_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -185,7 +186,7 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, local:
 
         count, symbol_of, start, move, emit = shared.value
         rare, at = len(symbol_of), TaskContext.get().partitionId() << 33
-        logs10 = {w: np.log10(n + 1) for w, n in count.items()}
+        logs10 = {w: math.log10(n + 1) for w, n in count.items()}
         for batch in batches:
             result = np.zeros(len(batch))
             for places, sequences in _groups(batch["text"], symbol_of):
@@ -196,15 +197,21 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, local:
             table = []
             for text in batch["text"]:
                 seen = Counter(words(text))
-                here = [(w, n) for w, n in seen.items() if w in logs10]
-                table.append((
-                    sum(seen.values()) + 1,
-                    sum(n for _, n in here),
-                    sum(n * logs10[w] for w, n in here),
-                    sum(n for w, n in seen.items() if w not in symbol_of),
-                    sum(n * logs10[w] for w, n in here if w not in symbol_of),
-                    [{"word": w, "n": n} for w, n in seen.items() if w not in logs10],
-                ))
+                n_known = n_rare = 0
+                logs = rare_logs = 0.0
+                rest = []
+                for w, n in seen.items():
+                    log = logs10.get(w)
+                    if log is None:
+                        rest.append({"word": w, "n": n})
+                        n_rare += n
+                        continue
+                    n_known += n
+                    logs += n * log
+                    if w not in symbol_of:
+                        n_rare += n
+                        rare_logs += n * log
+                table.append((sum(seen.values()) + 1, n_known, logs, n_rare, rare_logs, rest))
             more = pd.DataFrame(table, columns=["n_tokens", "n_known", "logs", "n_rare", "rare_logs", "rest"])
             yield pd.concat([
                 pd.DataFrame({"row": np.arange(at, at + len(batch)), "doc_id": batch["doc_id"].to_numpy(), "held_out": batch["held_out"].to_numpy(), "forward": result}), more,
