@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,10 +121,39 @@ def shingle_hashes(texts) -> Iterator[np.ndarray]:
         yield from _hashed_together(held)
 
 
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of one task as (a, b), b the smallest id that the task's links reach from a; a million links together."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        top = i
+        while (above := parent.setdefault(top, top)) != top:
+            top = above
+        while parent[i] != top:
+            parent[i], i = top, parent[i]
+        return top
+
+    def stars() -> pd.DataFrame:
+        found = [(i, root(i)) for i in list(parent)]
+        return pd.DataFrame([f for f in found if f[0] != f[1]], columns=["a", "b"], dtype="int64")
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) >= 1_000_000:
+            yield stars()
+            parent.clear()
+    if parent:
+        yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id of links (a, b): the smallest id that links reach. Every round takes the
-    smallest label around each id and then the label of that label, so that long chains shrink fast."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    """(id, component) for every id of links (a, b): the smallest id that links reach. Tasks first turn their own links
+    into stars. Every round takes the smallest label around each id and then the label of that label, so that long
+    chains shrink fast."""
+    stars = links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(_stars, "a long, b long")
+    both = saved(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("col.*"), "links")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
     while True:
         around = (

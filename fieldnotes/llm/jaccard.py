@@ -6,13 +6,16 @@ For a similarity t two sets can only be linked if the smaller has t of the large
 * Light sets, up to a boundary of a few shingles, list all their subsets of fixed size: two linked sets of sizes
   a <= b share at least k = ceil(t b) shingles, and so a subset of k.
 * Heavy sets go to inverted lists, with the first n - ceil(t n) + 1 shingles in one order that all sets share:
-  linked sets share one of those. The order puts frequent shingles last, so that lists stay short.
+  linked sets share one of those. The order goes by frequency, rare shingles first, so that lists stay short.
+  A list keeps each member's place p in that order. Linked sets of sizes a and b have o = ceil(t (a + b) / (1 + t))
+  shingles in common, so the first one they share leaves room for o in both: p <= a - o and p <= b - o. Members
+  that no partner in their list gives that room drop out.
 * The boundary is where the subsets of the light and the lists of the heavy cost least together.
 
 Members of a list are not paired off. In every round each class is held against a few members of its lists, the ones
 it shares most lists with among those drawn for that round, the links found are closed into components, and lists
-whose members have all met drop out. When no list is left or a round finds nothing new, the pairs of members that
-are still apart are compared in full, so that no link between components is lost.
+whose members have all met drop out. When no list is left or a round joins few of the classes still open, the pairs
+of members that are still apart and leave room for each other are compared, so that no link between components is lost.
 
 Null and empty texts have empty sets and link with nothing. Rows keep their own line in the result, repeated ids
 included; a null id takes part, but never names a component. Clashing columns are not read.
@@ -27,7 +30,7 @@ from math import ceil, comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldnotes.llm.base import SIMILAR, components, mix, saved, shingle_hashes
@@ -35,7 +38,7 @@ from fieldnotes.llm.base import SIMILAR, components, mix, saved, shingle_hashes
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together.
 LIGHT, FREQUENT, LAST, TOGETHER = 10, 24, 131_072, 2_000_000
-#: All pairs that are still apart are compared at once when there are at most so many for each member of a list.
+#: All pairs that are still apart are compared when a round finds less than a link for so many open classes.
 DIRECT = 8
 #: Members that are drawn from a list in a round, and candidates that a class is held against.
 DRAWN = 4
@@ -43,8 +46,9 @@ DRAWN = 4
 FEW = 200_000
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent shingles. Tasks send what they have seen in two documents or more."""
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the most frequent shingles, and their counts. Tasks send what they have seen in two documents
+    or more."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -64,8 +68,10 @@ def _frequent(texts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"value": values[n > 1].view(np.int64), "n": n[n > 1]})
 
     rows = texts.mapInPandas(count, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    top = rows.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(LAST).select("value").toPandas()
-    return np.sort(top["value"].to_numpy(dtype=np.int64).view(np.uint64))
+    top = rows.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "value").limit(LAST).toPandas()
+    values = top["value"].to_numpy(dtype=np.int64).view(np.uint64)
+    by_value = np.argsort(values)
+    return values[by_value], top["n"].to_numpy(dtype=np.int64)[by_value]
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -89,8 +95,9 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(build, f"doc_id {kind}, n_shingles long, class long, small array<long>")
 
 
-def _lists(texts: DataFrame, last: np.ndarray, least: int) -> DataFrame:
-    """(token, class, n): the first shingles of every set in the shared order."""
+def _lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int) -> DataFrame:
+    """(token, class, n, p): the first shingles of every set in the shared order, and their places in it."""
+    last, counts = frequent
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()  # classes that this task has listed; copies need no second line
@@ -105,14 +112,15 @@ def _lists(texts: DataFrame, last: np.ndarray, least: int) -> DataFrame:
                     done.clear()
                 done.add(which)
                 at = np.searchsorted(last, own)
-                late = (last[np.minimum(at, len(last) - 1)] == own) if len(last) else np.zeros(n, bool)
+                at = np.minimum(at, len(last) - 1)
+                late = np.where(last[at] == own, counts[at], 0) if len(last) else np.zeros(n, np.int64)
                 ordered = own[np.lexsort((mix(own), late))]
                 held.append((ordered[: n - ceil(least * n / 100) + 1].view(np.int64), which, n))
             if held:
                 sizes = [len(h[0]) for h in held]
-                yield pd.DataFrame({"token": np.concatenate([h[0] for h in held]), "class": np.repeat([h[1] for h in held], sizes), "n": np.repeat([h[2] for h in held], sizes)})
+                yield pd.DataFrame({"token": np.concatenate([h[0] for h in held]), "class": np.repeat([h[1] for h in held], sizes), "n": np.repeat([h[2] for h in held], sizes), "p": np.concatenate([np.arange(k) for k in sizes])})
 
-    return texts.mapInPandas(build, "token long, class long, n long")
+    return texts.mapInPandas(build, "token long, class long, n long, p long")
 
 
 def _subset_sizes(n: int, boundary: int, least: int) -> set[int]:
@@ -120,7 +128,7 @@ def _subset_sizes(n: int, boundary: int, least: int) -> set[int]:
 
 
 def _subsets(sets: DataFrame, boundary: int, least: int) -> DataFrame:
-    """(token, class, n): one token for each fixed-size subset of every light set."""
+    """(token, class, n, p): one token for each fixed-size subset of every light set; p is 0, subsets have no places."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,17 +137,24 @@ def _subsets(sets: DataFrame, boundary: int, least: int) -> DataFrame:
                 for k in _subset_sizes(n, boundary, least):
                     for part in combinations(sorted(int(x) for x in own), k):
                         key = blake2b(np.array([k, *part], np.int64).tobytes(), digest_size=8).digest()
-                        rows.append((int.from_bytes(key, "little", signed=True), which, n))
-            yield pd.DataFrame(rows, columns=["token", "class", "n"])
+                        rows.append((int.from_bytes(key, "little", signed=True), which, n, 0))
+            yield pd.DataFrame(rows, columns=["token", "class", "n", "p"])
 
-    return sets.mapInPandas(build, "token long, class long, n long")
+    return sets.mapInPandas(build, "token long, class long, n long, p long")
 
 
-def _shared(lists: DataFrame) -> DataFrame:
-    """The lists with at least two members, each member once. One shuffle serves the count and the join."""
+def _common(one: str | Column, two: str | Column, least: int) -> Column:
+    """Shingles that linked sets of those sizes have in common."""
+    return F.ceil(least * (F.col(one) if isinstance(one, str) else one) / (100 + least) + least * (F.col(two) if isinstance(two, str) else two) / (100 + least) - 1e-6)
+
+
+def _shared(lists: DataFrame, least: int) -> DataFrame:
+    """The lists with at least two members, each member once, without members that none of the list's sizes gives
+    room. One shuffle serves the count and the join."""
     dealt = lists.repartition("token")
-    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.max("n").alias("most")).filter("several and most > 0").select("token")
-    return dealt.join(several, "token").dropDuplicates(["token", "class"])
+    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.min("n").alias("smallest")).filter("several").select("token", "smallest")
+    partner = F.greatest("smallest", F.ceil(least * F.col("n") / 100 - 1e-6))
+    return dealt.join(several, "token").filter(F.col("p") <= F.col("n") - _common("n", partner, least)).dropDuplicates(["token", "class"]).drop("smallest")
 
 
 def _boundary(lists: DataFrame, classes: DataFrame, least: int) -> int:
@@ -171,25 +186,26 @@ def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sets = saved(_sets(rows), "sizes")
     classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "classes")
-    lists = saved(_shared(_lists(rows.select("text"), _frequent(rows.select("text")), least)), "lists")
+    lists = saved(_shared(_lists(rows.select("text"), _frequent(rows.select("text")), least), least), "lists")
     boundary = _boundary(lists, classes, least)
     if boundary:
         small = sets.filter(F.col("n_shingles").between(1, boundary)).select("class", F.col("n_shingles").alias("n"), "small").dropDuplicates(["class"])
         heavy = lists.filter(100 * F.col("n") >= least * (boundary + 1))
-        lists = saved(_shared(heavy.unionByName(_subsets(small, boundary, least))), "lists")
+        lists = saved(_shared(heavy.unionByName(_subsets(small, boundary, least)), least), "lists")
     labels = classes.select("class", F.col("class").alias("label"))
     links, turn, found, left = None, 0, True, saved(_apart(lists, labels), "apart")
     while left.limit(1).count():
-        whole = not found or _pairs_apart(left) <= DIRECT * left.count()
+        whole = not found
         pairs = _all_apart(left, least) if whole else _drawn(left, turn, least)
         pairs = saved(pairs.select("a", "b"), "pairs")
         new = saved(_verified(pairs, _full(rows, pairs, classes), least), "found")
         links = new if links is None else links.unionByName(new)
-        found = new.limit(1).count() > 0
-        if found:
+        n_new = new.count()
+        if n_new:
             labels = _relabel(classes, links)
         if whole:
             break
+        found = n_new * DIRECT >= left.select("class").distinct().count()
         turn += 1
         left = saved(_apart(left.drop("label"), labels), "apart")
     smallest = labels.join(classes, "class").groupBy("label").agg(F.min("first").alias("component"))
@@ -225,43 +241,32 @@ def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(open_lists, "token")
 
 
-def _pairs_apart(lists: DataFrame) -> int:
-    """How many pairs of members with different labels the lists hold."""
-    same = lists.groupBy("token", "label").agg(F.count("*").alias("m"))
-    of_list = same.groupBy("token").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice"))
-    return (of_list.agg(F.sum("twice")).first()[0] or 0) // 2
-
-
 def _drawn(lists: DataFrame, turn: int, least: int) -> DataFrame:
     """For every class some members of its lists with another label: of those drawn this turn, a few for each list,
     the ones that share most lists with it."""
-    draw = [F.min_by(F.struct("class", "n", "label"), F.xxhash64("class", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]
-    drawn = lists.groupBy("token").agg(F.array_distinct(F.array(*draw)).alias("drawn")).select("token", F.explode("drawn").alias("p"))
-    near = lists.join(drawn, "token").filter(F.col("p.label") != F.col("label")).select(
-        F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p.class").alias("b"), F.col("p.n").alias("n_b")
-    )
-    best = _likely(near, least).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, DRAWN).alias("best"))
+    draw = [F.min_by(F.struct("class", "n", "p", "label"), F.xxhash64("class", F.lit(turn * DRAWN + k))) for k in range(DRAWN)]
+    drawn = lists.groupBy("token").agg(F.array_distinct(F.array(*draw)).alias("drawn")).select("token", F.explode("drawn").alias("other"))
+    drawn = drawn.select("token", F.col("other.class").alias("b"), F.col("other.n").alias("n_b"), F.col("other.p").alias("p_b"), F.col("other.label").alias("label_b"))
+    own = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"))
+    best = _likely(own.join(drawn, "token").filter("label_a != label_b"), least).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False), 1, DRAWN).alias("best"))
     pairs = best.select("a", F.explode("best").alias("best")).select("a", F.col("best.b").alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _all_apart(lists: DataFrame, least: int) -> DataFrame:
     """All pairs of members of a list with different labels and fitting sizes."""
-    one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    two = lists.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"))
+    two = lists.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"))
     apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
     return _likely(one.join(two, "token").filter(apart), least)
 
 
 def _likely(met: DataFrame, least: int) -> DataFrame:
-    """(a, b, shared) of the pairs that can be linked by their sizes and by the number of lists they share: past the
-    lists of the set that runs out of them first, at most its other ceil(t n) - 1 shingles can be common. Light
-    sets share subsets instead and are only held against their sizes."""
-    beyond = F.ceil(least * F.greatest("n_a", "n_b") / 100) - 1
+    """(a, b, shared) of the pairs that can be linked by their sizes and by the places of a shingle they share; shared
+    is the number of such shingles."""
     fits = 100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    enough = (F.col("shared") + beyond) * (100 + least) >= least * (F.col("n_a") + F.col("n_b"))
-    counted = met.filter(fits).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return counted.filter(enough | (F.least("n_a", "n_b") <= LIGHT)).select("a", "b", "shared")
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= _common("n_a", "n_b", least)
+    return met.filter(fits & room).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
