@@ -12,10 +12,12 @@ For a similarity t two sets can only be linked if the smaller has t of the large
   that no partner in their list gives that room drop out.
 * The boundary is where the subsets of the light and the lists of the heavy cost least together.
 
-Members of a list are not paired off. In every round each class is held against a few members of its lists, the ones
+Members of a list are not paired off. In a round each class is held against a few members of its lists, the ones
 it shares most lists with among those drawn for that round, the links found are closed into components, and lists
-whose members have all met drop out. When no list is left or a round joins few of the classes still open, the pairs
-of members that are still apart and leave room for each other are compared, so that no link between components is lost.
+whose members have all met drop out. Rounds end when the pairs of members that are still apart are few for the rows
+of the lists, or when a round joins few of the classes still open. Those pairs are then compared, so that no link
+between components is lost: each set carries a bitmap of its shingles' parities, whose difference is no larger than
+that of the sets, and pairs with too large a difference are ruled out before their sets are read.
 
 Null and empty texts have empty sets and link with nothing. Rows keep their own line in the result, repeated ids
 included; a null id takes part, but never names a component. Clashing columns are not read.
@@ -38,8 +40,11 @@ from fieldnotes.llm.base import SIMILAR, components, mix, saved, shingle_hashes
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together.
 LIGHT, FREQUENT, LAST, TOGETHER = 10, 24, 131_072, 2_000_000
-#: All pairs that are still apart are compared when a round finds less than a link for so many open classes.
-DIRECT = 8
+#: All pairs that are still apart are compared when a round finds less than a link for so many open classes, or when
+#: there are at most so many for a row of the lists.
+DIRECT, AFFORDABLE = 8, 16
+#: Longs in the bitmap of a set.
+BITMAP = 8
 #: Members that are drawn from a list in a round, and candidates that a class is held against.
 DRAWN = 4
 #: Ids that may go to every task, 16 bytes each; more than that are joined by a shuffle.
@@ -150,17 +155,16 @@ def _common(one: str | Column, two: str | Column, least: int) -> Column:
 
 def _shared(lists: DataFrame, least: int) -> DataFrame:
     """The lists with at least two members, each member once, without members that none of the list's sizes gives
-    room. One shuffle serves the count and the join."""
+    room; m is the length of the list before. One shuffle serves the count and the join."""
     dealt = lists.repartition("token")
-    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.min("n").alias("smallest")).filter("several").select("token", "smallest")
+    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.min("n").alias("smallest"), F.count("*").alias("m")).filter("several").select("token", "smallest", "m")
     partner = F.greatest("smallest", F.ceil(least * F.col("n") / 100 - 1e-6))
     return dealt.join(several, "token").filter(F.col("p") <= F.col("n") - _common("n", partner, least)).dropDuplicates(["token", "class"]).drop("smallest")
 
 
 def _boundary(lists: DataFrame, classes: DataFrame, least: int) -> int:
     """The size up to which subsets cost less than lists: pairs of members on lists against subsets to write."""
-    length = lists.groupBy("token").agg(F.count("*").alias("m"))
-    heavy = {r["n"]: r["cost"] for r in lists.filter(F.col("n") <= LIGHT).join(length, "token").groupBy("n").agg(F.sum("m").alias("cost")).collect()}
+    heavy = {r["n"]: r["cost"] for r in lists.filter(F.col("n") <= LIGHT).groupBy("n").agg(F.sum("m").alias("cost")).collect()}
     many = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LIGHT).groupBy("n").count().collect()}
 
     def cost(boundary: int) -> float:
@@ -190,24 +194,27 @@ def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
     boundary = _boundary(lists, classes, least)
     if boundary:
         small = sets.filter(F.col("n_shingles").between(1, boundary)).select("class", F.col("n_shingles").alias("n"), "small").dropDuplicates(["class"])
-        heavy = lists.filter(100 * F.col("n") >= least * (boundary + 1))
+        heavy = lists.filter(100 * F.col("n") >= least * (boundary + 1)).drop("m")
         lists = saved(_shared(heavy.unionByName(_subsets(small, boundary, least)), least), "lists")
-    labels = classes.select("class", F.col("class").alias("label"))
-    links, turn, found, left = None, 0, True, saved(_apart(lists, labels), "apart")
-    while left.limit(1).count():
-        whole = not found
-        pairs = _all_apart(left, least) if whole else _drawn(left, turn, least)
-        pairs = saved(pairs.select("a", "b"), "pairs")
-        new = saved(_verified(pairs, _full(rows, pairs, classes), least), "found")
+    full = _full(rows, lists, classes)
+    labels, n_rows = classes.select("class", F.col("class").alias("label")), lists.count()
+    links, turn, whole = None, 0, False
+    left = lists.select("token", "class", "n", "p", F.col("class").alias("label"))  # each has two classes or more
+    while n_rows:
+        pairs = saved((_all_apart(left, full, least) if whole else _drawn(left, turn, least)).select("a", "b"), "pairs")
+        new = saved(_verified(pairs, full, least), "found")
         links = new if links is None else links.unionByName(new)
         n_new = new.count()
         if n_new:
             labels = _relabel(classes, links)
         if whole:
             break
-        found = n_new * DIRECT >= left.select("class").distinct().count()
-        turn += 1
         left = saved(_apart(left.drop("label"), labels), "apart")
+        pairs_apart, n_open = _still_apart(left)
+        if not pairs_apart:
+            break
+        whole = pairs_apart <= AFFORDABLE * n_rows or n_new * DIRECT < n_open
+        turn += 1
     smallest = labels.join(classes, "class").groupBy("label").agg(F.min("first").alias("component"))
     names = saved(labels.join(smallest, "label").select("class", "component"), "names")
     # a class may hold a third of all rows; its one name goes to as many rows, dealt over salts
@@ -217,10 +224,9 @@ def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
     return dealt.join(spread, ["class", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, hashes) of the classes in pairs, from the text of one document of each."""
-    members = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    members = saved(members.join(classes, "class").select(F.col("first").alias("doc_id"), "class"), "members")
+def _full(rows: DataFrame, lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, hashes, bits) of the classes in lists, from the text of one document of each."""
+    members = saved(lists.select("class").distinct().join(classes, "class").select(F.col("first").alias("doc_id"), "class"), "members")
     few = members.count() <= FEW
     rows = rows.join(F.broadcast(members) if few else members, "doc_id")
 
@@ -228,10 +234,17 @@ def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             own = [np.unique(h) for h in shingle_hashes(batch["text"])]
             same = [len(o) > 0 and _class_of(o) == c for o, c in zip(own, batch["class"])]
-            yield pd.DataFrame({"class": batch["class"][same], "hashes": [o.view(np.int64) for o, s in zip(own, same) if s]})
+            own = [o for o, s in zip(own, same) if s]
+            yield pd.DataFrame({"class": batch["class"][same].to_numpy(), "hashes": [o.view(np.int64) for o in own], "bits": [_bitmap(o) for o in own]})
 
     # rows that repeat an id may bring a class twice
-    return saved(rows.mapInPandas(build, "class long, hashes array<long>").dropDuplicates(["class"]), "full")
+    return saved(rows.mapInPandas(build, "class long, hashes array<long>, bits array<long>").dropDuplicates(["class"]), "full")
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITMAP places whether an odd number of hashes fall there."""
+    places = (mix(hashes) % np.uint64(64 * BITMAP)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,6 +254,13 @@ def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(open_lists, "token")
 
 
+def _still_apart(lists: DataFrame) -> tuple[int, int]:
+    """Pairs of members with different labels over all lists, and the classes in them."""
+    parts = lists.groupBy("token", "label").agg(F.count("*").cast("double").alias("k"))
+    pairs = parts.groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
+    return int(pairs or 0), lists.select("class").distinct().count()
+
+
 def _drawn(lists: DataFrame, turn: int, least: int) -> DataFrame:
     """For every class some members of its lists with another label: of those drawn this turn, a few for each list,
     the ones that share most lists with it."""
@@ -253,20 +273,26 @@ def _drawn(lists: DataFrame, turn: int, least: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _all_apart(lists: DataFrame, least: int) -> DataFrame:
-    """All pairs of members of a list with different labels and fitting sizes."""
-    one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"))
-    two = lists.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"))
+def _all_apart(lists: DataFrame, full: DataFrame, least: int) -> DataFrame:
+    """All pairs of members of a list with different labels, fitting sizes and bitmaps near enough."""
+    lists = lists.join(full.select("class", "bits"), "class")
+    one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"))
+    two = lists.select(F.col("token").alias("other"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"))
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
+    near = differ <= F.col("n_a") + F.col("n_b") - 2 * _common("n_a", "n_b", least)
     apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    return _likely(one.join(two, "token").filter(apart), least)
+    return one.join(two, (F.col("token") == F.col("other")) & apart & _fitting(least) & near).select("a", "b").distinct()
 
 
-def _likely(met: DataFrame, least: int) -> DataFrame:
-    """(a, b, shared) of the pairs that can be linked by their sizes and by the places of a shingle they share; shared
-    is the number of such shingles."""
+def _fitting(least: int) -> Column:
+    """Whether a pair can be linked by its sizes and by the places of the shingle that it shares."""
     fits = 100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= _common("n_a", "n_b", least)
-    return met.filter(fits & room).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return fits & (F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= _common("n_a", "n_b", least))
+
+
+def _likely(met: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared) of the pairs that may be linked; shared is the number of lists that say so."""
+    return met.filter(_fitting(least)).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
