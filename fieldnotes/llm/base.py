@@ -74,7 +74,7 @@ _OF_WORD = _RANDOM.integers(0, 2**64, SHINGLE, np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed together.
-_TOGETHER = 2_000_000
+_TOGETHER = 500_000
 
 
 def _hashed_together(raw: list[bytes]) -> list[np.ndarray]:

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from fieldnotes.llm.base import SIMILAR, components, mix, saved, shingle_hashes
 
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
-#: shingles that are counted together.
-LIGHT, FREQUENT, LAST, TOGETHER = 10, 24, 131_072, 2_000_000
+#: shingles that are counted together; lines of lists that a task hands over together.
+LIGHT, FREQUENT, LAST, TOGETHER, WRITTEN = 10, 24, 131_072, 1_000_000, 100_000
 #: All pairs that are still apart are compared when a round finds less than a link for so many open classes, or when
 #: there are at most so many for a row of the lists.
 DIRECT, AFFORDABLE = 8, 16
@@ -106,8 +106,9 @@ def _lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[int] = set()  # classes that this task has listed; copies need no second line
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            held = []
             for hashes in shingle_hashes(batch["text"]):
                 own = np.unique(hashes)
                 n, which = len(own), _class_of(own)
@@ -121,9 +122,16 @@ def _lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int
                 late = np.where(last[at] == own, counts[at], 0) if len(last) else np.zeros(n, np.int64)
                 ordered = own[np.lexsort((mix(own), late))]
                 held.append((ordered[: n - ceil(least * n / 100) + 1].view(np.int64), which, n))
-            if held:
-                sizes = [len(h[0]) for h in held]
-                yield pd.DataFrame({"token": np.concatenate([h[0] for h in held]), "class": np.repeat([h[1] for h in held], sizes), "n": np.repeat([h[2] for h in held], sizes), "p": np.concatenate([np.arange(k) for k in sizes])})
+                size += len(held[-1][0])
+                if size >= WRITTEN:
+                    yield listed(held)
+                    held, size = [], 0
+        if held:
+            yield listed(held)
+
+    def listed(held: list[tuple]) -> pd.DataFrame:
+        sizes = [len(h[0]) for h in held]
+        return pd.DataFrame({"token": np.concatenate([h[0] for h in held]), "class": np.repeat([h[1] for h in held], sizes), "n": np.repeat([h[2] for h in held], sizes), "p": np.concatenate([np.arange(k) for k in sizes])})
 
     return texts.mapInPandas(build, "token long, class long, n long, p long")
 
@@ -155,9 +163,12 @@ def _common(one: str | Column, two: str | Column, least: int) -> Column:
 
 def _shared(lists: DataFrame, least: int) -> DataFrame:
     """The lists with at least two members, each member once, without members that none of the list's sizes gives
-    room; m is the length of the list before. One shuffle serves the count and the join."""
-    dealt = lists.repartition("token")
-    several = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.min("n").alias("smallest"), F.count("*").alias("m")).filter("several").select("token", "smallest", "m")
+    room; m is the length of the list before. One shuffle serves the count and the join, as both read all columns: the
+    largest room counts too, which no list of members without room for the smallest has."""
+    # the join would add these filters to one side only, and then shuffle the same rows a second time
+    dealt = lists.filter("token is not null and n is not null and p is not null").repartition("token")
+    facts = dealt.groupBy("token").agg((F.min("class") < F.max("class")).alias("several"), F.min("n").alias("smallest"), F.max(F.col("n") - F.col("p")).alias("room"), F.count("*").alias("m"))
+    several = facts.filter(F.col("several") & (F.col("room") >= _common("smallest", "smallest", least))).select("token", "smallest", "m")
     partner = F.greatest("smallest", F.ceil(least * F.col("n") / 100 - 1e-6))
     return dealt.join(several, "token").filter(F.col("p") <= F.col("n") - _common("n", partner, least)).dropDuplicates(["token", "class"]).drop("smallest")
 
