@@ -85,19 +85,19 @@ def _class_of(hashes: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, small), small: the hashes of sets that may be light."""
+    """(doc_id, n_shingles, class, small, bits), small: the hashes of sets that may be light."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             table = []
             for hashes in shingle_hashes(batch["text"]):
                 own = np.unique(hashes)
-                table.append((len(own), _class_of(own) if len(own) else None, own.view(np.int64) if 0 < len(own) <= LIGHT else None))
-            more = pd.DataFrame(table, columns=["n_shingles", "class", "small"]).astype({"class": "Int64"})
+                table.append((len(own), _class_of(own) if len(own) else None, own.view(np.int64) if 0 < len(own) <= LIGHT else None, _bitmap(own)))
+            more = pd.DataFrame(table, columns=["n_shingles", "class", "small", "bits"]).astype({"class": "Int64"})
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), more], axis=1)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(build, f"doc_id {kind}, n_shingles long, class long, small array<long>")
+    return rows.mapInPandas(build, f"doc_id {kind}, n_shingles long, class long, small array<long>, bits array<long>")
 
 
 def _lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int) -> DataFrame:
@@ -200,20 +200,19 @@ def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sets = saved(_sets(rows), "sizes")
-    classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "classes")
+    classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits")), "classes")
     lists = saved(_shared(_lists(rows.select("text"), _frequent(rows.select("text")), least), least), "lists")
     boundary = _boundary(lists, classes, least)
     if boundary:
         small = sets.filter(F.col("n_shingles").between(1, boundary)).select("class", F.col("n_shingles").alias("n"), "small").dropDuplicates(["class"])
         heavy = lists.filter(100 * F.col("n") >= least * (boundary + 1)).drop("m")
         lists = saved(_shared(heavy.unionByName(_subsets(small, boundary, least)), least), "lists")
-    full = _full(rows, lists, classes)
     labels, n_rows = classes.select("class", F.col("class").alias("label")), lists.count()
     links, turn, whole = None, 0, False
     left = lists.select("token", "class", "n", "p", F.col("class").alias("label"))  # each has two classes or more
     while n_rows:
-        pairs = saved((_all_apart(left, full, least) if whole else _drawn(left, turn, least)).select("a", "b"), "pairs")
-        new = saved(_verified(pairs, full, least), "found")
+        pairs = saved((_all_apart(left, classes, least) if whole else _drawn(left, turn, least)).select("a", "b"), "pairs")
+        new = saved(_verified(pairs, _full(rows, pairs, classes), least), "found")
         links = new if links is None else links.unionByName(new)
         n_new = new.count()
         if n_new:
@@ -235,9 +234,10 @@ def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
     return dealt.join(spread, ["class", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _full(rows: DataFrame, lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, hashes, bits) of the classes in lists, from the text of one document of each."""
-    members = saved(lists.select("class").distinct().join(classes, "class").select(F.col("first").alias("doc_id"), "class"), "members")
+def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, hashes) of the classes in pairs, from the text of one document of each."""
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    members = saved(named.join(classes, "class").select(F.col("first").alias("doc_id"), "class"), "members")
     few = members.count() <= FEW
     rows = rows.join(F.broadcast(members) if few else members, "doc_id")
 
@@ -245,11 +245,10 @@ def _full(rows: DataFrame, lists: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             own = [np.unique(h) for h in shingle_hashes(batch["text"])]
             same = [len(o) > 0 and _class_of(o) == c for o, c in zip(own, batch["class"])]
-            own = [o for o, s in zip(own, same) if s]
-            yield pd.DataFrame({"class": batch["class"][same].to_numpy(), "hashes": [o.view(np.int64) for o in own], "bits": [_bitmap(o) for o in own]})
+            yield pd.DataFrame({"class": batch["class"][same].to_numpy(), "hashes": [o.view(np.int64) for o, s in zip(own, same) if s]})
 
     # rows that repeat an id may bring a class twice
-    return saved(rows.mapInPandas(build, "class long, hashes array<long>, bits array<long>").dropDuplicates(["class"]), "full")
+    return saved(rows.mapInPandas(build, "class long, hashes array<long>").dropDuplicates(["class"]), "full")
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -284,9 +283,9 @@ def _drawn(lists: DataFrame, turn: int, least: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _all_apart(lists: DataFrame, full: DataFrame, least: int) -> DataFrame:
+def _all_apart(lists: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """All pairs of members of a list with different labels, fitting sizes and bitmaps near enough."""
-    lists = lists.join(full.select("class", "bits"), "class")
+    lists = lists.join(classes.select("class", "bits"), "class")
     one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"))
     two = lists.select(F.col("token").alias("other"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"))
     differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
