@@ -21,21 +21,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Formats of issued keys, in the order in which they are tried.
+#: Formats of issued keys, in the order in which they are tried. Runs have no upper bound and don't backtrack; formats
+#: of a fixed length leave longer runs to the rule for long tokens.
 FORMATS = (
-    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]{16,}-----END [A-Z ]{0,20}PRIVATE KEY-----"),
-    ("aws_key", r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}"),
-    ("github_token", r"(?:gh[pousr]_[0-9A-Za-z]{36,255}|github_pat_[0-9A-Za-z_]{22,255})"),
-    ("slack_token", r"xox[abeoprs]-[0-9A-Za-z-]{10,200}"),
-    ("google_key", r"AIza[0-9A-Za-z_-]{35}"),
-    ("stripe_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,100}"),
-    ("sk_key", r"sk-[0-9A-Za-z_-]{20,200}"),
-    ("web_token", r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
-    ("url_password", r"[a-z][a-z+]{1,12}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    ("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?![\s\S]{0,15}-----END )(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,20}PRIVATE KEY-----"),
+    ("aws_key", r"(?:AKIA|ASIA|AGPA|AIDA|AROA)[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    ("github_token", r"(?:gh[pousr]_[0-9A-Za-z]{36,}+|github_pat_[0-9A-Za-z_]{22,}+)"),
+    ("slack_token", r"xox[abeoprs]-[0-9A-Za-z-]{10,}+"),
+    ("google_key", r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
+    ("stripe_key", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+"),
+    ("sk_key", r"sk-[0-9A-Za-z_-]{20,}+"),
+    ("web_token", r"eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"),
+    ("url_password", r"[a-z][a-z+]{1,12}://[^\s:/@]++:[^\s:/@]{3,}+@"),
 )
 NAMES = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?)"
-ASSIGNED = rf"(?i:{NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?[^\s\"',;]{{6,200}}"
-LONG = r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9+/_-]{0,60}[A-Za-z])[0-9A-Za-z+/_-]{16,200}={0,2}"
+NAMED = rf"(?i:{NAMES})[\"']?[ \t]{{0,4}}(?::=|=>|[:=])[ \t]{{0,4}}[\"']?"
+#: An assigned value is a key in lines, or an issued key with what follows it, or any run.
+RUN = r"[^\s\"',;]"
+ASSIGNED = rf"{NAMED}(?:{FORMATS[0][1]}|(?:{'|'.join(f for _, f in FORMATS[1:])}){RUN}*+|{RUN}{{6,}}+)"
+#: A long token begins where no other goes on, or right behind the last hit.
+LONG = r"(?:\G|(?<![0-9A-Za-z+/_-]))(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[0-9A-Za-z+/_-]{16,}+={0,2}"
 CANDIDATE = "|".join(["(?:" + f + ")" for _, f in FORMATS] + [ASSIGNED, LONG])
 #: Parts of words that make up most ordinary text and identifiers.
 DICTIONARY = r"(?:tion|ment|ing|ent|the|and|ion|ter|con|pro|com|ver|per|user|name|file|test|data|key|value|index|html|http|www|path|home|example|sample|config|class|list|page|item|null|true|false|version|image|size|type|number|date|time|[aeiou][bcdfghjklmnpqrstvwxz]e|[bcdfghjklmnpqrstvwxz][aeiou][nrstl])"
@@ -68,10 +73,14 @@ def _share(c: Column, kind: str) -> Column:
 def featured(found: DataFrame) -> DataFrame:
     """Candidates with `kind`, `value` (the part that is secret) and the features."""
     hit = F.col("hit")
-    kind = reduce(lambda rest, f: F.when(hit.rlike("^(?:" + f[1] + ")$"), f[0]).otherwise(rest), reversed(FORMATS), F.when(hit.rlike("^" + ASSIGNED), "assigned").otherwise("token"))
-    value = F.when(F.col("kind") == "assigned", F.regexp_extract("hit", rf"^(?i:{NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?(.*)$", 1))
-    value = value.when(F.col("kind") == "url_password", F.regexp_extract("hit", r"://[^:]*:([^@]*)@$", 1)).otherwise(hit)
-    frame = found.withColumn("kind", kind).withColumn("value", value)
+    issued = lambda c, rest: reduce(lambda rest, f: F.when(c.rlike("^(?:" + f[1] + ")$"), f[0]).otherwise(rest), reversed(FORMATS), rest)
+    assigned = F.regexp_extract("hit", rf"(?s)^{NAMED}(.*)$", 1)
+    # an assigned value that is an issued key as a whole has that key's kind
+    frame = found.withColumn("kind", issued(hit, F.when(hit.rlike("^" + ASSIGNED), "assigned").otherwise("token")))
+    frame = frame.withColumn("value", F.when(F.col("kind") == "assigned", assigned).otherwise(hit))
+    frame = frame.withColumn("_named", F.col("kind") == "assigned")
+    frame = frame.withColumn("kind", F.when(F.col("_named"), issued(F.col("value"), F.lit("assigned"))).otherwise(F.col("kind")))
+    frame = frame.withColumn("value", F.when(F.col("kind") == "url_password", F.regexp_extract("value", r"://[^:]*:([^@]*)@$", 1)).otherwise(F.col("value")))
     v, low, before = F.col("value"), F.lower("value"), F.lower("before")
     changes = r"[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"
     flag = lambda c: c.cast("double")
@@ -87,13 +96,13 @@ def featured(found: DataFrame) -> DataFrame:
         "hexadecimal": flag(low.rlike("^[0-9a-f]+$")),
         "covered": (F.length(v) - F.length(F.regexp_replace(low, DICTIONARY, ""))) / F.greatest(F.length(v), F.lit(1)),
         "issued": flag(~F.col("kind").isin("assigned", "token")),
-        "assigned": flag((F.col("kind") == "assigned") | before.rlike(rf"{NAMES}[^\n]{{0,12}}$")),
+        "assigned": flag(F.col("_named") | before.rlike(rf"{NAMES}[^\n]{{0,12}}$")),
         "near": flag(before.rlike(rf"{NAMES}|bearer|login|key")),
         "against": flag(before.rlike(r"commit|revision|sha-?[0-9]|md5|checksum|digest|hash|uuid|guid|isbn|order|invoice|serial|version|https?://|www\.")),
         "path": flag(F.lower(F.coalesce("path", F.lit(""))).rlike("test|example|sample|mock|fixture|docs?/")),
         "placeholder": flag(low.rlike(r"example|changeme|placeholder|dummy|your[_-]|xxxx|0000000|1234567|abcdef|<|\$\{|redacted|process\.env|none|null")),
         "quoted": flag(before.rlike("[\"'`]$")),
-    })
+    }).drop("_named")
 
 
 def labelled_findings(spark: SparkSession, each: int = 160) -> DataFrame:
@@ -164,7 +173,8 @@ def redact(docs: DataFrame, path: str | None = None, mark: str = "[secret]") ->
     """docs with every secret in `text` replaced by a mark and n_chars brought up to date."""
     from fieldnotes.llm.base import saved
 
-    found = scan(docs, path).filter("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set("value"), asc=False).alias("_values"))
+    # the longest go first, so that none is broken up by another that it holds
+    found = scan(docs, path).filter("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False)["value"].alias("_values"))
     found = saved(found, "secrets")
     size = found.agg(F.count("*").alias("rows"), F.sum(F.expr("aggregate(_values, 0, (n, v) -> n + length(v))")).alias("characters")).first()
     small = size["rows"] <= ROWS and (size["characters"] or 0) <= CHARACTERS
