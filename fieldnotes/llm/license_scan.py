@@ -1,8 +1,8 @@
 """License scan: ordered signature rules behind keyword gates, on native expressions alone.
 
 A text becomes one line of words with one space between them. A rule is a regular expression over whole
-words with a label, a keyword and a priority. A rule's expression is tried only on lines that hold its
-keyword. All places of a rule come from split() and regexp_extract_all(): the words between two places and
+words with a label, keywords and a priority. A rule's expression is tried only on lines that hold one of its
+keywords, which every match holds. All places of a rule come from split() and regexp_extract_all(): the words between two places and
 the words of a place add up to its interval of words. Detections are then resolved: one that lies inside
 the interval of another with a higher priority, or of a longer one with the same priority, is suppressed.
 
@@ -12,6 +12,8 @@ of the input that clash with results are replaced in the result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,54 +22,55 @@ from fieldnotes.llm.base import ascii_lower
 #: Fixed phrases of the base detection with their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Families: label, names as a regular expression over words, keyword of the gate, versions that are written.
+#: Families: label, names as a regular expression over words, keywords of the gate (every alternative holds one of
+#: them), versions that are written.
 FAMILIES = (
-    ("gpl", "(?:gnu )?(?:general public license|gpl)", "g", ("1", "2", "3")),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license|lgpl", "l", ("2", "2 1", "3")),
-    ("agpl", "(?:gnu )?affero general public license|agpl", "a", ("1", "3")),
-    ("gfdl", "(?:gnu )?free documentation license|gfdl", "f", ("1 1", "1 2", "1 3")),
-    ("apache", "apache (?:software )?license|asl", "a", ("1", "1 1", "2")),
-    ("mit", "(?:the )?mit(?: expat| x11)? license|expat license", "mit", ()),
-    ("bsd", "(?:new |modified |simplified |revised )?bsd(?: style)? license", "bsd", ()),
-    ("bsd-2-clause", "(?:2|two) clause bsd license|bsd (?:2|two) clause", "bsd", ()),
-    ("bsd-3-clause", "(?:3|three) clause bsd license|bsd (?:3|three) clause", "bsd", ()),
-    ("bsd-4-clause", "(?:4|four) clause bsd license|bsd (?:4|four) clause", "bsd", ()),
-    ("0bsd", "zero clause bsd|0bsd", "bsd", ()),
-    ("mpl", "mozilla public license|mpl", "m", ("1", "1 1", "2")),
-    ("epl", "eclipse public license|epl", "e", ("1", "2")),
-    ("cpl", "common public license", "common", ("1",)),
-    ("cddl", "common development and distribution license|cddl", "d", ("1", "1 1")),
-    ("eupl", "european union public licen[cs]e|eupl", "e", ("1", "1 1", "1 2")),
-    ("artistic", "artistic license", "artistic", ("1", "2")),
-    ("zlib", "zlib(?: libpng)? license", "zlib", ()),
-    ("libpng", "libpng license", "libpng", ("2",)),
-    ("isc", "isc license", "isc", ()),
-    ("boost", "boost software license", "boost", ("1",)),
-    ("unlicense", "the unlicense|unlicense", "unlicense", ()),
-    ("wtfpl", "do what the fuck you want to public license|wtfpl", "w", ("2",)),
-    ("ofl", "(?:sil )?open font license|sil ofl", "o", ("1", "1 1")),
-    ("osl", "open software license", "open", ("1", "2", "2 1", "3")),
-    ("afl", "academic free license", "academic", ("1 2", "2", "2 1", "3")),
-    ("ms-pl", "microsoft public license|ms pl", "m", ()),
-    ("ms-rl", "microsoft reciprocal license|ms rl", "m", ()),
-    ("python", "python software foundation license|psf license", "p", ("2",)),
-    ("php", "php license", "php", ("3", "3 01")),
-    ("ruby", "ruby license", "ruby", ()),
-    ("postgresql", "postgresql license", "postgresql", ()),
-    ("openssl", "openssl license", "openssl", ()),
-    ("odbl", "open (?:data commons open )?database license|odbl", "d", ("1",)),
-    ("odc-by", "open data commons attribution license|odc by", "od", ("1",)),
-    ("pddl", "public domain dedication and license|pddl", "d", ("1",)),
-    ("cecill", "cecill(?: license)?", "cecill", ("1", "2", "2 1")),
-    ("upl", "universal permissive license", "universal", ("1",)),
-    ("ncsa", "university of illinois open source license|ncsa license", "n", ()),
-    ("vim", "vim license", "vim", ()),
-    ("beerware", "beerware license|beer ware license", "beer", ()),
-    ("openrail", "(?:creativeml )?open ?rail m?(?: license)?", "rail", ()),
-    ("bsl", "business source license", "business", ("1 1",)),
-    ("sspl", "server side public license|sspl", "s", ("1",)),
-    ("elastic", "elastic license", "elastic", ("2",)),
-    ("cc0", "cc ?0|creative commons zero", "cc", ("1",)),
+    ("gpl", "(?:gnu )?(?:general public license|gpl)", ("general public license", "gpl"), ("1", "2", "3")),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public license|lgpl", ("general public license", "lgpl"), ("2", "2 1", "3")),
+    ("agpl", "(?:gnu )?affero general public license|agpl", ("affero general public license", "agpl"), ("1", "3")),
+    ("gfdl", "(?:gnu )?free documentation license|gfdl", ("free documentation license", "gfdl"), ("1 1", "1 2", "1 3")),
+    ("apache", "apache (?:software )?license|asl", ("apache license", "apache software license", " asl "), ("1", "1 1", "2")),
+    ("mit", "(?:the )?mit(?: expat| x11)? license|expat license", ("mit license", "mit x11 license", "expat license"), ()),
+    ("bsd", "(?:new |modified |simplified |revised )?bsd(?: style)? license", ("bsd license", "bsd style license"), ()),
+    ("bsd-2-clause", "(?:2|two) clause bsd license|bsd (?:2|two) clause", ("clause bsd license", "bsd 2 clause", "bsd two clause"), ()),
+    ("bsd-3-clause", "(?:3|three) clause bsd license|bsd (?:3|three) clause", ("clause bsd license", "bsd 3 clause", "bsd three clause"), ()),
+    ("bsd-4-clause", "(?:4|four) clause bsd license|bsd (?:4|four) clause", ("clause bsd license", "bsd 4 clause", "bsd four clause"), ()),
+    ("0bsd", "zero clause bsd|0bsd", ("zero clause bsd", "0bsd"), ()),
+    ("mpl", "mozilla public license|mpl", ("mozilla public license", " mpl "), ("1", "1 1", "2")),
+    ("epl", "eclipse public license|epl", ("eclipse public license", " epl "), ("1", "2")),
+    ("cpl", "common public license", ("common public license",), ("1",)),
+    ("cddl", "common development and distribution license|cddl", ("distribution license", "cddl"), ("1", "1 1")),
+    ("eupl", "european union public licen[cs]e|eupl", ("european union public licen", "eupl"), ("1", "1 1", "1 2")),
+    ("artistic", "artistic license", ("artistic license",), ("1", "2")),
+    ("zlib", "zlib(?: libpng)? license", ("zlib license", "libpng license"), ()),
+    ("libpng", "libpng license", ("libpng license",), ("2",)),
+    ("isc", "isc license", (" isc license",), ()),
+    ("boost", "boost software license", ("boost software license",), ("1",)),
+    ("unlicense", "the unlicense|unlicense", ("unlicense",), ()),
+    ("wtfpl", "do what the fuck you want to public license|wtfpl", ("you want to public license", "wtfpl"), ("2",)),
+    ("ofl", "(?:sil )?open font license|sil ofl", ("open font license", "sil ofl"), ("1", "1 1")),
+    ("osl", "open software license", ("open software license",), ("1", "2", "2 1", "3")),
+    ("afl", "academic free license", ("academic free license",), ("1 2", "2", "2 1", "3")),
+    ("ms-pl", "microsoft public license|ms pl", ("microsoft public license", " ms pl "), ()),
+    ("ms-rl", "microsoft reciprocal license|ms rl", ("microsoft reciprocal license", " ms rl "), ()),
+    ("python", "python software foundation license|psf license", ("python software foundation license", "psf license"), ("2",)),
+    ("php", "php license", ("php license",), ("3", "3 01")),
+    ("ruby", "ruby license", ("ruby license",), ()),
+    ("postgresql", "postgresql license", ("postgresql license",), ()),
+    ("openssl", "openssl license", ("openssl license",), ()),
+    ("odbl", "open (?:data commons open )?database license|odbl", ("database license", "odbl"), ("1",)),
+    ("odc-by", "open data commons attribution license|odc by", ("open data commons attribution license", "odc by "), ("1",)),
+    ("pddl", "public domain dedication and license|pddl", ("public domain dedication and license", "pddl"), ("1",)),
+    ("cecill", "cecill(?: license)?", ("cecill",), ("1", "2", "2 1")),
+    ("upl", "universal permissive license", ("universal permissive license",), ("1",)),
+    ("ncsa", "university of illinois open source license|ncsa license", ("illinois open source license", "ncsa license"), ()),
+    ("vim", "vim license", (" vim license",), ()),
+    ("beerware", "beerware license|beer ware license", ("beerware license", "beer ware license"), ()),
+    ("openrail", "(?:creativeml )?(?:openrail(?: ?m)?(?: license)?|open rail(?: ?m(?: license)?| license))", ("openrail", "open rail"), ()),
+    ("bsl", "business source license", ("business source license",), ("1 1",)),
+    ("sspl", "server side public license|sspl", ("server side public license", "sspl"), ("1",)),
+    ("elastic", "elastic license", ("elastic license",), ("2",)),
+    ("cc0", "cc ?0|creative commons zero", (" cc0 ", " cc 0 ", "creative commons zero"), ("1",)),
 )
 #: Creative Commons terms: label, words after "cc" and words after "creative commons".
 CC_TERMS = (
@@ -78,27 +81,32 @@ CC_TERMS = (
     ("cc-by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"),
     ("cc-by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?"),
 )
+#: Keywords of the rules that are made from families and terms.
+SPDX, CC, COMMONS = ("spdx license identifier",), (" cc by ",), ("creative commons attribution",)
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Statements without a name: label, expression, keyword.
+#: Statements without a name: label, expression, keywords.
 STATEMENTS = (
-    ("all-rights-reserved", "all rights reserved", "reserved"),
-    ("public-domain", "(?:in|into|to) the public domain", "domain"),
-    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution"),
-    ("unlicense", "free and unencumbered software released into the public domain", "unencumbered"),
-    ("gpl", "either version [0-9]+ of the license or at your option any later version", "option"),
-    ("zlib", "this software is provided as is without any express or implied warranty", "implied"),
-    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies", "verbatim"),
-    ("unknown-license", "licensed under", "licensed"),
-    ("unknown-license", "released under the", "released"),
-    ("unknown-license", "subject to the terms of the", "subject"),
+    ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
+    ("public-domain", "(?:in|into|to) the public domain", ("the public domain",)),
+    ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", ("proprietary and", "and proprietary")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby granted",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose", ("permission to use",)),
+    ("bsd", "redistribution and use in source and binary forms", ("redistribution and use",)),
+    ("unlicense", "free and unencumbered software released into the public domain", ("unencumbered",)),
+    ("gpl", "either version [0-9]+ of the license or at your option any later version", ("at your option any later version",)),
+    ("zlib", "this software is provided as is without any express or implied warranty", ("express or implied warranty",)),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies", ("verbatim or modified",)),
+    ("unknown-license", "licensed under", ("licensed under",)),
+    ("unknown-license", "released under the", ("released under the",)),
+    ("unknown-license", "subject to the terms of the", ("subject to the terms",)),
 )
+#: Substrings that stand for all keywords that hold them in the gate of a line.
+STEMS = ("license", "gpl", "creative commons", "bsd")
 
 
-def signature_rules() -> list[tuple[str, str, str, int]]:
-    """(label, expression, keyword, priority) of all rules, the most telling first."""
+def signature_rules() -> list[tuple[str, str, tuple[str, ...], int]]:
+    """(label, expression, keywords, priority) of all rules, the most telling first. A line on which the expression
+    matches holds at least one of the keywords."""
     rules = []
     for label, name, key, versions in FAMILIES:
         name = f"(?:{name})"
@@ -110,11 +118,11 @@ def signature_rules() -> list[tuple[str, str, str, int]]:
             rules += [
                 (f"{tag}-or-later", f"{name} (?:v|version )?{major}{zero} (?:of the license )?(?:{later})", key, 6),
                 (tag, f"{name} (?:v |v|version )?{major}{zero}", key, 5),
-                (tag, f"spdx license identifier {label.replace('-', ' ')} {major}{zero}", "spdx", 7),
+                (tag, f"spdx license identifier {label.replace('-', ' ')} {major}{zero}", SPDX, 7),
                 (tag, f"version {major}{zero} of the {name}", key, 5),
             ]
         rules += [
-            (label, f"spdx license identifier {label.replace('-', ' ')}", "spdx", 6),
+            (label, f"spdx license identifier {label.replace('-', ' ')}", SPDX, 6),
             (label, f"(?:licensed|released|distributed|available|published|provided) under (?:the |a )?(?:terms of the )?{name}", key, 4),
             (label, name, key, 3),
         ]
@@ -122,15 +130,24 @@ def signature_rules() -> list[tuple[str, str, str, int]]:
         for version in CC_VERSIONS:
             tag = f"{label}-{version.replace(' ', '.')}"
             rules += [
-                (tag, f"cc {short} {version}", "cc", 5),
-                (tag, f"creative commons {long} {version}(?: international| unported| generic)?", "commons", 5),
-                (tag, f"creativecommons org licenses {short} {version}", "creativecommons", 6),
+                (tag, f"cc {short} {version}", CC, 5),
+                (tag, f"creative commons {long} {version}(?: international| unported| generic)?", COMMONS, 5),
+                (tag, f"creativecommons org licenses {short} {version}", ("creativecommons org licenses",), 6),
             ]
-        rules += [(label, f"cc {short}", "cc", 4), (label, f"creative commons {long}", "commons", 4)]
+        rules += [(label, f"cc {short}", CC, 4), (label, f"creative commons {long}", COMMONS, 4)]
     rules += [(label, expression, key, 2 - label.startswith("unknown")) for label, expression, key in STATEMENTS]
     return sorted(rules, key=lambda r: -r[3])
 
 
+def gate_words(rules: list[tuple[str, str, tuple[str, ...], int]]) -> list[str]:
+    """Substrings of which a line holds at least one if it holds a keyword of any rule."""
+    return list(dict.fromkeys(next((stem for stem in STEMS if stem in key), key) for rule in rules for key in rule[2]))
+
+
+def _holds_any(words: list[str] | tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains("_line", F.lit(w)) for w in words])
+
+
 def word_line(text: Column) -> Column:
     """The words of a text with A-Z lower-cased, one space before, between and after them."""
     return F.concat(
@@ -159,9 +176,10 @@ def _places(line: Column, expression: str, label: str, priority: int, mark: int)
     )
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", gated: bool = True) -> DataFrame:
     """docs with n_words, `places` (base detections, all of them) and `detections` (rules, after suppression);
-    both are arrays of (first, end, label, priority, base) with words counted from 0, end exclusive."""
+    both are arrays of (first, end, label, priority, base) with words counted from 0, end exclusive. Without the gates
+    every rule is tried on every line, with the same result."""
     kind = "array<struct<first:bigint,end:bigint,label:string,priority:int,base:int>>"
     none = F.expr(f"cast(array() as {kind})")
     frame = docs.drop("n_words", "places", "detections", "_line", "_found").withColumn("_line", word_line(F.col(text)))
@@ -172,15 +190,16 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         F.concat(*[F.when(F.contains("_line", F.lit(p)), _places(F.col("_line"), p, label, 9, 1)).otherwise(none) for p, label in BASE]),
     )
     rules = signature_rules()
-    gate = r" (?:licen[cs]e[ds]?|licenses|unlicense|copyright|spdx|public domain|reserved|cc|creative commons|creativecommons|agpl|l?gpl|gfdl|mpl|epl|cddl|eupl|wtfpl|ofl|odbl|pddl|sspl|0bsd|cecill|beerware|open ?rail|ms pl|ms rl|asl|odc|proprietary|permission|redistribution|unencumbered|warranty|verbatim|bsd|released under|subject to) "
-    by_key: dict[str, list] = {}
+    by_keys: dict[tuple[str, ...], list] = {}
     for rule in rules:
-        by_key.setdefault(rule[2], []).append(rule)
-    gated = []
-    for key, group in by_key.items():
-        tried = F.concat(*[_tried(rule) for rule in group]) if len(group) > 1 else _tried(group[0])
-        gated.append(F.when(F.contains("_line", F.lit(key)), tried).otherwise(none))
-    found = F.when(F.col("_line").rlike(gate), F.concat(*gated)).otherwise(none)
+        by_keys.setdefault(rule[2], []).append(rule)
+    tried = []
+    for keys, group in by_keys.items():
+        places = F.concat(*[_tried(rule) for rule in group]) if len(group) > 1 else _tried(group[0])
+        tried.append(F.when(_holds_any(keys), places).otherwise(none) if gated else places)
+    found = F.concat(*tried)
+    if gated:
+        found = F.when(_holds_any(gate_words(rules)), found).otherwise(none)
     # base places are suppressors too and stay; one detection inside a stronger or longer one goes
     frame = frame.withColumn("_found", F.array_distinct(found))
     kept = F.expr(
