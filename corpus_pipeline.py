@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import bpe, decontaminate, jaccard, quality, secret_scan
-from fieldnotes.llm.base import saved, shared_folder
+from fieldnotes.llm.base import row_key, saved, shared_folder
 from fieldnotes.llm.queries import vocabulary
 
-#: Ids that may go to every task; more of them are joined by a shuffle.
+#: Ids or keys that may go to every task; more of them are joined by a shuffle.
 FEW = 200_000
 
 
@@ -35,15 +35,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document stays if its id names its component; of rows that repeat that id, one stays."""
-    linked = jaccard.link(docs)
-    kept = _without(docs, linked.filter("doc_id > component_id").select("doc_id"), "copies")
-    # rows that share an id share a component; ids are unique in almost all tables, so look first
-    repeated = saved(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    """Of the rows that links connect the one with the smallest id stays, of several such rows one; rows without an id
+    come last. Rows that only share an id are not connected, and rows without words link with nothing."""
+    linked = saved(jaccard.link(docs, key=row_key()).filter("label is not null").select("key", "doc_id", "label"), "linked")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"]
+    stay = saved(linked.groupBy("label").agg(best.alias("key")).select("key"), "stay")
+    copies = saved(linked.select("key").distinct().join(stay, "key", "left_anti"), "copies")
+    keyed = docs.withColumn("key", row_key())
+    kept = keyed.join(F.broadcast(copies) if copies.count() <= FEW else copies, "key", "left_anti")
+    # rows with the same id and text; there are none in almost all tables, so look first
+    repeated = saved(linked.groupBy("key").count().filter("count > 1").select("key").join(stay, "key", "left_semi"), "repeated")
     if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "key", "left_semi").dropDuplicates(["key"])
+    return kept.join(repeated, "key", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,12 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def row_key() -> Column:
+    """What tells rows apart where doc_id is null or repeated: a digest of doc_id and text. Rows with the same key are
+    the same document."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit(""))), 256)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -85,7 +85,9 @@ def _class_of(hashes: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, small, bits), small: the hashes of sets that may be light."""
+    """(doc_id, n_shingles, class, small, bits) and the key if rows have one, small: the hashes of sets that may be
+    light."""
+    own_columns = [c for c in rows.columns if c != "text"]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -93,11 +95,15 @@ def _sets(rows: DataFrame) -> DataFrame:
             for hashes in shingle_hashes(batch["text"]):
                 own = np.unique(hashes)
                 table.append((len(own), _class_of(own) if len(own) else None, own.view(np.int64) if 0 < len(own) <= LIGHT else None, _bitmap(own)))
-            more = pd.DataFrame(table, columns=["n_shingles", "class", "small", "bits"]).astype({"class": "Int64"})
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), more], axis=1)
+            more = pd.DataFrame(table, columns=["n_shingles", "class", "small", "bits"], dtype=object)
+            # not by way of floats, which the numbers of a batch with an empty text would else become
+            more = more.assign(n_shingles=more["n_shingles"].astype("int64"), **{"class": pd.array(more["class"].to_numpy(object), dtype="Int64")})
+            yield pd.concat([batch[own_columns].reset_index(drop=True), more], axis=1)
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(build, f"doc_id {kind}, n_shingles long, class long, small array<long>, bits array<long>")
+    # ids go as text, since pandas makes floats of long numbers where some are null
+    kinds = "".join(f"{c} string, " for c in own_columns)
+    built = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(build, f"{kinds}n_shingles long, class long, small array<long>, bits array<long>")
+    return built.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
 
 
 def _lists(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: int) -> DataFrame:
@@ -196,10 +202,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     )
 
 
-def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
+def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach. With a
+    key also (key, label): rows with the same label are linked, whatever their ids; sets without shingles have none."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sets = saved(_sets(rows), "sizes")
+    sets = saved(_sets(rows if key is None else docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("key"))), "sizes")
     classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits")), "classes")
     lists = saved(_shared(_lists(rows.select("text"), _frequent(rows.select("text")), least), least), "lists")
     boundary = _boundary(lists, classes, least)
@@ -226,29 +233,44 @@ def link(docs: DataFrame, least: int = SIMILAR) -> DataFrame:
         whole = pairs_apart <= AFFORDABLE * n_rows or n_new * DIRECT < n_open
         turn += 1
     smallest = labels.join(classes, "class").groupBy("label").agg(F.min("first").alias("component"))
-    names = saved(labels.join(smallest, "label").select("class", "component"), "names")
+    names = saved(labels.join(smallest, "label").select("class", "label", "component"), "names")
     # a class may hold a third of all rows; its one name goes to as many rows, dealt over salts
     salts = 32
     dealt = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     spread = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(spread, ["class", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    own = [] if key is None else ["key", "label"]
+    return dealt.join(spread, ["class", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *own)
 
 
 def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, hashes) of the classes in pairs, from the text of one document of each."""
+    """(class, hashes) of the classes in pairs, from the text of one document of each; for classes without an id, from
+    the rows without one."""
     named = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     members = saved(named.join(classes, "class").select(F.col("first").alias("doc_id"), "class"), "members")
     few = members.count() <= FEW
+    nameless = members.filter("doc_id is null").select("class")
+    unnamed = rows.filter("doc_id is null")
     rows = rows.join(F.broadcast(members) if few else members, "doc_id")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [np.unique(h) for h in shingle_hashes(batch["text"])]
             same = [len(o) > 0 and _class_of(o) == c for o, c in zip(own, batch["class"])]
-            yield pd.DataFrame({"class": batch["class"][same].to_numpy(), "hashes": [o.view(np.int64) for o, s in zip(own, same) if s]})
+            if any(same):  # an empty frame has no lists to tell its type by
+                yield pd.DataFrame({"class": batch["class"][same].to_numpy(), "hashes": [o.view(np.int64) for o, s in zip(own, same) if s]})
 
+    def build_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [o for o in map(np.unique, shingle_hashes(batch["text"])) if len(o)]
+            if own:
+                yield pd.DataFrame({"class": [_class_of(o) for o in own], "hashes": [o.view(np.int64) for o in own]})
+
+    found = rows.mapInPandas(build, "class long, hashes array<long>")
+    if nameless.limit(1).count():
+        others = unnamed.mapInPandas(build_all, "class long, hashes array<long>")
+        found = found.unionByName(others.join(F.broadcast(nameless) if few else nameless, "class", "left_semi"))
     # rows that repeat an id may bring a class twice
-    return saved(rows.mapInPandas(build, "class long, hashes array<long>").dropDuplicates(["class"]), "full")
+    return saved(found.dropDuplicates(["class"]), "full")
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:

@@ -171,15 +171,17 @@ ROWS, CHARACTERS = 20_000, 2_000_000
 
 def redact(docs: DataFrame, path: str | None = None, mark: str = "[secret]") -> DataFrame:
     """docs with every secret in `text` replaced by a mark and n_chars brought up to date."""
-    from fieldnotes.llm.base import saved
+    from fieldnotes.llm.base import row_key, saved
 
+    # findings belong to their row, also where ids are null or repeated
+    keyed = docs.withColumn("_row", row_key())
     # the longest go first, so that none is broken up by another that it holds
-    found = scan(docs, path).filter("is_secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False)["value"].alias("_values"))
+    found = scan(keyed.withColumn("doc_id", F.col("_row")), path).filter("is_secret").groupBy(F.col("doc_id").alias("_row")).agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False)["value"].alias("_values"))
     found = saved(found, "secrets")
     size = found.agg(F.count("*").alias("rows"), F.sum(F.expr("aggregate(_values, 0, (n, v) -> n + length(v))")).alias("characters")).first()
     small = size["rows"] <= ROWS and (size["characters"] or 0) <= CHARACTERS
     text = F.expr(f"aggregate(coalesce(_values, array()), text, (t, v) -> replace(t, v, '{mark}'))")
-    joined = docs.join(F.broadcast(found) if small else found, "doc_id", "left")
+    joined = keyed.join(F.broadcast(found) if small else found, "_row", "left")
     changed = joined.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
