@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object canvas head title textarea select option button audio video math map".split())
+HIDDEN = frozenset("script style noscript template svg iframe object canvas head title textarea select option button audio video map".split())
+#: What may stand in a head; the start of anything else, or text, ends a head that is still open.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: What the start of an element ends, up to the nearest of the boundaries.
@@ -65,9 +67,13 @@ def parse(html: str | None) -> list[Node]:
         shut, tag, names = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             if html[m.start()] != "<" or at == m.start() + 1:
+                if not m[0].isspace():
+                    _end_head(nodes, stack)
                 nodes[stack[-1]].parts.append(m[0])
             continue
         tag = tag.lower()
+        if not shut and tag not in IN_HEAD and tag != "html":
+            _end_head(nodes, stack)
         if shut:
             if tag == "br":
                 nodes[stack[-1]].parts.append("\n")
@@ -98,6 +104,12 @@ def parse(html: str | None) -> list[Node]:
     return nodes
 
 
+def _end_head(nodes: list[Node], stack: list[int]) -> None:
+    """Ends an open head, unless an element in it is still open."""
+    if nodes[stack[-1]].tag == "head":
+        stack.pop()
+
+
 def _close(nodes: list[Node], stack: list[int], tags: set, bounds: set) -> None:
     for k in range(len(stack) - 1, 0, -1):
         tag = nodes[stack[k]].tag

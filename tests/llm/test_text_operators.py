@@ -287,6 +287,17 @@ def test_main_text(spark):
     assert rows[1].text == rows[2].text == "" and rows[0].n_chars == len(rows[0].text) and rows[1].n_chars == 0
 
 
+def test_pages_that_leave_out_the_end_of_head(spark):
+    body = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Head line</h1><p>First text, with more words to read.</p><p>Second text: <math><mi>a</mi> <mo>+</mo> <mi>b</mi></math>, and more words.</p></article></html>"
+    heads = ["<head><title>T</title><meta charset=utf-8></head><body class='page'>", "<head><title>T</title><meta charset=utf-8><body class='page'>", "<head><title>T</title><style>p{}</style>\n", "<HEAD>\n<link rel=x><script>1</script><noscript>n</noscript>", ""]
+    pages = [(i, "u", "<html>" + head + body) for i, head in enumerate(heads)]
+    rows = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows[0] == "Head line First text, with more words to read. Second text: a + b , and more words."
+    assert [rows[i] for i in range(len(heads))] == [rows[0]] * len(heads)
+    assert [n.tag for n in html_text.parse("<head><title>T</title>Some words <p>here")][-1] == "p"
+    assert html_text.parse("<head>Some words")[0].parts == [1, "Some words"]
+
+
 def test_marginals_by_enumeration(spark):
     import itertools
 
