@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, their SQL where SQL can express them, and the pipeline's."""
+"""The registered queries of the operators, their SQL where SQL can express them, and the pipeline's."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldnotes.llm import bpe, decontaminate, hmm, html_text, jaccard, license_scan, multi_index, quality, quotes, secret_scan
+from fieldnotes.llm import bpe, decontaminate, fill_middle, hmm, html_text, jaccard, license_scan, multi_index, quality, quotes, rule_ledger, secret_scan
 
 #: The vocabulary's file name and where it is found.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -68,6 +68,19 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_report(_table(spark, folder, "documents")).drop("detections")
 
 
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = fill_middle.transform(_table(spark, folder, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    rows = rule_ledger.ledger(_table(spark, folder, "documents").select("doc_id", "text"))
+    verdicts = [(~rule_ledger.passes("base")).alias("base_failed"), rule_ledger.passes().alias("kept")]
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", *verdicts)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -85,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_rule_ledger": op12_rule_ledger,
     "pipeline": pipeline,
 }
 
@@ -105,4 +120,63 @@ hits AS (
 SELECT doc_id, item_id, matched, size, matched / size AS containment FROM hits JOIN sizes USING (item_id) WHERE matched * 100 >= size * 75
 """
 
-ORACLES: dict[str, str] = {"op8_decontaminate": _DECONTAMINATE}
+#: Units of every text as a list, cut and joined again; the parts of the output are taken apart by their lengths.
+_FILL_MIDDLE = """
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+    FROM documents
+), numbers AS (
+    SELECT *, len(u) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS h2,
+        CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4
+    FROM units
+), cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+             WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers
+), pieces AS (
+    SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts
+), made AS (
+    SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM pieces
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars, sha256(o) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN o
+        WHEN 'psm' THEN substr(o, 4, length(p)) || substr(o, 10 + length(p) + length(s)) || substr(o, 7 + length(p), length(s))
+        ELSE substr(o, 7 + length(s), length(p)) || substr(o, 10 + length(p) + length(s)) || substr(o, 4, length(s)) END) AS restored_sha256
+FROM made
+"""
+
+#: The measurements that rules look at, from lists of words and lines; windows are counted by grouping.
+_RULE_LEDGER = """
+WITH texts AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+    FROM documents
+), windows AS (
+    SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS seen FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM texts)
+), repeats AS (
+    SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, i, unnest([0, 1, 2]) AS j FROM windows WHERE seen > 1) GROUP BY k
+), measures AS (
+    SELECT doc_id, len(w) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(t, '\\P{Lu}', '', 'g')) AS capitals,
+        len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…) *$'))) AS dots, len(list_filter(l, lambda x: regexp_matches(x, '^ *[-*•·‣▪]'))) AS bullets,
+        length(t) - length(replace(t, '\ufffd', '')) AS broken
+    FROM texts LEFT JOIN repeats r USING (k)
+), bits AS (
+    SELECT *, coalesce(chars, 0) AS word_chars,
+        (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (n_words > 100000)::BIGINT
+        + 8 * (coalesce(chars, 0) < 2 * n_words)::BIGINT + 16 * (coalesce(chars, 0) > 20 * n_words)::BIGINT + 32 * (100 * n_symbols > 10 * n_words)::BIGINT
+        + 64 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 128 * (100 * capitals > 50 * coalesce(chars, 0))::BIGINT
+        + 256 * (100 * dots > 30 * n_lines)::BIGINT + 512 * (100 * bullets > 90 * n_lines)::BIGINT + 1024 * (broken > 0)::BIGINT AS failed
+    FROM measures
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(failed AS BIGINT) AS failed, failed & 3 <> 0 AS base_failed, failed & 1019 = 0 AS kept
+FROM bits
+"""
+
+ORACLES: dict[str, str] = {"op8_decontaminate": _DECONTAMINATE, "op11_fill_middle": _FILL_MIDDLE, "op12_rule_ledger": _RULE_LEDGER}
