@@ -35,7 +35,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.saved_at = path
+    return written
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes what saved() has written, once nothing reads it any more."""
+    for table in tables:
+        _drop(table.sparkSession, table.saved_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldnotes.llm import bpe, decontaminate, fill_middle, hmm, html_text, jaccard, license_scan, multi_index, quality, quotes, rule_ledger, secret_scan
+from fieldnotes.llm import bpe, decontaminate, fill_middle, hmm, html_text, jaccard, license_scan, multi_index, phrases, quality, quotes, rule_ledger, secret_scan
 
 #: The vocabulary's file name and where it is found.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -81,6 +81,10 @@ def op12_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", *verdicts)
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_fill_middle": op11_fill_middle,
     "op12_rule_ledger": op12_rule_ledger,
+    "op13_phrases": op13_phrases,
     "pipeline": pipeline,
 }
 
@@ -179,4 +184,37 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
 FROM bits
 """
 
-ORACLES: dict[str, str] = {"op8_decontaminate": _DECONTAMINATE, "op11_fill_middle": _FILL_MIDDLE, "op12_rule_ledger": _RULE_LEDGER}
+#: Phrases of every piece counted by grouping; a candidate inside a longer one that is as frequent goes.
+_PHRASES = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS size FROM words)
+), counts AS (
+    SELECT lang, size, phrase, count(*) AS f FROM (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM places) GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS HUGEINT) AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+    SELECT * FROM counts WHERE size > 1 AND f >= 100
+), stay AS (
+    SELECT * FROM candidates c WHERE NOT EXISTS (
+        SELECT 1 FROM candidates o WHERE o.lang = c.lang AND o.size > c.size AND 100 * o.f >= 100 * c.f AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM stay)
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(h.f AS HUGEINT) * t.f) AS score
+    FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.rest JOIN totals USING (lang)
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op8_decontaminate": _DECONTAMINATE, "op11_fill_middle": _FILL_MIDDLE, "op12_rule_ledger": _RULE_LEDGER, "op13_phrases": _PHRASES}
