@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..operators.clean import FILLER_PREFIX, clean_headers, has_value
-from .scan import CP1252, UTF8, parse_header, scan_files
-
-_OVERFLOW = "_over"
-_TOO_MANY = (
-    "Some rows have more fields than the header. Check for unquoted commas or a stray line break."
-)
+from ..session import shared_folder
+from . import records
+from .scan import UTF8, decoded, parse_header, read_lines, survey
 
 
 @dataclass(frozen=True)
 class _Layout:
-    """Files that can be read together."""
+    """A delimiter and a header, shared by all files that are written so."""
 
     sep: str
-    encoding: str
-    multiline: bool
     header: tuple[str, ...]
 
 
@@ -41,92 +37,121 @@ def reader_headers(header: list[str]) -> list[str]:
     return names
 
 
-def _layouts(spark: SparkSession, path: str) -> dict[_Layout, list[str]]:
-    """Group files by the way they have to be read."""
-    groups = (
-        scan_files(spark, path)
-        .groupBy("sep", "encoding", "multiline", "header_bytes")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    )
-    layouts: dict[_Layout, list[str]] = {}
-    for row in groups.collect():
-        text = bytes(row["header_bytes"]).decode("utf-8-sig" if row["encoding"] == UTF8 else row["encoding"])
-        header = parse_header(text, row["sep"])
-        if not header:
-            raise ValueError(f"The file is empty: {', '.join(row['paths'][:3])}.")
-        names = tuple(clean_headers(reader_headers(header)))
-        key = _Layout(row["sep"], row["encoding"], row["multiline"], names)
-        layouts.setdefault(key, []).extend(row["paths"])
-    if not layouts:
-        raise ValueError(f"There are no delimited files in {path}.")
-    return layouts
-
-
-def _from_cp1252(cell: Column) -> Column:
-    """Characters of bytes 0x80 to 0x9F, which Latin-1 leaves as control characters."""
-    pairs = [(chr(b), bytes([b]).decode(CP1252, errors="ignore")) for b in range(0x80, 0xA0)]
-    known = [(raw, char) for raw, char in pairs if char]
-    return F.translate(cell, "".join(raw for raw, _ in known), "".join(char for _, char in known))
-
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/fieldnotes-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-def _read(spark: SparkSession, layout: _Layout, paths: list[str]) -> DataFrame:
-    """All cells as text, by position, with one more column for fields the header has no name for."""
-    columns = [f"f{k}" for k in range(len(layout.header))]
-    schema = ", ".join(f"{c} string" for c in [*columns, _OVERFLOW])
-    reader = spark.read.schema(schema).options(
-        header=True, sep=layout.sep, quote='"', escape='"', ignoreLeadingWhiteSpace=True,
-        multiLine=layout.multiline, encoding="UTF-8" if layout.encoding == UTF8 else "ISO-8859-1",
-    )
-    df = reader.csv(paths)
-    if layout.encoding == CP1252:
-        df = df.select(*[_from_cp1252(F.col(c)).alias(c) for c in df.columns])
-    return df
 
+def _layouts(files: DataFrame, path: str) -> tuple[dict[tuple, int], list[_Layout]]:
+    """The number of the layout of every (sep, encoding, header) that occurs, and the layouts.
 
-def _read_all(spark: SparkSession, path: str, with_file: bool = False) -> tuple[DataFrame, list[str]]:
-    """Every layout under ``path`` as one table; columns are matched by name, absent ones are missing."""
-    layouts = _layouts(spark, path)
-    names = list(dict.fromkeys(name for layout in layouts for name in layout.header))
+    The driver sees one row for each way of being written, however many files are written so."""
+    written = files.groupBy("sep", "encoding", "header_bytes").agg(F.min("path").alias("example")).collect()
+    layouts: dict[_Layout, int] = {}
+    numbers = {}
+    for row in written:
+        raw = bytes(row["header_bytes"])
+        header = parse_header(raw.decode("utf-8-sig" if row["encoding"] == UTF8 else row["encoding"]), row["sep"])
+        if not header:
+            raise ValueError(f"{row['example']} is empty.")
+        layout = _Layout(row["sep"], tuple(clean_headers(reader_headers(header))))
+        numbers[row["sep"], row["encoding"], raw] = layouts.setdefault(layout, len(layouts))
+    if not layouts:
+        raise ValueError(f"There are no delimited files in {path}.")
+    return numbers, list(layouts)
+
+
+def _numbered(files: DataFrame, numbers: dict[tuple, int]) -> DataFrame:
+    """Files with the number of their layout."""
+    spark = files.sparkSession
+    known = spark.createDataFrame([(s, e, bytearray(h), n) for (s, e, h), n in numbers.items()], "sep string, encoding string, header_bytes binary, layout int")
+    return files.join(known, ["sep", "encoding", "header_bytes"])
+
+
+def _read_records(spark: SparkSession, path: str, sep: str | None) -> tuple[DataFrame, list[_Layout]]:
+    """(file, layout, record, fields) of every record behind the headers, and the layouts."""
+    files, splits = survey(spark, path, sep, _stored)
+    files = _stored(files)
+    numbers, layouts = _layouts(files, path)
+    files = _numbered(files, numbers).select("file", "sep", "encoding", "layout", "multiline", "header_line")
+    few = files.count() <= records.FEW_SPLITS
+    # lines that are records, without those of files in which cells hold line breaks
+    lines = read_lines(spark, path)
+    known = F.broadcast(files) if few else files
     parts = []
-    for layout, paths in layouts.items():
-        df = _read(spark, layout, paths)
-        place = {name: f"f{k}" for k, name in enumerate(layout.header)}
-        cells = [
-            (F.col(place[name]) if name in place else F.lit(None).cast("string")).alias(f"n{k}")
-            for k, name in enumerate(names)
-        ]
-        extra = [F.input_file_name().alias("file")] if with_file else []
-        parts.append(df.select(*cells, F.col(_OVERFLOW), *extra))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole, names
+    if not files.where("NOT multiline").isEmpty():
+        own = lines.join(known, "file").where("NOT multiline AND line <> header_line")
+        parts.append(own.select("file", "layout", "encoding", F.col("text").alias("raw")))
+    long_files = files.where("multiline")
+    if not long_files.isEmpty():
+        whole = records.assembled(lines, splits, long_files, _stored)
+        filled = F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""
+        heads = whole.where(filled).groupBy("file").agg(F.min(F.struct("block", "place")).alias("head"))
+        body = whole.join(F.broadcast(heads) if few else heads, "file").where(F.struct("block", "place") != F.col("head"))
+        body = body.join(known, "file").orderBy("file", "block", "place")
+        parts.append(body.select("file", "layout", "encoding", F.col("text").alias("raw")))
+    whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return whole.select("file", "layout", decoded(F.col("raw"), F.col("encoding")).alias("record")), layouts
+
+
+def _read_all(spark: SparkSession, path: str, sep: str | None) -> tuple[DataFrame, list[str]]:
+    """Every record under ``path``: its cells as text under ``n0``, ``n1`` …, matched by name over layouts, the file, the
+    record, its number of fields and the number that its header has."""
+    found, layouts = _read_records(spark, path, sep)
+    names = list(dict.fromkeys(name for layout in layouts for name in layout.header))
+    read, fields, expected = [], F.lit(0), F.lit(0)
+    for k, layout in enumerate(layouts):
+        here = F.col("layout") == k
+        options = dict(sep=layout.sep, quote='"', escape='"', ignoreLeadingWhiteSpace="true", maxColumns=str(len(layout.header) + 20480))
+        # one column more, for the first field without a name
+        schema = ", ".join(f"f{i} string" for i in range(len(layout.header) + 1))
+        read.append(F.when(here, F.from_csv("record", schema, options)).alias(f"p{k}"))
+        fields = F.when(here, records.field_count(F.col("record"), layout.sep)).otherwise(fields)
+        expected = F.when(here, len(layout.header)).otherwise(expected)
+    # the generator keeps a record from being parsed again for every use of a cell
+    rows = found.select("file", "record", F.explode(F.array(F.struct(*read, "layout", fields.alias("fields"), expected.alias("expected")))).alias("p"))
+    cells = []
+    for i, name in enumerate(names):
+        places = [F.col(f"p.p{k}.f{layout.header.index(name)}") for k, layout in enumerate(layouts) if name in layout.header]
+        cells.append(F.coalesce(*places).alias(f"n{i}"))
+    over = F.coalesce(*[F.col(f"p.p{k}.f{len(layout.header)}") for k, layout in enumerate(layouts)])
+    return rows.select(*cells, "file", "record", "p.fields", "p.expected", over.alias("over")), names
 
 
 def read_delimited(spark: SparkSession, path: str, on_bad: str = "fail", name: str | None = None,
-                   stage: bool = True) -> Dataset:
+                   stage: bool = True, sep: str | None = None) -> Dataset:
     """A dataset from a delimited file or a folder of them.
 
-    Delimiter, encoding and line breaks inside cells are found out per file.
+    Delimiter, encoding and line breaks inside cells are found out per file from all lines; ``sep`` settles the
+    delimiter. Files are split wherever Spark splits them, also inside a cell with line breaks.
     Rows with more fields than the header fail the job that meets them, or are
     left out with ``on_bad="quarantine"`` (``bad_rows`` shows them). The cells are
     parsed once and kept as Parquet in the shared folder, unless ``stage`` is off.
     """
     if on_bad not in ("fail", "quarantine"):
         raise ValueError("on_bad must be 'fail' or 'quarantine'.")
-    df, names = _read_all(spark, path)
-    fits = F.col(_OVERFLOW).isNull()
-    df = df.where(fits if on_bad == "quarantine" else fits | F.raise_error(F.lit(_TOO_MANY)).cast("boolean"))
-    ds = Dataset(df.drop(_OVERFLOW), names, name=name or path.rstrip("/").rsplit("/", 1)[-1], delimited=True)
+    df, names = _read_all(spark, path, sep)
+    fits = F.col("fields") <= F.col("expected")
+    if on_bad == "fail":
+        told = F.concat(F.lit("A row has more fields than the header: "), F.substring("record", 1, 200), F.lit(" (in "), "file", F.lit(")"))
+        fits = fits | F.raise_error(told).cast("boolean")
+    cells = df.where(fits).select(*[f"n{k}" for k in range(len(names))])
+    ds = Dataset(cells, names, name=name or path.rstrip("/").rsplit("/", 1)[-1], delimited=True)
     if ds.fields and stage:
         ds.stage()
     if not ds.fields or (ds.row_count == 0 if stage else ds.cells.where(has_value(ds.fields)).isEmpty()):
-        raise ValueError("The file has a header row but no data rows.")
+        raise ValueError(f"{path} has no data behind its header.")
     return ds
 
 
-def bad_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with more fields than their header, with the file they come from."""
-    df, names = _read_all(spark, path, with_file=True)
-    bad = df.where(F.col(_OVERFLOW).isNotNull())
-    return bad.select("file", *[f"n{k}" for k in range(len(names))], F.col(_OVERFLOW)).toDF("file", *names, "first_extra_field")
+def bad_rows(spark: SparkSession, path: str, sep: str | None = None, whole: bool = False) -> DataFrame:
+    """Rows with more fields than their header, with the file they come from and the first field without a name.
+
+    With ``whole`` also the row as it is written, its number of fields and the number its header has."""
+    df, names = _read_all(spark, path, sep)
+    bad = df.where(F.col("fields") > F.col("expected"))
+    more = [F.col("record"), F.col("fields"), F.col("expected").alias("header_fields")] if whole else []
+    cells = [F.col(f"n{k}") for k in range(len(names))]
+    return bad.select("file", *cells, "over", *more).toDF("file", *names, "first_extra_field", *(["record", "fields", "header_fields"] if whole else []))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import by_name, lines
 
@@ -151,3 +153,74 @@ def test_rows_keep_the_order_of_the_file(spark, tmp_path, stage):
         assert lines(ds.rows(page=2, page_size=20, q="xxx").rows, "n") == [k for k in expected if k % 37 >= 3][20:40]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("content, sep", [
+    ("A report, made by hand\nfor you, me, and all\n\n" + "id|name|n\n" + "".join(f"{k}|x, y|{k}\n" for k in range(50)), "|"),
+    ("".join(f"{'word, ' * (k % 7)}a;b\n" for k in range(60)), ";"),
+    ("a;b\n" + "".join(f'1;"x, {k}, y\nlast, {k}"\n' for k in range(60)), ";"),
+    ("v\n1\n2\n", ","),
+    ("a,b\n" * 20_000 + "x;y;z\n" * 21_000, ";"),
+])
+def test_the_delimiter_is_found_from_all_lines(spark, tmp_path, content, sep):
+    path = tmp_path / "x.txt"
+    path.write_text(content)
+    assert _layout(spark, path)[0] == sep
+    row = scan_files(spark, str(path), sep="#").first()
+    assert row["sep"] == "#"
+
+
+def test_a_given_delimiter_settles_it(csv):
+    assert csv("a#b,c\n1#2,3\n", sep="#").columns == ["a", "b,c"]
+
+
+def _written_by_rule(rows, sep, rng):
+    """Rows as text, cells quoted where they have to be and at times elsewhere."""
+    def cell(text):
+        if any(c in text for c in ('\n', sep)) or text.startswith('"') or rng.random() < 0.2:
+            return '"' + text.replace('"', '""') + '"'
+        return text
+    return "".join(sep.join(map(cell, row)) + "\n" for row in rows)
+
+
+@pytest.mark.parametrize("split", [150, 100_000])
+def test_cells_with_line_breaks_in_files_that_are_split_anywhere(spark, tmp_path, split):
+    rng = random.Random(split)
+    parts = ["a", "é", '"', '""', "\n", ";", " x", "5\" pipe", "end", "\n\n", '";', ';"', '"\n']
+    rows = [("key", "te\nxt", "note")]
+    for k in range(90):
+        text = ["".join(rng.choice(parts) for _ in range(rng.randrange(5))) for _ in range(2)]
+        rows.append((str(k), *[(t.strip() or "-") for t in text]))
+    rows.append(("90", "long\n" * 100 + "end", "after"))
+    path = tmp_path / "x.csv"
+    path.write_text(_written_by_rule(rows, ";", rng), newline="")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert scan_files(spark, str(path)).first()["multiline"]
+        ds = read_delimited(spark, str(path))
+        assert ds.columns == ["key", "te\nxt", "note"]
+        got = ds.cells.select("c0000", "c0001", "c0002").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [tuple(r) for r in got] == rows[1:]
+
+
+def test_a_stray_quote_leaves_a_file_in_lines(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('size,what\n5" pipe,a\n"6"" pipe",b\n7,say "hi\n')
+    assert not scan_files(spark, str(path)).first()["multiline"]
+    assert lines(read_delimited(spark, str(path)).rows().rows, "size", "what") == [('5" pipe', "a"), ('6" pipe', "b"), ("7", 'say "hi')]
+
+
+@pytest.mark.parametrize("extra", [",,LOST", ",", ",x,", ',"a,b"', ',"line\nbreak",'])
+def test_rows_with_more_fields_are_refused_whatever_the_fields_hold(spark, csv, tmp_path, extra):
+    text = f"a,b,c\n1,2,3\n4,5,6{extra}\n7,\"8,8\",9\n"
+    with pytest.raises(Exception, match="more fields"):
+        csv(text)
+    path = str(tmp_path / "data.csv")
+    assert lines(read_delimited(spark, path, on_bad="quarantine").rows().rows, "a") == [1, 7]
+    bad = bad_rows(spark, path, whole=True).collect()
+    assert [(r["a"], r["record"], r["header_fields"]) for r in bad] == [("4", f"4,5,6{extra}", 3)]
+    assert bad[0]["fields"] == {",,LOST": 5, ",": 4, ",x,": 5, ',"a,b"': 4, ',"line\nbreak",': 5}[extra]
