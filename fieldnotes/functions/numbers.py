@@ -52,18 +52,34 @@ def infinity(text: Column) -> Column:
     return F.when(is_infinity(text), sign * F.lit(float("inf")))
 
 
-def styled_number(text: Column, style: str) -> Column:
-    """The value of a decorated number: currency, percent, brackets for negative."""
+def _plain_text(text: Column, style: str) -> tuple[Column, Column]:
+    """A decorated number as a plain one, and whether brackets make it negative."""
     if style == PLAIN:
-        return plain_number(text)
+        return text, F.lit(False)
     if style == EURO:
         text = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     elif style == THOUSANDS:
         text = F.replace(text, F.lit(","), F.lit(""))
     elif style == DECIMAL:
         text = F.replace(text, F.lit(","), F.lit("."))
-    number = plain_number(strip_decoration(text))
-    return F.when(text.rlike(r"^\(.*\)$"), F.lit(-1.0)).otherwise(F.lit(1.0)) * number
+    return strip_decoration(text), text.rlike(r"^\(.*\)$")
+
+
+def styled_number(text: Column, style: str) -> Column:
+    """The value of a decorated number: currency, percent, brackets for negative."""
+    plain, negative = _plain_text(text, style)
+    number = plain_number(plain)
+    return number if style == PLAIN else F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0)) * number
+
+
+def styled_decimal(text: Column, style: str) -> Column:
+    """The value without the rounding of a double; NULL where it has more than 28 digits ahead of the point or more than
+    10 behind it."""
+    plain, negative = _plain_text(text, style)
+    exact, finer = plain.try_cast("decimal(38,10)"), plain.try_cast("decimal(38,18)")
+    vanished = (exact == 0) & (plain.try_cast("double") != 0)
+    same = F.when(is_plain_number(plain) & F.coalesce(finer == exact, F.lit(True)) & ~vanished, exact)
+    return F.when(negative, -same).otherwise(same)
 
 
 def strip_decoration(text: Column) -> Column:

@@ -67,7 +67,18 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 def moves_rows(df: DataFrame) -> bool:
     """Whether rows are dealt anew on the way, so that two plans over the same table may number them differently."""
-    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    return any(node.startswith("Exchange") for node in _plan_nodes(df._jdf.queryExecution().executedPlan()))
+
+
+def _plan_nodes(plan) -> list[str]:
+    """Names of a physical plan's nodes. A broadcast is another node than a shuffle, and names of columns or files are
+    none."""
+    names = [plan.nodeName()]
+    children = plan.children()
+    below = [plan.initialPlan()] if names[0].startswith("AdaptiveSparkPlan") else [children.apply(k) for k in range(children.size())]
+    for child in below:
+        names += _plan_nodes(child)
+    return names
 
 
 def _partition_of_id() -> Column:

@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, flags, numbers
-from .clean import ROW_ID, with_row_id
 from .columns import BOOLEAN, DATETIME, EMPTY, LABEL, NUMERIC, Field, Reading
 
 # The shares and sizes that decide a kind.
 NUMERIC_SHARE = 0.95
 DATETIME_SHARE = 0.90
-DATE_SAMPLE = 300
 
 
 def long_form(df: DataFrame, **values: dict[int, Column]) -> DataFrame:
@@ -95,12 +93,16 @@ def date_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
     ))
 
 
-def dates_read(df: DataFrame, f: Field, style: str, shapes: tuple[str, ...]) -> int:
-    """Cells that can be read as a date in a style; each distinct text is read once."""
-    texts = df.groupBy(f.raw.alias("text")).agg(F.count("*").alias("n"))
-    moment = F.when(dates.could_be_date(F.col("text")), dates.text_timestamp(F.col("text"), style, shapes))
-    read = texts.select(F.stack(F.lit(1), moment, F.col("n")).alias("moment", "n")).where("moment is not null")
-    return read.agg(F.sum("n")).first()[0] or 0
+def date_evidence(df: DataFrame, f: Field, shapes: tuple[str, ...]) -> dict:
+    """Over all distinct texts of a column: the share that looks like a date, and the cells that can be read as one in
+    each style. Every distinct text is looked at once."""
+    text = F.col("text")
+    texts = df.where(f.raw.isNotNull()).groupBy(f.raw.alias("text")).agg(F.count("*").alias("n"))
+    styles = (dates.ISO, dates.MIXED) if set(shapes) - {"year_first", "offset"} else (dates.ISO,)
+    moments = {style: F.when(dates.could_be_date(text), dates.text_timestamp(text, style, shapes)) for style in styles}
+    read = texts.select(F.stack(F.lit(1), text.rlike(dates.DATE_LIKE), F.col("n"), *moments.values()).alias("dateish", "n", *moments))
+    cells = [F.coalesce(F.sum(F.when(F.col(style).isNotNull(), F.col("n"))), F.lit(0)).alias(style) for style in styles]
+    return read.agg(F.avg(F.col("dateish").cast("int")).alias("share"), *cells).first().asDict()
 
 
 def number_style(facts: dict) -> str | None:
@@ -123,26 +125,16 @@ def number_style(facts: dict) -> str | None:
     return style if parsed >= NUMERIC_SHARE * facts["valid"] else None
 
 
-def date_share_of_first_values(df: DataFrame, f: Field) -> float:
-    """Share of date-like texts among the column's first distinct values in row order."""
-    first_seen = (
-        with_row_id(df.select(f.raw.alias("text"))).where("text is not null")
-        .groupBy("text").agg(F.min(ROW_ID).alias("first_row"))
-        .orderBy("first_row").limit(DATE_SAMPLE)
-    )
-    return first_seen.agg(F.avg(F.col("text").rlike(dates.DATE_LIKE).cast("int"))).first()[0] or 0.0
-
-
 def read_dates(df: DataFrame, f: Field, facts: dict) -> Reading | None:
     """The reading of a column of dates, or None when it holds something else."""
-    valid, shapes = facts["valid"], dates.shapes_of(facts["shapes"])
+    shapes = dates.shapes_of(facts["shapes"])
     if not facts["dateish"]:
         return None
-    if facts["dateish"] < valid and date_share_of_first_values(df, f) < DATETIME_SHARE:
+    evidence = date_evidence(df, f, shapes)
+    if evidence["share"] < DATETIME_SHARE:
         return None
-    year_first_only = set(shapes) <= {"year_first", "offset"}
-    for style in (dates.ISO,) if year_first_only else (dates.ISO, dates.MIXED):
-        if dates_read(df, f, style, shapes) >= DATETIME_SHARE * valid:
+    for style in (dates.ISO, dates.MIXED):
+        if evidence.get(style, 0) >= DATETIME_SHARE * facts["valid"]:
             return Reading(DATETIME, style, shapes)
     return None
 

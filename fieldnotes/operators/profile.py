@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import numbers
 from .clean import value_counts
 from .columns import (
     BOOLEAN, CATEGORICAL, DATETIME, EMPTY, LABEL, NUMERIC, TEXT, UNSUPPORTED,
@@ -121,23 +122,53 @@ def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Readi
 
 
 def _number_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    others = [f for f in fields if not (readings[f.position].kind == NUMERIC and isinstance(f.dtype, T.LongType))]
-    if not others:
-        return _whole_distincts(df, fields, readings)
-    counts = _counted(df, "number", _typed(others, readings, NUMERIC, BOOLEAN), "number")
-    rows = counts.groupBy("i").agg(F.count("*").alias("unique")).collect()
-    return {row["i"]: {"unique": row["unique"]} for row in rows} | _whole_distincts(df, fields, readings)
+    """Doubles are counted as such; whole types, decimals and numbers written as text on keys that don't round, since
+    doubles of 2^53 and more fall together."""
+    numeric = [f for f in fields if readings[f.position].kind == NUMERIC]
+    whole = [f for f in numeric if isinstance(f.dtype, T.LongType)]
+    exact = [f for f in numeric if isinstance(f.dtype, T.DecimalType) or f.native_kind is None]
+    others = [f for f in fields if f not in whole and f not in exact]
+    jobs = [partial(_exact_distincts, df, f, readings[f.position]) for f in exact]
+    if others:
+        jobs.append(partial(_double_distincts, df, others, readings))
+    if whole:
+        jobs.append(partial(_whole_distincts, df, whole))
+    facts: dict[int, dict] = {}
+    for found in together(df.sparkSession, *jobs):
+        facts.update(found)
+    return facts
 
 
-def _whole_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    """64-bit columns are counted on their own type: doubles of 2^53 and more fall together."""
-    whole = {f.position: f.raw.cast("bigint") for f in fields if readings[f.position].kind == NUMERIC and isinstance(f.dtype, T.LongType)}
-    if not whole:
-        return {}
-    rows = _counted(df, "whole", whole, "whole").groupBy("i").agg(F.count("*").alias("unique")).collect()
+def _double_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
+    counts = _counted(df, "number", _typed(fields, readings, NUMERIC, BOOLEAN), "number")
+    rows = counts.groupBy("i").agg(F.count("*").alias("unique")).collect()
     return {row["i"]: {"unique": row["unique"]} for row in rows}
 
 
+def _whole_distincts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
+    whole = {f.position: f.raw.cast("bigint") for f in fields}
+    rows = _counted(df, "whole", whole, "whole").groupBy("i").agg(
+        F.count("*").alias("unique"), F.min("whole").alias("least"), F.max("whole").alias("most")).collect()
+    return {row["i"]: row.asDict() for row in rows}
+
+
+def _exact_distincts(df: DataFrame, f: Field, reading: Reading) -> dict[int, dict]:
+    """Distinct decimals, or distinct numbers of a text column by their decimal value; what doesn't fit a decimal is told
+    apart as a double."""
+    decimal = f.raw if f.native_kind else numbers.styled_decimal(f.raw, reading.style)
+    # the generator keeps a text from being read again for every use of its value
+    values = df.where(f.raw.isNotNull()).select(F.stack(F.lit(1), decimal, typed_value(f, reading)).alias("exact", "number"))
+    key = F.when(F.col("exact").isNull(), F.col("number")).alias("rounded")
+    distinct = values.where("number is not null").groupBy("exact", key).agg(F.count("*").alias("n"))
+    row = distinct.agg(
+        F.count("*").alias("unique"), F.count("exact").alias("fitting"), F.min("exact").alias("least"), F.max("exact").alias("most"),
+        F.count_if(F.col("exact") % 1 != 0).alias("parts"),
+    ).first().asDict()
+    if row["fitting"] < row["unique"]:
+        return {f.position: {"unique": row["unique"]}}
+    return {f.position: row}
+
+
 def _moment_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
     rows = _moment_counts(df, fields, readings).groupBy("i").agg(
         F.count("*").alias("unique"), F.sum("n").alias("valid"),
@@ -194,7 +225,9 @@ def settle(profile: Profile) -> Profile:
     if not valid and kind != UNSUPPORTED:
         kind = EMPTY
     elif kind == NUMERIC:
-        whole, span = not facts["fractions"], facts["max"] - facts["min"]
+        whole = not facts["fractions"] and not facts.get("parts")
+        # extremes that are not rounded, where they are known
+        span = facts["most"] - facts["least"] if facts.get("most") is not None else facts["max"] - facts["min"]
         profile.discrete = whole and unique <= DISCRETE_MAX_UNIQUE and span <= DISCRETE_MAX_RANGE
         consecutive = span == valid - 1
         profile.is_identifier = (

@@ -10,12 +10,15 @@ between them. Every pass is a scan with a small aggregate; no value is moved.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 # Values (with repeats) that one task may hold to answer a quantile directly.
 DIRECT_LIMIT = 2_000_000
 _GRID = 1_000
@@ -198,3 +201,31 @@ def _finish(df: DataFrame, value: str, searches: list[_Search], group: str | Non
     )
     for row in answers.collect():
         by_key[row["key"]].answer = row["v"]
+
+
+def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, ``value``) with the exact median of every group, however many and however large the groups are.
+
+    Distinct values with their counts are dealt out by ranges of (group, value), so that a large group lies in several
+    parts and a frequent value is one row. Counts per part tell in which parts a median's two neighbours lie, and
+    only those are read again."""
+    spark = df.sparkSession
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    path = f"{shared_folder(spark).rstrip('/')}/fieldnotes-{uuid.uuid4().hex}"
+    # written, so that a part is the same rows each time it is read
+    counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    ahead = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("g", "part").agg(F.sum("n").alias("size")).select(
+        "g", "part", "size", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"),
+        F.sum("size").over(Window.partitionBy("g")).alias("total"),
+    )
+    first, second = F.expr("(total - 1) div 2"), F.expr("total div 2")
+    ranks = parts.select("g", "part", "before", "size", F.explode(F.array(first, second)).alias("rank"))
+    ranks = ranks.where("rank >= before and rank < before + size").groupBy("g", "part", "before").agg(F.collect_list("rank").alias("ranks"))
+    running = Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.join(ranks, ["g", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(running))
+    hits = rows.select("g", "v", F.size(F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))).alias("times"))
+    # of an odd number of values both ranks are the same and stand twice
+    neighbours = hits.where("times > 0").groupBy("g").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return neighbours.select(F.col("g").alias(group), (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("value"))

@@ -196,10 +196,19 @@ def _(spark, sf):
     return dataset(spark, sf, "events").distribution("ts").bars.select(*_LABEL_BARS)
 
 
-@register("dist_timeline_month", oracle.timeline("(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01')", "o_orderdate", "month"))
+# Order dates at half the pace, so that all of them span a few years.
+_HALF_PACE_SQL = "CAST(DATE '1970-01-01' + CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) // 2 AS INTEGER) AS TIMESTAMP)"
+
+
+def _half_pace() -> Column:
+    days = F.floor(F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date")) / 2).cast("int")
+    return F.date_add(F.lit("1970-01-01").cast("date"), days)
+
+
+@register("dist_timeline_month", oracle.timeline(f"(SELECT {_HALF_PACE_SQL} AS d FROM orders)", "d", "month"))
 def _(spark, sf):
-    early = table(spark, sf, "orders").where("o_orderdate < timestamp'2000-01-01'")
-    return Dataset.from_dataframe(early).distribution("o_orderdate").bars.select(*_LABEL_BARS)
+    dates = table(spark, sf, "orders").select(_half_pace().alias("d"))
+    return Dataset.from_dataframe(dates).distribution("d").bars.select(*_LABEL_BARS)
 
 
 @register("dist_timeline_year", oracle.timeline("orders", "o_orderdate", "year"))
@@ -208,12 +217,11 @@ def _(spark, sf):
 
 
 @register("dist_timeline_gap", oracle.timeline(
-    "(SELECT CASE WHEN month(o_orderdate) IN (3, 4, 9) THEN NULL ELSE o_orderdate END AS o_orderdate FROM orders "
-    "WHERE o_orderdate < TIMESTAMP '2000-01-01')", "o_orderdate", "month"))
+    f"(SELECT CASE WHEN month(d) IN (3, 4, 9) THEN NULL ELSE d END AS d FROM (SELECT {_HALF_PACE_SQL} AS d FROM orders))", "d", "month"))
 def _(spark, sf):
-    gap = F.when(~F.month("o_orderdate").isin(3, 4, 9), F.col("o_orderdate")).alias("o_orderdate")
-    early = table(spark, sf, "orders").where("o_orderdate < timestamp'2000-01-01'").select(gap)
-    return Dataset.from_dataframe(early).distribution("o_orderdate").bars.select(*_LABEL_BARS)
+    dates = table(spark, sf, "orders").select(_half_pace().alias("d"))
+    gaps = dates.select(F.when(~F.month("d").isin(3, 4, 9), F.col("d")).alias("d"))
+    return Dataset.from_dataframe(gaps).distribution("d").bars.select(*_LABEL_BARS)
 
 
 @register("dist_categorical_top", oracle.categorical("part", "p_name", 10))
@@ -250,7 +258,15 @@ def _(spark, sf):
            CAST(sum(count) AS BIGINT) AS count, min(position) >= 8 AS is_other
     FROM ({oracle.categorical("part", "p_brand", 20)}) GROUP BY least(position, 8)""")
 def _(spark, sf):
-    return dataset(spark, sf, "part").distribution("p_brand", top=20).slices()
+    return dataset(spark, sf, "part").distribution("p_brand", top=20).slices().drop("pct")
+
+
+@register("pie_shares", f"""
+    WITH g AS (SELECT p_type AS label, count(*) AS count FROM part GROUP BY 1)
+    SELECT CAST(row_number() OVER (ORDER BY lower(label)) AS INTEGER) AS position, label, count,
+           {oracle.percent('count', '(SELECT count(*) FROM part)')} AS pct, false AS is_other FROM g""")
+def _(spark, sf):
+    return dataset(spark, sf, "part").distribution("p_type").slices(order="label")
 
 
 @register("dist_label_order", """
@@ -297,6 +313,17 @@ def _named_lines(spark, sf) -> Dataset:
     return Dataset.from_dataframe(lines.join(parts, "l_partkey").select("p_name", "l_extendedprice"))
 
 
+_CUSTOMER_ORDERS = "(SELECT 'c' || o_custkey AS customer, o_totalprice FROM orders)"
+
+
+@register("compare_all_groups", oracle.compare(_CUSTOMER_ORDERS, "customer", "o_totalprice", "median", limit=100_000_000))
+def _(spark, sf):
+    """The median order of every customer, of whom there are more than are compared by default."""
+    of_customer = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer")
+    orders = table(spark, sf, "orders").select(of_customer, "o_totalprice")
+    return Dataset.from_dataframe(orders).compare("customer", "o_totalprice", "median", limit=100_000_000).items
+
+
 @register("compare_joined_truncated", oracle.compare(_NAMED_LINES, "p_name", "l_extendedprice", "mean", limit=20))
 def _(spark, sf):
     return _named_lines(spark, sf).compare("p_name", "l_extendedprice", limit=20).items
@@ -495,6 +522,32 @@ _dates("infer_dates_ambiguous", lambda d: F.date_format(d, "dd/MM/yyyy"),
        "CASE WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) ELSE o_orderdate END")
 
 
+@register("infer_dates_junk_first", oracle.describe_datetime("orders", "written", "CASE WHEN o_orderkey > 60 THEN o_orderdate END"))
+def _(spark, sf):
+    """Notes in place of the first sixty dates."""
+    note = F.concat(F.lit("see note "), F.col("o_orderkey").cast("string"))
+    written = F.when(F.col("o_orderkey") <= 60, note).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return Dataset.from_dataframe(table(spark, sf, "orders").orderBy("o_orderkey").select(written.alias("written"))).describe("written")
+
+
+_BIG = 2**53
+
+_BIG_SQL = " UNION ALL ".join(f"""
+    SELECT '{name}' AS name, 'numeric' AS kind, count(DISTINCT o_orderkey) = count(*) AND max(o_orderkey) - min(o_orderkey) = count(*) - 1 AS is_identifier,
+           count(*) AS valid, count(DISTINCT o_orderkey) AS "unique" FROM orders""" for name in ("whole", "decimal", "written", "dollars"))
+
+
+@register("codebook_big_ids", _BIG_SQL)
+def _(spark, sf):
+    """Order numbers beyond what a double can tell apart, as whole numbers, decimals and texts."""
+    number = F.col("o_orderkey") + F.lit(_BIG)
+    big = table(spark, sf, "orders").select(
+        number.alias("whole"), number.cast("decimal(20,0)").alias("decimal"), number.cast("string").alias("written"),
+        F.concat(F.lit("$"), F.call_function("format_number", number, F.lit("#,##0"))).alias("dollars"),
+    )
+    return Dataset.from_dataframe(big).codebook().select("name", "kind", "is_identifier", "valid", "unique")
+
+
 # ------------------------------------------------------- cleaning and saving
 @register("clean_blank_rows", """
     SELECT name, kind, count(*) AS valid, CAST(0 AS BIGINT) AS missing FROM nation,
@@ -632,3 +685,56 @@ def _(spark, sf):
     FROM customer WHERE c_acctbal < 0""")
 def _(spark, sf):
     return bad_rows(spark, _ragged(spark, sf)).drop("file")
+
+
+def _extra_fields(spark, sf) -> str:
+    """Customers as comma-separated text; negative balances come with an empty and a filled field too many, balances
+    beyond 9,000 with one empty field, and some names hold the delimiter inside quotes."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"'), F.col("c_name"), F.lit(', Ltd"'))).otherwise(F.col("c_name"))
+    extra = F.when(F.col("c_acctbal") < 0, ",,LOST").when(F.col("c_acctbal") > 9000, ",").otherwise("")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(","), name, F.lit(","), "c_mktsegment", extra)
+    return _written(spark, table(spark, sf, "customer").select(line.alias("custkey,name,segment")), sep="\x01", quote="")
+
+
+@register("delimited_extra_fields", """
+    SELECT CAST(c_custkey AS VARCHAR) AS custkey, CASE WHEN c_acctbal < 0 THEN 5 ELSE 4 END AS fields, 3 AS header_fields,
+           c_custkey || ',' || CASE WHEN c_custkey % 3 = 0 THEN '"' || c_name || ', Ltd"' ELSE c_name END || ',' || c_mktsegment
+           || CASE WHEN c_acctbal < 0 THEN ',,LOST' ELSE ',' END AS record
+    FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000""")
+def _(spark, sf):
+    return bad_rows(spark, _extra_fields(spark, sf), whole=True).select("custkey", "fields", "header_fields", "record")
+
+
+@register("delimited_pipe", """
+    SELECT 'note' AS name, 'text' AS kind, count(*) AS valid, count(DISTINCT o_orderkey) AS "unique" FROM orders
+    UNION ALL SELECT 'price', 'numeric', count(*), count(DISTINCT o_totalprice) FROM orders""")
+def _(spark, sf):
+    """Orders parted by bars, with a varying number of commas and semicolons in a note."""
+    commas = F.repeat(F.lit(", and"), (F.col("o_orderkey") % 5).cast("int"))
+    note = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), commas, F.when(F.col("o_orderkey") % 2 == 0, "; paid").otherwise(""))
+    df = table(spark, sf, "orders").select(note.alias("note"), _pattern(F.col("o_totalprice"), "0.00").alias("price"))
+    return read_delimited(spark, _written(spark, df, sep="|")).codebook().select("name", "kind", "valid", "unique")
+
+
+@register("delimited_preamble", """
+    SELECT '|' AS sep, 'utf-8' AS encoding, 'Customers, as of today; by hand' AS first_line, count(*) > 0 AS found FROM customer""")
+def _(spark, sf):
+    """The delimiter of a table that comes after prose with other signs."""
+    line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    path = _written(spark, table(spark, sf, "customer").select(line.alias("Customers, as of today; by hand")), sep="\x01", quote="")
+    found = scan_files(spark, path)
+    return found.groupBy("sep", "encoding", F.decode("header_bytes", "UTF-8").alias("first_line")).agg((F.count("*") > 0).alias("found"))
+
+
+_BROKEN_SQL = "'say \"' || o_orderpriority || '\"' || chr(10) || 'no; ' || o_orderkey || CASE WHEN o_orderkey % 7 = 0 THEN chr(10) || chr(10) || '5\" pipe' ELSE '' END"
+
+
+@register("delimited_line_breaks", f"""
+    SELECT sha256(CAST(o_orderkey AS VARCHAR) || '/' || {_BROKEN_SQL} || '/' || o_orderstatus) AS cells FROM orders""")
+def _(spark, sf):
+    """Orders with line breaks, quotes and delimiters in a cell; every row comes back as it was."""
+    more = F.when(F.col("o_orderkey") % 7 == 0, '\n\n5" pipe').otherwise("")
+    note = F.concat(F.lit('say "'), "o_orderpriority", F.lit('"\nno; '), F.col("o_orderkey").cast("string"), more)
+    df = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), "o_orderstatus")
+    ds = read_delimited(spark, _written(spark, df, sep=";", quote='"', escape='"'))
+    return ds.cells.select(F.sha2(F.concat_ws("/", "c0000", "c0001", "c0002"), 256).alias("cells"))

@@ -1,8 +1,12 @@
+import statistics
+
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import lines
 
+from fieldnotes.operators import quantiles
+
 
 @pytest.fixture(scope="module")
 def people():
@@ -80,7 +84,7 @@ def test_groups_without_values(make):
 @pytest.mark.parametrize("arguments", [
     dict(group_by="who", agg="count"), dict(group_by="pay", agg="count"), dict(group_by="team", metric="who"),
     dict(group_by="team"), dict(group_by="team", metric="pay", agg="mode"), dict(group_by="team", metric="pay", limit=0),
-    dict(group_by="team", metric="pay", limit=201), dict(group_by="team", metric="pay", sort="up"),
+    dict(group_by="team", metric="pay", limit="5"), dict(group_by="team", metric="pay", sort="up"),
 ])
 def test_rejections(make, people, arguments):
     with pytest.raises(ValueError):
@@ -97,3 +101,21 @@ def test_suggestion(make, people):
 def test_labels_with_type_letters_are_text(make):
     ds = make(g=["10d", "2d", "7d"] * 3, v=list(range(9)))
     assert [r.label for r in ds.compare("g", "v", sort="label").items.orderBy("position").collect()] == ["10d", "2d", "7d"]
+
+
+def test_as_many_groups_as_asked_for(make):
+    values = {f"g{k:03d}": [float((k * j) % 17) for j in range(k % 4 + 1)] for k in range(300)}
+    pairs = [(g, v) for g, own in values.items() for v in own] + [("none", None)]
+    ds = make(g=[g for g, _ in pairs], v=[v for _, v in pairs])
+    for agg in ("median", "mean"):
+        got = {r["label"]: r["value"] for r in ds.compare("g", "v", agg=agg, limit=1000).items.collect()}
+        want = {g: round(float(getattr(statistics, agg)(own)), 4) for g, own in values.items()}
+        assert got == want | {"none": None}
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 500])
+def test_medians_of_one_large_group_with_ties(spark, size):
+    values = [float((k * 7919) % 13) for k in range(size)]
+    frame = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("b", None), ("c", None)], "g string, v double")
+    got = {r["g"]: r["value"] for r in quantiles.group_medians(frame, "g", "v").collect()}
+    assert got == {"a": statistics.median(values), "b": 1.0}

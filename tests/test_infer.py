@@ -6,7 +6,7 @@ from conftest import by_name
 from pyspark.sql import functions as F
 
 from fieldnotes.functions import dates, numbers
-from fieldnotes.operators.infer import date_share_of_first_values
+from fieldnotes.operators.infer import date_evidence
 
 
 def test_currency_thousands_percent_and_brackets(make):
@@ -85,16 +85,23 @@ def test_unparsed_dates_are_missing(make):
     assert (column["kind"], column["valid"], column["missing"]) == ("datetime", 19, 1)
 
 
-def test_date_gate_looks_at_the_first_distinct_values(make):
+def test_date_gate_looks_at_all_distinct_values(make):
     # 300 distinct dates first, then as many other texts that still parse as year-months.
     dates_first = [str(d.date()) for d in pd.date_range("2020-01-01", periods=300)]
     months = [f"{y}-{m:02d}" for y in range(1980, 2005) for m in range(1, 13)]
     early = make(d=dates_first + months)
     late = make(d=months + dates_first)
-    assert date_share_of_first_values(early.cells, early.fields[0]) == 1.0
-    assert date_share_of_first_values(late.cells, late.fields[0]) == 0.0
-    assert by_name(early)["d"]["kind"] == "datetime"
-    assert by_name(late)["d"]["kind"] == "text"
+    for ds in (early, late):
+        assert date_evidence(ds.cells, ds.fields[0], ("year_first",))["share"] == 0.5
+        assert by_name(ds)["d"]["kind"] == "text"
+
+
+def test_a_little_junk_anywhere_leaves_dates_dates(make):
+    dates = [str(d.date()) for d in pd.date_range("2000-01-01", periods=5000)]
+    junk = [f"see note {k}" for k in range(60)]
+    for values in (junk + dates, dates + junk):
+        column = by_name(make(d=values))["d"]
+        assert (column["kind"], column["valid"], column["missing"]) == ("datetime", 5000, 60)
 
 
 def test_answer_is_the_same_for_any_partitioning(make):

@@ -113,3 +113,18 @@ def test_large_whole_numbers_are_counted_exactly(make):
     ds = make(order_key=[2**53 + k for k in range(20)])
     row = ds.codebook().first()
     assert row["unique"] == 20 and row["is_identifier"]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(20,0)", "decimal(38,0)", "string"])
+def test_large_numbers_are_told_apart(spark, kind):
+    numbers = spark.range(20).select((F.col("id") + F.lit(2**53)).cast(kind).alias("number"))
+    line = by_name(from_dataframe(numbers))["number"]
+    assert (line["kind"], line["unique"], line["is_identifier"]) == ("numeric", 20, True)
+
+
+def test_numbers_in_text_count_by_their_value(make):
+    book = by_name(make(
+        same=["1", "1.0", "1.00", "1e0", "2", "20e-1"] * 4, money=["$1,000", "1000.0", "(5)", "-5", "$5", "5%"] * 4,
+        parts=[f"{2**53 + k}.5" for k in range(24)], huge=["1e300", "1e300", "2e300", "3"] * 6,
+    ))
+    assert [(book[c]["unique"], book[c]["is_identifier"]) for c in ("same", "money", "parts", "huge")] == [(2, False), (3, False), (24, False), (3, False)]
