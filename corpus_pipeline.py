@@ -22,13 +22,6 @@ from fieldnotes.llm.queries import vocabulary
 FEW = 200_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without those ids; rows with a null id stay."""
-    ids = saved(ids.filter("doc_id is not null").distinct(), name)
-    few = ids.count() <= FEW
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.filter("keep").select(*docs.columns)
@@ -52,8 +45,11 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id"), "leaks")
+    """Rows that hold an item go, each for itself: rows that only share an id with one stay, rows without an id go too."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row_key())
+    leaks = saved(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    keyed = docs.withColumn("key", row_key())
+    return keyed.join(F.broadcast(leaks) if leaks.count() <= FEW else leaks, "key", "left_anti").select(*docs.columns)
 
 
 def secrets_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
