@@ -12,7 +12,9 @@ Equal vectors are one class. Cells are worked off in blocks of members against b
 counts of links and a spanning forest of them, never its pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite values link with nothing, and vectors of different
-lengths don't link. Repeated ids count as vectors of their own. The label and other columns are not read.
+lengths don't link. Every row is a vector of its own: rows that share an id are linked by their vectors alone, and rows
+without an id count as links and take part in components; a component of such rows only has no id, and all of them are
+kept. The label and other columns are not read.
 """
 
 from __future__ import annotations
@@ -112,14 +114,19 @@ def link(vectors: DataFrame, least: float = 0.95, words: int = WORDS, sample: in
         (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0),
         F.lit(False),
     )
+    # equal vectors go by a digest of their numbers, 0 and -0 alike, and their class by a number of its own
+    digest = F.sha2(F.transform("v", lambda x: x + F.lit(0.0)).cast("string"), 256)
+    rows = rows.withColumn("digest", F.when(sound, digest))
     classes = saved(
-        rows.filter(sound & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("many")), "classes"
+        rows.filter("digest is not null").groupBy("digest").agg(F.first("v").alias("v"), F.min("vec_id").alias("first"), F.count("*").alias("many"))
+        .withColumn("id", F.monotonically_increasing_id()),
+        "classes",
     )
     width = classes.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width += width % 2
-    drawn = classes.orderBy(F.xxhash64("id")).limit(sample).select("v").toPandas()["v"]
+    drawn = classes.orderBy("digest").limit(sample).select("v").toPandas()["v"]
     grid = Grid(_unit(drawn, width), least, words, recall)
     shared = vectors.sparkSession.sparkContext.broadcast(grid)
 
@@ -130,7 +137,7 @@ def link(vectors: DataFrame, least: float = 0.95, words: int = WORDS, sample: in
                 points = _unit(part["v"], width)
                 yield pd.DataFrame({"id": part["id"], "many": part["many"], "size": [len(v) for v in part["v"]], "unit": list(points), "cell": shared.value.cells(points), "visits": shared.value.visits(points)})
 
-    placed = saved(classes.mapInPandas(place, "id long, many long, size int, unit array<double>, cell int, visits array<int>"), "placed")
+    placed = saved(classes.select("id", "many", "v").mapInPandas(place, "id long, many long, size int, unit array<double>, cell int, visits array<int>"), "placed")
     # as many numbers as the grid has cells
     members = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
     searches = {r["cell"]: r["count"] for r in placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().collect()}
@@ -193,16 +200,18 @@ def link(vectors: DataFrame, least: float = 0.95, words: int = WORDS, sample: in
     found = saved(placed.mapInPandas(deal, schema).groupBy("at", "mine", "theirs").applyInPandas(verify, "a long, b long, n long"), "found")
     counts = found.filter("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     labels = components(found.filter("a != b").select("a", "b"))
-    named = (
-        classes.join(counts, "id", "left").join(labels, "id", "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    )
+    sums = classes.select("id", "digest", "first", "many").join(counts, "id", "left").join(labels, "id", "left")
+    sums = sums.select("digest", "first", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n"), F.coalesce("component", "id").alias("label"))
+    smallest = sums.groupBy("label").agg(F.min("first").alias("component"))
+    named = saved(sums.join(smallest, "label").select("digest", "n", "component"), "named")
     salts = 32  # one vector may be a third of all rows
-    dealt = rows.withColumn("v", F.when(sound & F.col("vec_id").isNotNull(), F.col("v"))).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
+    dealt = rows.select("vec_id", "digest", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"))
     spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(spread, ["v", "salt"], "left").select(
+    linked = dealt.join(spread, ["digest", "salt"], "left")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    return linked.select(
         "vec_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"),
+        F.when(F.col("vec_id").isNull(), component.isNull()).otherwise(component == F.col("vec_id")).alias("kept"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -96,3 +97,30 @@ def test_pipeline_keeps_one_row_a_component(spark):
     linked = jaccard.link(docs).collect()
     kept = sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, folder).collect())
     assert kept == sorted(r.doc_id for r in linked if r.doc_id == r.component_id)
+
+
+def test_leaks_go_by_row(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(None, f"before {item} after"), (7, item), (7, "clean words that share an id with a leak " * 3), (8, "clean"), (None, "clean too"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(str, (tuple(r) for r in corpus_pipeline.benchmark_decontamination(spark, docs, folder).collect())))
+    assert kept == sorted(map(str, rows[2:]))
+
+
+def test_vectors_go_by_row(spark):
+    rng = np.random.default_rng(8)
+    one, two, three, four = rng.standard_normal((4, 16))
+    near = lambda v: (v + 0.02 * np.linalg.norm(v) * rng.standard_normal(16)).tolist()
+    zero = [0.0] * 15
+    rows = [(5, one.tolist()), (5, two.tolist()), (6, near(one)), (7, near(two)), (None, one.tolist()), (8, three.tolist()), (8, near(three)),
+            (None, four.tolist()), (None, near(four)), (9, None), (None, None), (10, [0.0, *zero]), (11, [float("nan"), *zero]), (12, [1.0, *zero]), (13, [2.0, *[-0.0] * 15])]
+    others = [(100 + k, v.tolist()) for k, v in enumerate(rng.standard_normal((400, 16)))]
+    found = multi_index.link(spark.createDataFrame(rows + others, "vec_id long, embedding array<double>").repartition(4)).collect()
+    want = [(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (7, 1, 5, False), (None, 2, 5, False), (8, 1, 8, True), (8, 1, 8, True),
+            (None, 1, None, True), (None, 1, None, True), (9, 0, 9, True), (None, 0, None, True), (10, 0, 10, True), (11, 0, 11, True), (12, 1, 12, True), (13, 1, 12, False)]
+    own = [tuple(r) for r in found if r.vec_id is None or r.vec_id < 100]
+    assert sorted(map(str, own)) == sorted(map(str, want))
+    assert len(found) == len(rows) + len(others)
