@@ -4,14 +4,14 @@ Items are partitioned by their number of five-word shingles. For every partition
 windows of one and a half times the partition's largest size, so that an item that stands in a long document
 fills a good part of some window, and containment turns into a Jaccard similarity that MinHash can find: with
 BANDS bands of one minimum each an item at containment 0.75 is missed with a chance below 3e-4, a whole one
-below 3e-6. Window minima are the minima of blocks of shingles, so that all partitions share their cost.
+below 3e-6 (items of one or two shingles more often: 1.4 % and 1e-4). Window minima are the minima of blocks of shingles, so that all partitions share their cost.
 
 Bloom filters of fixed size hold the items' minima and shingles; they go to every task, and only documents
 with a window minimum in the first send anything: those minima, and the shingles in the second. Candidates come
 from joining minima, and are then verified: containment is the exact share of an item's distinct shingles
 that the whole document holds, and has to be 0.75 or more.
 
-Null and empty texts match nothing. Items of fewer than five words match nothing: they have no shingle that a
+Null and empty texts match nothing, nor do rows with a null doc_id unless a key is given. Items of fewer than five words match nothing: they have no shingle that a
 document could hold. Rows with the same doc_id or item_id count as one. Other columns are not read.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldnotes.llm.base import SHINGLE, SIMILAR, mix, saved, shingle_hashes, words
@@ -90,7 +90,7 @@ def _found(group: list, parts: list[int], in_bands: np.ndarray, in_shingles: np.
     """Rows (doc_id, kind, value) of the documents of a group [(doc_id, hashes)] that have a window minimum in
     the items' filter: those minima and the shingles that items may hold."""
     if not parts:
-        return pd.DataFrame({"doc_id": [], "kind": [], "value": []}).astype("int64")
+        return pd.DataFrame({"doc_id": pd.Series([], dtype=object), "kind": [], "value": []}).astype({"kind": "int64", "value": "int64"})
     hashes = np.concatenate([h for _, h in group])
     sizes = np.array([len(h) for _, h in group])
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -124,7 +124,7 @@ def _found(group: list, parts: list[int], in_bands: np.ndarray, in_shingles: np.
                 values.append(keys[hit])
                 kinds.append(np.full(int(hit.sum()), part + 1))
     if not docs_of:
-        return pd.DataFrame({"doc_id": [], "kind": [], "value": []}).astype("int64")
+        return pd.DataFrame({"doc_id": pd.Series([], dtype=object), "kind": [], "value": []}).astype({"kind": "int64", "value": "int64"})
     which = np.unique(np.concatenate(docs_of))
     for w in which:
         own = np.unique(group[w][1])
@@ -132,14 +132,14 @@ def _found(group: list, parts: list[int], in_bands: np.ndarray, in_shingles: np.
         docs_of.append(np.full(len(own), w))
         values.append(own)
         kinds.append(np.zeros(len(own), np.int64))
-    ids = np.array([doc for doc, _ in group], np.int64)
+    ids = np.array([doc for doc, _ in group], object if isinstance(group[0][0], str) else np.int64)
     table = pd.DataFrame({"doc_id": ids[np.concatenate(docs_of)], "kind": np.concatenate(kinds), "value": np.concatenate(values).view(np.int64)})
     return table.drop_duplicates()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SIMILAR) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SIMILAR, key: Column | None = None) -> DataFrame:
     """(doc_id, item_id, matched, size, containment) of every document that holds at least `least` hundredths of
-    an item's shingles."""
+    an item's shingles. With a key (text), rows go by that instead of their ids, and doc_id holds it."""
     spark = docs.sparkSession
     items = saved(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -169,9 +169,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = SIMILAR) ->
                 yield look(docs_at)
 
     hits = saved(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        docs.select((F.col("doc_id").cast("long") if key is None else key).alias("doc_id"), F.col("text").cast("string").alias("text"))
         .filter("doc_id is not null and text is not null")
-        .mapInPandas(search, "doc_id long, kind int, value long"),
+        .mapInPandas(search, f"doc_id {'long' if key is None else 'string'}, kind int, value long"),
         "hits",
     )
     # a passage may stand in a third of all documents: its keys are dealt over salts
