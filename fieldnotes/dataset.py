@@ -53,11 +53,11 @@ class Dataset:
 
     def field(self, name: str | None) -> Field:
         if not name:
-            raise ValueError("Choose a column.")
+            raise ValueError("a column has to be named")
         for f in self.fields:
             if f.name == name:
                 return f
-        raise KeyError(f"There's no column named {name!r} in this dataset.")
+        raise KeyError(f"{self.name} has no column {name!r}")
 
     @property
     def columns(self) -> list[str]:
@@ -204,5 +204,5 @@ class Dataset:
     def suggest(self):
         return suggest.suggest(self)
 
-    def report(self, column: str | None = None, comparison: dict | None = None):
-        return report.report(self, column, comparison)
+    def report(self, column: str | None = None, comparison: dict | None = None, **options):
+        return report.report(self, column, comparison, **options)

@@ -28,8 +28,12 @@ class Report:
             writer.format(format).save(f"{path.rstrip('/')}/{name}")
 
 
-def report(ds, column: str | None = None, comparison: dict | None = None) -> Report:
-    """Codebook, one variable and one comparison; what is not given is suggested."""
+def report(ds, column: str | None = None, comparison: dict | None = None, top: int | None = 25, bins: int | None = None,
+           order: str = "count", slices: bool = False, overall: bool = False) -> Report:
+    """Codebook, one variable and one comparison; what is not given is suggested.
+
+    ``top``, ``bins`` and ``order`` ("count" or "label") shape the variable's frequencies. ``slices`` adds its shares for a
+    pie, ``overall`` the comparison's figure for all rows with the number of groups and whether some were cut off."""
     if column is None or comparison is None:
         first = ds.suggest()
         column = column or first.variable
@@ -38,7 +42,13 @@ def report(ds, column: str | None = None, comparison: dict | None = None) -> Rep
     tables = {"codebook": ds.codebook()}
     if column:
         tables["descriptives"] = ds.descriptive_table(column)
-        tables["frequencies"] = ds.distribution(column).frequency_table()
+        shown = ds.distribution(column, top, bins)
+        tables["frequencies"] = shown.frequency_table(order)
+        if slices:
+            tables["slices"] = shown.slices(order=order)
     if comparison:
-        tables["comparison"] = ds.compare(**comparison).items
+        compared = ds.compare(**comparison)
+        tables["comparison"] = compared.items
+        if overall:
+            tables["overall"] = compared.overall
     return Report(tables)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..dataset import Dataset
 from ..functions.rounding import finite_or_null
+from ..operators.quantiles import exact_quantiles
 from ..session import shared_folder
 from ..sources.delimited import bad_rows, read_delimited
 from ..sources.scan import scan_files
@@ -99,6 +100,16 @@ def _describe(name: str, source: str, column: str, sql: str) -> None:
 _describe("describe_numeric", "customer", "c_acctbal", oracle.describe_numeric("customer", "c_acctbal", "c_acctbal"))
 _describe("describe_numeric_large", "lineitem", "l_extendedprice",
           oracle.describe_numeric("lineitem", "l_extendedprice", "l_extendedprice"))
+@register("quantiles_by_search", f"""
+    SELECT {oracle.rounded("quantile_cont(l_extendedprice, 0.25)")} AS q1, {oracle.rounded("quantile_cont(l_extendedprice, 0.5)")} AS "median",
+           {oracle.rounded("quantile_cont(l_extendedprice, 0.99)")} AS q99 FROM lineitem""")
+def _(spark, sf):
+    """Quantiles as they are found where a column is too large for one task."""
+    prices = table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("v"))
+    found = exact_quantiles(prices, "v", {None: prices.count()}, [0.25, 0.5, 0.99], limit=1000)[None]
+    return spark.createDataFrame([tuple(round(v, 4) for v in found)], "q1 double, median double, q99 double")
+
+
 _describe("describe_label", "orders", "o_orderpriority",
           oracle.describe_label("orders", "o_orderpriority", "o_orderpriority", "categorical"))
 _describe("describe_text", "documents", "text", oracle.describe_label("documents", "text", '"text"', "text"))
@@ -499,6 +510,23 @@ _infer_kind("infer_three_answers", "orders", lambda: F.when(F.col("o_orderstatus
                       "CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'no' ELSE 'n' END"))
 
 
+@register("infer_native_boolean", f"""
+    SELECT 'boolean' AS kind, count(*) AS valid, count(DISTINCT l_linestatus) AS "unique",
+           {oracle.percent("count(*) FILTER (l_linestatus = 'O')", "count(*)", 1)} AS true_pct FROM lineitem""")
+def _(spark, sf):
+    flag = table(spark, sf, "lineitem").select((F.col("l_linestatus") == "O").alias("open"))
+    return Dataset.from_dataframe(flag).codebook().select("kind", "valid", "unique", "true_pct")
+
+
+@register("infer_no_number_left", """
+    SELECT 'empty' AS kind, CAST(0 AS BIGINT) AS valid, count(*) AS missing FROM customer""")
+def _(spark, sf):
+    """A column of infinities, beside a column that keeps its rows."""
+    endless = F.when(F.col("c_acctbal") < 0, "-inf").otherwise("Infinity").alias("endless")
+    book = Dataset.from_dataframe(table(spark, sf, "customer").select("c_custkey", endless)).codebook()
+    return book.where("name = 'endless'").select("kind", "valid", "missing")
+
+
 @register("infer_bool_text", oracle.describe_boolean("orders", "written", "o_totalprice > 250000"))
 def _(spark, sf):
     answer = F.when(F.col("o_totalprice") <= 250000, F.when(F.col("o_orderstatus") == "F", "NO").otherwise("no")).otherwise("Yes")

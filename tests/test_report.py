@@ -44,6 +44,16 @@ def test_finite_or_null(spark):
     assert row["e"] == "�A" and row["f"] == [None, 1.0] and row["g"]["x"] is None and row["h.i"] == 1
 
 
+def test_report_in_the_chosen_order_with_shares(make):
+    ds = make(g=list("bbbaac") * 4, v=[float(k) for k in range(24)])
+    tables = ds.report("g", {"group_by": "g", "metric": "v", "limit": 2}, order="label", slices=True, overall=True).tables
+    assert list(tables) == ["codebook", "descriptives", "frequencies", "slices", "comparison", "overall"]
+    assert [r["label"] for r in tables["frequencies"].orderBy("position").collect()] == ["a", "b", "c"]
+    assert [(r["label"], r["pct"]) for r in tables["slices"].orderBy("position").collect()] == [("a", 33.33), ("b", 50.0), ("c", 16.67)]
+    line = tables["overall"].first()
+    assert (line["overall"], line["total_groups"], line["truncated"]) == (11.5, 3, True)
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(contract.queries())
