@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,13 +34,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     nothing that is already written. The folder goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     atexit.register(_drop, spark, path)
     written = spark.read.schema(df.schema).parquet(path)
     written.saved_at = path
     return written
 
 
+#: Spark's setting under which the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled meanwhile is deleted with the end of the query, as its rows are written; the session's own setting
+    holds again afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes what saved() has written, once nothing reads it any more."""
     for table in tables:
@@ -54,6 +72,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def slices(batch: pd.DataFrame, text: str = "text", size: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in parts of about so many characters of text, so that what is made of a part stays small."""
+    lengths = batch[text].str.len().fillna(0).to_numpy(dtype=np.int64)
+    part = (np.cumsum(lengths) - lengths) // size
+    for k in np.unique(part):
+        yield batch[part == k]
+
+
 def row_key() -> Column:
     """What tells rows apart where doc_id is null or repeated: a digest of doc_id and text. Rows with the same key are
     the same document."""
@@ -168,7 +194,7 @@ def components(links: DataFrame) -> DataFrame:
     chains shrink fast."""
     stars = links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(_stars, "a long, b long")
     both = saved(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("col.*"), "links")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
+    labels = held = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")), "labels")
     while True:
         around = (
             both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
@@ -180,5 +206,7 @@ def components(links: DataFrame) -> DataFrame:
             "labels",
         )
         if not step.filter("next < component").limit(1).count():
+            released(step, both)
             return labels
-        labels = step.select("id", F.col("next").alias("component"))
+        released(held)
+        labels, held = step.select("id", F.col("next").alias("component")), step

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.base import SIMILAR, components, mix, saved, shingle_hashes
+from fieldnotes.llm.base import SIMILAR, components, mix, released, saved, shingle_hashes
 
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together; lines of lists that a task hands over together.
@@ -219,14 +219,18 @@ def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> Da
     left = lists.select("token", "class", "n", "p", F.col("class").alias("label"))  # each has two classes or more
     while n_rows:
         pairs = saved((_all_apart(left, classes, least) if whole else _drawn(left, turn, least)).select("a", "b"), "pairs")
-        new = saved(_verified(pairs, _full(rows, pairs, classes), least), "found")
+        full = _full(rows, pairs, classes)
+        new = saved(_verified(pairs, full, least), "found")
+        released(pairs, full)
         links = new if links is None else links.unionByName(new)
         n_new = new.count()
         if n_new:
             labels = _relabel(classes, links)
         if whole:
             break
-        left = saved(_apart(left.drop("label"), labels), "apart")
+        before, left = left, saved(_apart(left.drop("label"), labels), "apart")
+        if turn:  # the first is the table of lists
+            released(before)
         pairs_apart, n_open = _still_apart(left)
         if not pairs_apart:
             break
@@ -270,7 +274,9 @@ def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         others = unnamed.mapInPandas(build_all, "class long, hashes array<long>")
         found = found.unionByName(others.join(F.broadcast(nameless) if few else nameless, "class", "left_semi"))
     # rows that repeat an id may bring a class twice
-    return saved(found.dropDuplicates(["class"]), "full")
+    full = saved(found.dropDuplicates(["class"]), "full")
+    released(members)
+    return full
 
 
 def _bitmap(hashes: np.ndarray) -> np.ndarray:
