@@ -218,7 +218,7 @@ def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> Da
     links, turn, whole = None, 0, False
     left = lists.select("token", "class", "n", "p", F.col("class").alias("label"))  # each has two classes or more
     while n_rows:
-        pairs = saved((_all_apart(left, classes, least) if whole else _drawn(left, turn, least)).select("a", "b"), "pairs")
+        pairs = saved(_all_apart(left, classes, least) if whole else _near(_drawn(left, turn, least), classes, least), "pairs")
         full = _full(rows, pairs, classes)
         new = saved(_verified(pairs, full, least), "found")
         released(pairs, full)
@@ -316,10 +316,21 @@ def _all_apart(lists: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     lists = lists.join(classes.select("class", "bits"), "class")
     one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"))
     two = lists.select(F.col("token").alias("other"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"))
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
-    near = differ <= F.col("n_a") + F.col("n_b") - 2 * _common("n_a", "n_b", least)
     apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    return one.join(two, (F.col("token") == F.col("other")) & apart & _fitting(least) & near).select("a", "b").distinct()
+    return one.join(two, (F.col("token") == F.col("other")) & apart & _fitting(least) & _bits_near(least)).select("a", "b").distinct()
+
+
+def _bits_near(least: int) -> Column:
+    """Whether bitmaps leave it open that sets are similar: each place that differs takes a shingle of one set only."""
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP)), F.lit(0))
+    return differ <= F.col("n_a") + F.col("n_b") - 2 * _common("n_a", "n_b", least)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The pairs that bitmaps leave open; only their sets have to be read."""
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    two = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    return pairs.join(one, "a").join(two, "b").filter(_bits_near(least)).select("a", "b")
 
 
 def _fitting(least: int) -> Column:
