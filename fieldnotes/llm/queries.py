@@ -207,7 +207,7 @@ WITH pieces AS (
     FROM (SELECT *, unnest(range(1, size)) AS k FROM stay)
 ), scored AS (
     SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r, n, (CAST(1000 AS HUGEINT) * a * n) // (CAST(h.f AS HUGEINT) * t.f) AS score
-    FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.rest JOIN totals USING (lang)
+    FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = c.head JOIN counts t ON t.lang = c.lang AND t.phrase = c.rest JOIN totals o ON o.lang = c.lang
 ), best AS (
     SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), ranked AS (
@@ -217,4 +217,42 @@ SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(
 FROM ranked WHERE rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op8_decontaminate": _DECONTAMINATE, "op11_fill_middle": _FILL_MIDDLE, "op12_rule_ledger": _RULE_LEDGER, "op13_phrases": _PHRASES}
+#: Shared shingles of all pairs of documents that have one, and what links reach.
+_JACCARD = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), shingles AS (
+    SELECT doc_id, unnest(s) AS x FROM sets
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * c >= 75 * (len(p.s) + len(q.s) - c)
+), edges AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS id, doc_id AS r FROM sets UNION SELECT reach.id, edges.b FROM reach JOIN edges ON reach.r = edges.a
+)
+SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(r) AS component_id FROM sets JOIN reach ON id = doc_id GROUP BY doc_id
+"""
+
+#: Cosines of all pairs of sound vectors, and what links reach.
+_MULTI_INDEX = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x), 'sum') AS size FROM embeddings
+), sound AS (
+    SELECT vec_id, v FROM vectors WHERE size > 0 AND isfinite(size) AND len(list_filter(v, lambda x: x IS NULL)) = 0
+), edges AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+    SELECT vec_id AS id, vec_id AS r FROM vectors UNION SELECT reach.id, edges.b FROM reach JOIN edges ON reach.r = edges.a
+), many AS (
+    SELECT a, count(*) AS n FROM edges GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM vectors JOIN reach ON id = vec_id LEFT JOIN many ON a = vec_id GROUP BY vec_id
+"""
+
+ORACLES: dict[str, str] = {"op5_jaccard": _JACCARD, "op7_multi_index": _MULTI_INDEX, "op8_decontaminate": _DECONTAMINATE, "op11_fill_middle": _FILL_MIDDLE, "op12_rule_ledger": _RULE_LEDGER, "op13_phrases": _PHRASES}
