@@ -23,8 +23,10 @@ are not read.
 
 from __future__ import annotations
 
-import uuid
+import itertools
+import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,11 @@ from fieldnotes.llm.base import released, saved
 #: Least count of a candidate, words of the longest, phrases that are reported for a language.
 LEAST, DEPTH, TOP = 100, 5, 2_000
 #: Words of a shard; bytes of text that are split together.
-SHARD, TOGETHER = 4_000_000, 1 << 20
-#: Frequent pairs that may go to every task (24 bytes each); more of them are joined by a shuffle.
+SHARD, TOGETHER = 2_000_000, 1 << 20
+#: Frequent pairs that may go to every task (16 bytes each); more of them are joined to the shards by a shuffle.
 FEW = 1_000_000
+#: Bits of a word's number that tell words of a shard apart, and shards of a task.
+LOCAL_BITS, TASK_BITS = 24, 16
 
 # A-Z become a-z, what parts pieces becomes a line break, a tab a space.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -71,10 +75,12 @@ class _Shard:
         self.parts += [found, np.zeros(1, np.int32)]
         self.size += int((found > 0).sum())
 
-    def row(self, lang: str) -> dict:
+    def row(self, lang: str, number: int) -> dict:
         whole = np.concatenate(self.parts)
+        if len(self.ids) >= 1 << LOCAL_BITS:
+            raise ValueError("a piece with too many distinct words for one shard")
         words = [w for w, number in self.ids.items() if number > 0]
-        return {"shard": uuid.uuid4().hex, "lang": lang, "ids": whole.tobytes(), "words": words, "counts": np.bincount(whole, minlength=len(words) + 1)[1:].tolist()}
+        return {"shard": number, "lang": lang, "ids": zlib.compress(whole.tobytes(), 1), "words": words, "counts": np.bincount(whole, minlength=len(words) + 1)[1:].tolist()}
 
 
 def _slices(raw: bytes) -> Iterator[bytes]:
@@ -88,11 +94,14 @@ def _slices(raw: bytes) -> Iterator[bytes]:
 
 
 def sharded(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(shard, lang, ids, words, counts): word ids of all texts as little-endian 32-bit numbers, 0 between pieces; words[k]
+    """(shard, lang, ids, words, counts): word ids of all texts as packed little-endian 32-bit numbers, 0 between pieces; words[k]
     has the id k + 1 and stands counts[k] times in the shard."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         open_: dict[str, _Shard] = {}
+        numbers = itertools.count(TaskContext.get().partitionId() << TASK_BITS)
         for batch in batches:
             for name, texts in batch.groupby("lang", sort=False)["text"]:
                 held: list[bytes] = []
@@ -106,15 +115,15 @@ def sharded(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
                         shard = open_.setdefault(name, _Shard())
                         shard.add(part)
                         if shard.size >= SHARD:
-                            yield pd.DataFrame([open_.pop(name).row(name)])
+                            yield pd.DataFrame([open_.pop(name).row(name, next(numbers))])
                     held, size = [], 0
         for name, shard in open_.items():
-            yield pd.DataFrame([shard.row(name)])
+            yield pd.DataFrame([shard.row(name, next(numbers))])
 
     source = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")
     ).filter("length(text) > 0")
-    return source.mapInPandas(gather, "shard string, lang string, ids binary, words array<binary>, counts array<long>")
+    return source.mapInPandas(gather, "shard long, lang string, ids binary, words array<binary>, counts array<long>")
 
 
 class FMIndex:
@@ -124,21 +133,25 @@ class FMIndex:
 
     def __init__(self, sequence: np.ndarray, depth: int):
         size = len(sequence)
-        rank, known = sequence.astype(np.int64), 1
+        rank, known = sequence, 1
         while known < depth:  # an order by twice as many ids from the order by those that are known
             step = min(known, depth - known)
             after = np.zeros(size, np.int64)
             after[: size - step] = rank[step:]
-            rank = np.unique(rank * (int(rank.max()) + 1) + after, return_inverse=True)[1]
+            after += rank * (np.int64(rank.max()) + 1)
+            rank = np.unique(after, return_inverse=True)[1]
             known += step
         order = np.argsort(rank, kind="stable")
         self.size = size
-        self.bwt = sequence[order - 1].astype(np.int64)
+        self.bwt = sequence[order - 1]
         #: Where the suffixes begin that start with each id.
         self.first = np.searchsorted(sequence[order], np.arange(int(sequence.max()) + 2))
-        #: (id, place) of the BWT in order; the number of pairs before (c, i) is first[c] + Occ(c, i).
+
+    @cached_property
+    def _ranked(self) -> np.ndarray:
+        """(id, place) of the BWT in order, as one number; as many are before (c, i) as first[c] + Occ(c, i)."""
         places = np.argsort(self.bwt, kind="stable")
-        self._ranked = self.bwt[places] * size + places
+        return self.bwt[places] * np.int64(self.size) + places
 
     def before(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
         """first[c] + Occ(c, i): where an interval's bound i goes when the phrase is extended by c."""
@@ -148,10 +161,13 @@ class FMIndex:
         """All extensions of intervals by one id: (interval, id, count, smaller), smaller being how many rows of the
         interval have a smaller id. Extensions by 0 are left out."""
         sizes = high - low
-        which = np.repeat(np.arange(len(low)), sizes)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+        keys = np.repeat(np.arange(len(low)), sizes)
+        rows = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes - low, sizes)
         many = int(self.bwt.max()) + 1
-        keys, counts = np.unique(which * many + self.bwt[rows], return_counts=True)
+        keys *= many
+        keys += self.bwt[rows]
+        del rows
+        keys, counts = np.unique(keys, return_counts=True)
         interval, ids = keys // many, keys % many
         through = np.cumsum(counts) - counts
         smaller = through - through[np.searchsorted(interval, interval)]
@@ -192,53 +208,90 @@ def _pairs_of(sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([left, ids[which]]), counts
 
 
+def _sequence(shard: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shard["ids"].iloc[0]), np.int32)
+
+
+def _numbers(sequence: np.ndarray, known: pd.DataFrame) -> np.ndarray:
+    """The global id of every local one, -1 for words that are not frequent and for breaks."""
+    number = np.full(int(max(sequence.max(), known["local"].max())) + 1, -1, np.int64)
+    number[known["local"].to_numpy()] = known["word_id"].to_numpy()
+    return number
+
+
 def _word_pairs(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of frequent words in a shard: local ids a and b, global ids w1 and w2, count."""
+    """Pairs of frequent words in a shard by local ids a and b and global ids w1 and w2, and their counts."""
     columns = ["shard", "a", "b", "w1", "w2", "n"]
     if not len(shard) or not len(known):
         return pd.DataFrame([], columns=columns)
-    sequence = np.frombuffer(shard["ids"].iloc[0], np.int32)
-    number = np.full(int(max(sequence.max(), known["local"].max())) + 1, -1, np.int64)
-    number[known["local"].to_numpy()] = known["word_id"].to_numpy()
+    sequence = _sequence(shard)
+    number = _numbers(sequence, known)
     # other words part pieces; ids are dealt anew without gaps
     local = np.flatnonzero(number >= 0)
     dense = np.zeros(len(number), np.int64)
     dense[local] = np.arange(1, len(local) + 1)
-    pairs, counts = _pairs_of(dense[sequence])
+    dense = dense[sequence].astype(np.int32)
+    del sequence
+    pairs, counts = _pairs_of(dense)
     pairs = local[pairs - 1]
     return pd.DataFrame({"shard": key[0], "a": pairs[:, 0], "b": pairs[:, 1], "w1": number[pairs[:, 0]], "w2": number[pairs[:, 1]], "n": counts}, columns=columns)
 
 
-def _long_phrases(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _summed_pairs(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    return _word_pairs(key, shard, known)[["w1", "w2", "n"]]
+
+
+class _Pairs:
+    """Frequent pairs of words, to be asked for many at once."""
+
+    def __init__(self, w1: np.ndarray, w2: np.ndarray):
+        self.words = np.unique(np.concatenate([w1, w2]))
+        self.keys = np.sort(np.searchsorted(self.words, w1) * len(self.words) + np.searchsorted(self.words, w2))
+
+    def among(self, w1: np.ndarray, w2: np.ndarray, together: int = 1 << 18) -> np.ndarray:
+        parts = [self._among(w1[k : k + together], w2[k : k + together]) for k in range(0, len(w1), together)]
+        return np.concatenate([np.zeros(0, bool), *parts])
+
+    def _among(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(w1), bool)
+        places = [np.minimum(np.searchsorted(self.words, w), len(self.words) - 1) for w in (w1, w2)]
+        keys = places[0] * len(self.words) + places[1]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return (self.keys[at] == keys) & (self.words[places[0]] == w1) & (self.words[places[1]] == w2)
+
+
+def _chained_phrases(sequence: np.ndarray, number: np.ndarray, pairs: _Pairs) -> pd.DataFrame:
     """Phrases of three to DEPTH words of a shard in which all pairs are frequent, by global ids, and their counts."""
-    names = [f"w{k}" for k in range(1, DEPTH + 1)]
-    if not len(shard) or not len(known):
-        return pd.DataFrame([], columns=[*names, "n"])
-    sequence = np.frombuffer(shard["ids"].iloc[0], np.int32).astype(np.int64)
-    a, b = known["a"].to_numpy(), known["b"].to_numpy()
-    many = int(max(sequence.max(), a.max(), b.max())) + 1
-    chained = np.isin(sequence[:-1] * many + sequence[1:], a * many + b)
-    chained = np.concatenate([[False], chained, [False]])  # between places i - 1 and i
+    names = [*(f"w{k}" for k in range(1, DEPTH + 1)), "n"]
+    ids = number[sequence]
+    del sequence
+    chained = np.concatenate([[False], pairs.among(ids[:-1], ids[1:]), [False]])  # between places i - 1 and i
     stays = chained[:-1] | chained[1:]
-    # a break goes before every place that doesn't chain with the one before it
+    # a break goes behind every place that doesn't chain with the next one
     ends = (stays & ~chained[1:])[stays]
-    kept = sequence[stays]
-    local, dense = np.unique(kept, return_inverse=True)
-    reduced = np.zeros(len(kept) + int(ends.sum()), np.int64)
-    reduced[np.arange(len(kept)) + np.cumsum(ends) - ends] = dense + 1
-    number = np.full(many, -1, np.int64)
-    number[a], number[b] = known["w1"].to_numpy(), known["w2"].to_numpy()
+    words, dense = np.unique(ids[stays], return_inverse=True)
+    reduced = np.zeros(len(dense) + int(ends.sum()), np.int64)
+    reduced[np.arange(len(dense)) + np.cumsum(ends) - ends] = dense + 1
     found = []
-    index = BothWays(reduced, DEPTH)
+    index = BothWays(reduced, DEPTH) if len(reduced) else None
     for length in range(2, DEPTH + 1):
-        index.left() if length % 2 else index.right()
-        if not len(index.counts):
+        if index is None or not len(index.counts):
             break
+        index.left() if length % 2 else index.right()
         if length > 2:
-            words = np.full((len(index.words), DEPTH), -1, np.int64)
-            words[:, :length] = number[local[index.words - 1]]
-            found.append(np.column_stack([words, index.counts]))
-    return pd.DataFrame(np.concatenate(found) if found else np.empty((0, DEPTH + 1), np.int64), columns=[*names, "n"])
+            rows = np.full((len(index.words), DEPTH), -1, np.int64)
+            rows[:, :length] = words[index.words - 1]
+            found.append(np.column_stack([rows, index.counts]))
+    return pd.DataFrame(np.concatenate(found) if found else np.empty((0, DEPTH + 1), np.int64), columns=names)
+
+
+def _phrases_by_pairs(key, shard: pd.DataFrame, chains: pd.DataFrame) -> pd.DataFrame:
+    """The same for a shard with its own frequent pairs."""
+    sequence = _sequence(shard) if len(shard) else np.zeros(1, np.int64)
+    number = np.full(int(max([sequence.max(), *chains["a"], *chains["b"]])) + 1, -1, np.int64)
+    number[chains["a"].to_numpy()], number[chains["b"].to_numpy()] = chains["w1"].to_numpy(), chains["w2"].to_numpy()
+    return _chained_phrases(sequence, number, _Pairs(chains["w1"].to_numpy(), chains["w2"].to_numpy()))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -247,24 +300,39 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     totals = saved(shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "totals")
     own = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "of"))
     own = own.select("shard", "lang", (F.col("place") + 1).cast("long").alias("local"), F.col("of.words").alias("word"), F.col("of.counts").alias("n"))
-    words = own.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    words = saved(words.withColumn("word_id", F.monotonically_increasing_id()), "words")
-
-    known = own.join(words.select("lang", "word", "word_id"), ["lang", "word"]).select("shard", "local", "word_id")
+    # one shuffle tells every shard which of its words are frequent; a word goes by its first place in the shards
+    alike = Window.partitionBy("lang", "word")
+    place = F.shiftleft(F.col("shard"), LOCAL_BITS).bitwiseOR(F.col("local"))
+    counted = own.select("*", place.alias("place"), F.sum("n").over(alike).alias("a"), F.min(place).over(alike).alias("word_id")).filter(F.col("a") >= least)
+    first = F.col("place") == F.col("word_id")
+    counted = saved(counted.select("shard", "local", "word_id", F.when(first, F.struct("lang", "word", F.col("a").alias("n"))).alias("of")), "words")
+    words = counted.filter("of is not null").select("word_id", "of.*")
+    known = counted.select("shard", "local", "word_id")
     sequences = shards.select(F.col("shard").alias("_shard"), "ids")
-    pairs = sequences.groupBy("_shard").cogroup(known.groupBy("shard")).applyInPandas(_word_pairs, "shard string, a long, b long, w1 long, w2 long, n long")
-    pairs = saved(pairs, "pairs")
+    meet = lambda other: sequences.groupBy("_shard").cogroup(other.groupBy("shard"))
+    pairs = meet(known).applyInPandas(_summed_pairs, "w1 long, w2 long, n long")
     frequent = saved(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
-    few = frequent.count() <= FEW
-    chains = frequent.select("w1", "w2")
-    chains = pairs.join(F.broadcast(chains) if few else chains, ["w1", "w2"]).select("shard", "a", "b", "w1", "w2")
     names = [f"w{k}" for k in range(1, DEPTH + 1)]
-    longer = sequences.groupBy("_shard").cogroup(chains.groupBy("shard")).applyInPandas(_long_phrases, ", ".join(f"{c} long" for c in [*names, "n"]))
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    if frequent.count() <= FEW:
+        few = frequent.select("w1", "w2").toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast((few["w1"].to_numpy(), few["w2"].to_numpy()))
+
+        def by_words(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            sequence = _sequence(shard) if len(shard) and len(known) else np.zeros(1, np.int64)
+            number = _numbers(sequence, known) if len(known) else np.full(1, -1, np.int64)
+            return _chained_phrases(sequence, number, _Pairs(*shared.value))
+
+        longer = meet(known).applyInPandas(by_words, schema)
+    else:
+        own_pairs = meet(known).applyInPandas(_word_pairs, "shard long, a long, b long, w1 long, w2 long, n long")
+        chains = own_pairs.join(frequent.select("w1", "w2"), ["w1", "w2"]).select("shard", "a", "b", "w1", "w2")
+        longer = meet(chains).applyInPandas(_phrases_by_pairs, schema)
     longer = longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     long_ids = F.filter(F.array(*names), lambda w: w >= 0)
     candidates = frequent.select(F.array("w1", "w2").alias("ids"), F.col("n").alias("a")).unionByName(longer.select(long_ids.alias("ids"), "a"))
     candidates = saved(candidates, "candidates")
-    released(shards, pairs)
+    released(shards)
 
     # what is as frequent with one word more
     part = lambda first, size: F.slice("ids", first, size)
