@@ -15,6 +15,10 @@ from . import records
 from .scan import UTF8, decoded, parse_header, read_lines, survey
 
 
+class NoRows(ValueError):
+    """A delimited table without any row of data."""
+
+
 @dataclass(frozen=True)
 class _Layout:
     """A delimiter and a header, shared by all files that are written so."""
@@ -55,11 +59,11 @@ def _layouts(files: DataFrame, path: str) -> tuple[dict[tuple, int], list[_Layou
         raw = bytes(row["header_bytes"])
         header = parse_header(raw.decode("utf-8-sig" if row["encoding"] == UTF8 else row["encoding"]), row["sep"])
         if not header:
-            raise ValueError(f"{row['example']} is empty.")
+            raise NoRows(f"{row['example']} is empty.")
         layout = _Layout(row["sep"], tuple(clean_headers(reader_headers(header))))
         numbers[row["sep"], row["encoding"], raw] = layouts.setdefault(layout, len(layouts))
     if not layouts:
-        raise ValueError(f"There are no delimited files in {path}.")
+        raise NoRows(f"{path} holds no delimited file, or only empty ones.")
     return numbers, list(layouts)
 
 
@@ -142,7 +146,7 @@ def read_delimited(spark: SparkSession, path: str, on_bad: str = "fail", name: s
     if ds.fields and stage:
         ds.stage()
     if not ds.fields or (ds.row_count == 0 if stage else ds.cells.where(has_value(ds.fields)).isEmpty()):
-        raise ValueError(f"{path} has no data behind its header.")
+        raise NoRows(f"{path} has no data behind its header.")
     return ds
 
 

@@ -224,3 +224,20 @@ def test_rows_with_more_fields_are_refused_whatever_the_fields_hold(spark, csv,
     bad = bad_rows(spark, path, whole=True).collect()
     assert [(r["a"], r["record"], r["header_fields"]) for r in bad] == [("4", f"4,5,6{extra}", 3)]
     assert bad[0]["fields"] == {",,LOST": 5, ",": 4, ",x,": 5, ',"a,b"': 4, ',"line\nbreak",': 5}[extra]
+
+
+def test_delimited_members_among_tables(spark, tmp_path):
+    folder = tmp_path / "book"
+    spark.range(3).toDF("n").write.parquet(f"{folder}/d_numbers.parquet")
+    (folder / "a_cover.csv").write_text("title,date\n")
+    (folder / "b_empty.txt").write_text("")
+    (folder / "c_people.csv").write_text("name;zip;pay\nAnn;007;1,5\nBob;012;2,5\n")
+    book = open_tables(spark, str(folder))
+    assert book.names == ["a_cover", "b_empty", "c_people", "d_numbers"]
+    ds = book.use()
+    assert (ds.name, ds.table, ds.tables, ds.columns) == (str(folder), "c_people", tuple(book.names), ["name", "zip", "pay"])
+    kinds = {name: line["kind"] for name, line in by_name(ds).items()}
+    assert (kinds["zip"], kinds["pay"]) == ("categorical", "numeric")
+    assert book.use("d_numbers").row_count == 3
+    with pytest.raises(ValueError, match="no data"):
+        book.use("a_cover")
