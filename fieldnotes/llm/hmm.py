@@ -25,10 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.base import saved, words
+from fieldnotes.llm.base import released, saved, slices, words
 
 #: States, symbols of words, words counted locally, rounds of training, tokens that are run together.
 STATES, SYMBOLS, LOCAL, ROUNDS, TOGETHER = 6, 8_192, 131_072, 3, 600_000
+#: Characters of text that rows are made of at a time, bytes of symbols that are read at a time.
+MADE, READ = 12_000_000, 24_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,7 +46,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 seen.update(words(text))
-                if len(seen) > 600_000:
+                if len(seen) > 200_000:
                     yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
                     seen.clear()
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
@@ -98,10 +100,13 @@ def expected(packed: Packed, start, move, emit) -> tuple[np.ndarray, np.ndarray,
     return alpha[: active[0]].sum(0), moves * move, emitted, float(np.log(scale).sum())
 
 
-def _groups(texts, symbol_of: dict) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Places and symbol sequences of the texts of a batch, by length, in groups of limited size."""
-    end, rare, get = len(symbol_of) + 1, len(symbol_of), symbol_of.get
-    sequences = [np.array([*[get(w, rare) for w in words(t)], end], np.int32) for t in texts]
+def _symbols(own: list[bytes], symbol_of: dict) -> np.ndarray:
+    """The symbols of a text's words, then the end."""
+    return np.array([*[symbol_of.get(w, len(symbol_of)) for w in own], len(symbol_of) + 1], np.int32)
+
+
+def _groups(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Places and sequences of a batch, by length, in groups of limited size."""
     order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
     group: list[int] = []
     size = 0
@@ -115,6 +120,10 @@ def _groups(texts, symbol_of: dict) -> Iterator[tuple[list[int], list[np.ndarray
         yield group, [sequences[j] for j in group]
 
 
+def _kind(symbols: dict) -> str:
+    return "<u2" if len(symbols) + 2 <= 1 << 16 else "<u4"
+
+
 class Model:
     """Start, move and emission shares, the symbol of each frequent word, and what the counts add up to."""
 
@@ -128,16 +137,26 @@ class Model:
         emit = shares[:, None] * np.exp(1.5 * noise.standard_normal((len(shares), states)))
         self.emit = emit / emit.sum(0)
 
+    def written(self, texts: DataFrame) -> DataFrame:
+        """The symbols of all texts, as numbers of 16 or 32 bits, so that no round has to split texts again."""
+        symbols = self.symbols
+
+        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in (part for whole in batches for part in slices(whole, size=MADE)):
+                yield pd.DataFrame({"symbols": [_symbols(words(t), symbols).astype(_kind(symbols)).tobytes() for t in batch["text"]]})
+
+        return saved(texts.select("text").mapInPandas(write, "symbols binary"), "symbols")
+
     def round(self, texts: DataFrame) -> float:
-        """One round of Baum-Welch over all texts; gives the log likelihood before it."""
-        symbols, start, move, emit = self.symbols, self.start, self.move, self.emit
+        """One round of Baum-Welch over the symbols of all texts; gives the log likelihood before it."""
+        kind, start, move, emit = _kind(self.symbols), self.start, self.move, self.emit
         states, size = len(start), len(emit)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # rows: symbols, then moves from each state, then starts, then the likelihood
             total = np.zeros((size + states + 2, states))
-            for batch in batches:
-                for _, sequences in _groups(batch["text"], symbols):
+            for batch in (part for whole in batches for part in slices(whole, "symbols", READ)):
+                for _, sequences in _groups([np.frombuffer(s, kind) for s in batch["symbols"]]):
                     first, moves, emitted, log = expected(Packed(sequences), start, move, emit)
                     total[:size] += emitted
                     total[size : size + states] += moves
@@ -148,7 +167,7 @@ class Model:
 
         columns = [f"c{s}" for s in range(states)]
         schema = ", ".join(["row int", *(f"{c} double" for c in columns)])
-        found = texts.select("text").mapInPandas(count, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        found = texts.mapInPandas(count, schema).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
         total = np.zeros((size + states + 2, states))  # as large as the model, whatever the corpus
         total[found["row"].to_numpy()] = found[columns].to_numpy()
         if not total[-2].sum():
@@ -175,32 +194,29 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, local:
     rare_all = rare_n + (totals["v"] - len(frequent)) + 1
     shares = np.array([n for _, n in frequent] + [rare_n, n_train], float) + 0.5
     model = Model([w for w, _ in frequent], shares / shares.sum(), states)
+    encoded = model.written(train) if rounds else None
     for _ in range(rounds):
-        log = model.round(train)
+        log = model.round(encoded)
         if logs is not None:
             logs.append(log)
-    shared = docs.sparkSession.sparkContext.broadcast((dict(known), model.symbols, model.start, model.move, model.emit))
+    if encoded is not None:
+        released(encoded)
+    shared = docs.sparkSession.sparkContext.broadcast(({w: math.log10(n + 1) for w, n in known}, model.symbols, model.start, model.move, model.emit))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        count, symbol_of, start, move, emit = shared.value
-        rare, at = len(symbol_of), TaskContext.get().partitionId() << 33
-        logs10 = {w: math.log10(n + 1) for w, n in count.items()}
-        for batch in batches:
-            result = np.zeros(len(batch))
-            for places, sequences in _groups(batch["text"], symbol_of):
-                packed = Packed(sequences)
-                _, scale = forward(packed, start, move, emit)
-                which = np.concatenate([packed.order[:a] for a in packed.active])
-                result[places] = np.bincount(which, np.log10(scale), len(sequences))
-            table = []
+        logs10, symbol_of, start, move, emit = shared.value
+        at = TaskContext.get().partitionId() << 33
+        for batch in (part for whole in batches for part in slices(whole, size=MADE)):
+            table, sequences = [], []
             for text in batch["text"]:
-                seen = Counter(words(text))
+                own = words(text)
+                sequences.append(_symbols(own, symbol_of))
                 n_known = n_rare = 0
                 logs = rare_logs = 0.0
                 rest = []
-                for w, n in seen.items():
+                for w, n in Counter(own).items():
                     log = logs10.get(w)
                     if log is None:
                         rest.append({"word": w, "n": n})
@@ -211,7 +227,13 @@ def score(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, local:
                     if w not in symbol_of:
                         n_rare += n
                         rare_logs += n * log
-                table.append((sum(seen.values()) + 1, n_known, logs, n_rare, rare_logs, rest))
+                table.append((len(own) + 1, n_known, logs, n_rare, rare_logs, rest))
+            result = np.zeros(len(batch))
+            for places, some in _groups(sequences):
+                packed = Packed(some)
+                _, scale = forward(packed, start, move, emit)
+                which = np.concatenate([packed.order[:a] for a in packed.active])
+                result[places] = np.bincount(which, np.log10(scale), len(some))
             more = pd.DataFrame(table, columns=["n_tokens", "n_known", "logs", "n_rare", "rare_logs", "rest"])
             yield pd.concat([
                 pd.DataFrame({"row": np.arange(at, at + len(batch)), "doc_id": batch["doc_id"].to_numpy(), "held_out": batch["held_out"].to_numpy(), "forward": result}), more,
