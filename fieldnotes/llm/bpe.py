@@ -183,6 +183,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", c
         parts = [(p * chunk, min(p * chunk + chunk + OVERLAP, len(body)), list(s)) for p, s in zip(group["_part"], group["_starts"])]
         bounds = [*stitch(encoder, body, parts), len(body)]
         row = encoder.digest(encoder.encode(body[a:b] for a, b in zip(bounds, bounds[1:])))
+        if len(encoder.known) > 20_000:  # the worker outlives the task
+            encoder.known.clear()
         head = group[kept].head(1).reset_index(drop=True)
         return pd.concat([head, pd.DataFrame([row], columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])], axis=1)
 

@@ -63,7 +63,7 @@ def features(text: str | None, cache: dict) -> tuple[np.ndarray, list[float]]:
     for w in set(own):
         i = cache.get(w)
         if i is None:
-            if len(cache) > 400_000:
+            if len(cache) > 100_000:
                 cache.clear()
             i = cache[w] = crc32(w.strip(b".,;:!?\"'()")) % WORDS
         ids.add(i)
