@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import clean, codebook, compare, describe, distribution, infer, profile, report, rows, suggest
-from .operators.columns import NUMERIC, UNSUPPORTED, Field, Profile, Reading, is_parsed, typed_value
+from .operators.columns import DATETIME, NUMERIC, UNSUPPORTED, Field, Profile, Reading, is_parsed, typed_value
 from .operators.jobs import together
-from .session import shared_folder
+from .session import shared_folder, stored
 
 
 class Dataset:
@@ -29,6 +30,8 @@ class Dataset:
         self._readings: dict[int, Reading] = {}
         self._facts: dict[int, dict] = {}
         self._distinct: dict[int, dict] = {}
+        self._texts: dict[int, DataFrame] = {}
+        self._counted: dict[int, DataFrame] = {}
         self.known_quartiles: dict[int, list] = {}
         self._row_count: int | None = None
         self._has_blank_rows = False
@@ -108,7 +111,11 @@ class Dataset:
         wanted = [self.field(n) for n in names] if names is not None else self.fields
         missing = [f for f in wanted if f.position not in self._readings]
         if missing:
-            self._readings.update(infer.read_fields(self.cells, missing))
+            found = infer.read_fields(self.cells, missing)
+            self._readings.update(found.readings)
+            self._texts.update(found.texts)
+            if self._row_count is None and found.rows is not None:
+                self._row_count, self._has_blank_rows = found.rows, False
         return {f.position: self._readings[f.position] for f in wanted}
 
     def typed(self, name: str) -> Column:
@@ -133,15 +140,36 @@ class Dataset:
             values = cells.select(*[value.alias(name) for value, name in zip(typed, columns)])
         return values.where(F.col(present).isNotNull())
 
+    def counted(self, f: Field) -> DataFrame | None:
+        """Distinct values of a column with their occurrences ``n``, stored once; None where values need no reading."""
+        reading = self.readings([f.name])[f.position]
+        if not is_parsed(f, reading):
+            return None
+        if f.position not in self._counted:
+            self._counted[f.position] = stored(profile.counted_values(self._texts[f.position], f, reading))
+        return self._counted[f.position]
+
+    def _collect_counted(self, f: Field) -> None:
+        if f.position in self._distinct:
+            return
+        counted = self.counted(f)
+        if self._readings[f.position].kind == DATETIME:
+            self._facts[f.position], self._distinct[f.position] = {}, profile.counted_moment_facts(counted)
+        else:
+            self._facts[f.position], self._distinct[f.position] = profile.counted_number_facts(counted)
+
     def profiles(self, names: list[str] | None = None) -> list[Profile]:
         """Kind, counts and flags of the given columns (all by default)."""
         wanted = [self.field(n) for n in names] if names is not None else self.fields
         readings = self.readings([f.name for f in wanted])
+        parsed = [f for f in wanted if is_parsed(f, readings[f.position])]
+        plain = [f for f in wanted if f not in parsed]
         together(
             self.spark,
             lambda: self.row_count,
-            lambda: self._collect_numbers(wanted, readings),
-            lambda: self._collect_distincts(wanted, readings),
+            lambda: self._collect_numbers(plain, readings),
+            lambda: self._collect_distincts(plain, readings),
+            *[partial(self._collect_counted, f) for f in parsed],
         )
         result = []
         for f in wanted:
@@ -174,7 +202,10 @@ class Dataset:
         readings = self.readings([name])
         if readings[f.position].kind != NUMERIC:
             return 0
-        self._collect_numbers([f], readings)
+        if is_parsed(f, readings[f.position]):
+            self._collect_counted(f)
+        else:
+            self._collect_numbers([f], readings)
         return self._facts[f.position].get("valid", 0)
 
     # ------------------------------------------------------------- results

@@ -52,7 +52,7 @@ def infinity(text: Column) -> Column:
     return F.when(is_infinity(text), sign * F.lit(float("inf")))
 
 
-def _plain_text(text: Column, style: str) -> tuple[Column, Column]:
+def plain_text(text: Column, style: str) -> tuple[Column, Column]:
     """A decorated number as a plain one, and whether brackets make it negative."""
     if style == PLAIN:
         return text, F.lit(False)
@@ -67,15 +67,18 @@ def _plain_text(text: Column, style: str) -> tuple[Column, Column]:
 
 def styled_number(text: Column, style: str) -> Column:
     """The value of a decorated number: currency, percent, brackets for negative."""
-    plain, negative = _plain_text(text, style)
+    return signed_number(*plain_text(text, style), style)
+
+
+def signed_number(plain: Column, negative: Column, style: str) -> Column:
+    """The value of a text that ``plain_text`` made plain."""
     number = plain_number(plain)
     return number if style == PLAIN else F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0)) * number
 
 
-def styled_decimal(text: Column, style: str) -> Column:
-    """The value without the rounding of a double; NULL where it has more than 28 digits ahead of the point or more than
+def signed_decimal(plain: Column, negative: Column) -> Column:
+    """That value without the rounding of a double; NULL where it has more than 28 digits ahead of the point or more than
     10 behind it."""
-    plain, negative = _plain_text(text, style)
     exact, finer = plain.try_cast("decimal(38,10)"), plain.try_cast("decimal(38,18)")
     vanished = (exact == 0) & (plain.try_cast("double") != 0)
     same = F.when(is_plain_number(plain) & F.coalesce(finer == exact, F.lit(True)) & ~vanished, exact)

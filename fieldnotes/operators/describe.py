@@ -9,7 +9,7 @@ from ..functions.dates import epoch_micros, from_epoch_micros
 from ..functions.rounding import rounded
 from .columns import BOOLEAN, CATEGORICAL, DATETIME, NUMERIC, TEXT, Profile
 from .profile import exact_sum
-from .quantiles import exact_quantiles
+from .quantiles import counted_quantiles, exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 SECONDS_PER_DAY = 86_400
@@ -25,20 +25,29 @@ def quartiles(ds, p: Profile) -> list:
     """First quartile, median and third quartile, kept on the dataset."""
     known = ds.known_quartiles
     if p.field.position not in known:
-        values = ordered_values(ds, p)
-        known[p.field.position] = exact_quantiles(values, "v", {None: p.valid}, QUARTILES)[None]
+        counted = ds.counted(p.field)
+        if counted is None:
+            found = exact_quantiles(ordered_values(ds, p), "v", {None: p.valid}, QUARTILES)[None]
+        else:
+            value = epoch_micros(F.col("moment")) if p.kind == DATETIME else F.col("number")
+            found = counted_quantiles(counted.select(value.alias("v"), "n"), QUARTILES, p.valid, p.unique)
+        known[p.field.position] = found
     return known[p.field.position]
 
 
 def _numeric(ds, p: Profile) -> DataFrame:
     n, v = p.valid, F.col("v")
-    facts = ds.values("v", v=p.name).agg(
-        exact_sum(v).alias("sum"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.skewness(v).alias("skewness"),
-    )
+    if "skewness" in p.facts:
+        moments = [F.lit(p.facts[name]).cast("double").alias(name) for name in ("sum", "std", "min", "max", "skewness")]
+        facts = ds.spark.range(0, 1, 1, 1).select(*moments)
+    else:
+        facts = ds.values("v", v=p.name).agg(
+            exact_sum(v).alias("sum"),
+            F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.skewness(v).alias("skewness"),
+        )
     q1, median, q3 = (F.lit(float(q)) for q in quartiles(ds, p))
     # From the population figure to the one corrected for sample size; a constant has none.
     correction = (n * (n - 1)) ** 0.5 / (n - 2) if n >= 3 else None

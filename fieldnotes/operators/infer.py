@@ -2,15 +2,19 @@
 
 Aggregates collect a fixed set of counts per text column, the driver picks a
 reading for each column from those counts, and the typed view stays a lazy
-projection.
+projection. Columns that may hold numbers or dates are counted by their distinct
+texts once, and every costly pattern is tried on those.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, flags, numbers
+from ..session import stored
 from .columns import BOOLEAN, DATETIME, EMPTY, LABEL, NUMERIC, Field, Reading
 
 # The shares and sizes that decide a kind.
@@ -60,8 +64,17 @@ def screen(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
     ))
 
 
-def number_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
-    """Counts that settle whether and how columns write numbers."""
+def text_counts(df: DataFrame, fields: list[Field]) -> DataFrame:
+    """The distinct texts of columns with their occurrences ``n``, in one scan and one shuffle."""
+    return _cells(df, fields).groupBy("i", "text").agg(F.count("*").alias("n"))
+
+
+def _texts_of(texts: DataFrame, fields: list[Field]) -> DataFrame:
+    return texts.where(F.col("i").isin([f.position for f in fields]))
+
+
+def number_facts(texts: DataFrame, fields: list[Field]) -> dict[int, dict]:
+    """Counts of cells that settle whether and how columns write numbers, from their distinct texts."""
     text, comma = F.col("text"), F.col("text").contains(",")
     # A cell with a comma parses when it has the shape that settles its style,
     # so only cells without one have to be tried, with and without their dots.
@@ -69,35 +82,40 @@ def number_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
     undotted = F.when(
         ~comma & text.contains("."), numbers.strip_decoration(F.replace(text, F.lit("."), F.lit("")))
     )
-    cells = _cells(df, fields).select("i", "text", comma.alias("comma"), bare.alias("bare"), undotted.alias("undotted"))
+    # The generator keeps the pieces from being taken again for every use.
+    pieces = F.stack(F.lit(1), "i", "text", "n", comma, bare, undotted).alias("i", "text", "n", "comma", "bare", "undotted")
     comma = F.col("comma")
-    return _by_column(cells.groupBy("i").agg(
-        F.count_if(text.rlike(numbers.LEADING_ZERO_CODE)).alias("zero_codes"),
-        F.count_if(numbers.is_plain_number(text) | numbers.is_infinity(text)).alias("plain"),
-        F.count_if(text.rlike(numbers.WHOLE_NUMBER) & text.try_cast("bigint").isNotNull()).alias("whole"),
-        F.count_if(comma & text.contains(".")).alias("comma_dot"),
-        F.count_if(comma & text.rlike(numbers.EURO_STYLE)).alias("euro_shape"),
-        F.count_if(comma & text.rlike(numbers.THOUSANDS_COMMA)).alias("thousands_shape"),
-        F.count_if(comma & text.rlike(numbers.DECIMAL_COMMA)).alias("decimal_shape"),
-        F.count_if(numbers.is_plain_number(F.col("bare"))).alias("bare"),
-        F.count_if(numbers.is_plain_number(F.coalesce("undotted", "bare"))).alias("euro"),
+
+    def cells(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+    return _by_column(_texts_of(texts, fields).select(pieces).groupBy("i").agg(
+        cells(text.rlike(numbers.LEADING_ZERO_CODE)).alias("zero_codes"),
+        cells(numbers.is_plain_number(text) | numbers.is_infinity(text)).alias("plain"),
+        cells(text.rlike(numbers.WHOLE_NUMBER) & text.try_cast("bigint").isNotNull()).alias("whole"),
+        cells(comma & text.contains(".")).alias("comma_dot"),
+        cells(comma & text.rlike(numbers.EURO_STYLE)).alias("euro_shape"),
+        cells(comma & text.rlike(numbers.THOUSANDS_COMMA)).alias("thousands_shape"),
+        cells(comma & text.rlike(numbers.DECIMAL_COMMA)).alias("decimal_shape"),
+        cells(numbers.is_plain_number(F.col("bare"))).alias("bare"),
+        cells(numbers.is_plain_number(F.coalesce("undotted", "bare"))).alias("euro"),
     ))
 
 
-def date_facts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
+def date_facts(texts: DataFrame, fields: list[Field]) -> dict[int, dict]:
     """What the date-like texts of each column look like."""
     text = F.col("text")
-    return _by_column(_cells(df, fields).where(dates.could_be_date(text)).groupBy("i").agg(
+    return _by_column(_texts_of(texts, fields).where(dates.could_be_date(text)).groupBy("i").agg(
         F.count_if(text.rlike(dates.DATE_LIKE)).alias("dateish"),
         F.bit_or(dates.shape_bits(text)).alias("shapes"),
     ))
 
 
-def date_evidence(df: DataFrame, f: Field, shapes: tuple[str, ...]) -> dict:
+def date_evidence(df: DataFrame, f: Field, shapes: tuple[str, ...], texts: DataFrame | None = None) -> dict:
     """Over all distinct texts of a column: the share that looks like a date, and the cells that can be read as one in
-    each style. Every distinct text is looked at once."""
+    each style. Every distinct text is looked at once; ``texts`` holds them if they are counted already."""
     text = F.col("text")
-    texts = df.where(f.raw.isNotNull()).groupBy(f.raw.alias("text")).agg(F.count("*").alias("n"))
+    texts = _texts_of(text_counts(df, [f]) if texts is None else texts, [f])
     styles = (dates.ISO, dates.MIXED) if set(shapes) - {"year_first", "offset"} else (dates.ISO,)
     moments = {style: F.when(dates.could_be_date(text), dates.text_timestamp(text, style, shapes)) for style in styles}
     read = texts.select(F.stack(F.lit(1), text.rlike(dates.DATE_LIKE), F.col("n"), *moments.values()).alias("dateish", "n", *moments))
@@ -125,12 +143,12 @@ def number_style(facts: dict) -> str | None:
     return style if parsed >= NUMERIC_SHARE * facts["valid"] else None
 
 
-def read_dates(df: DataFrame, f: Field, facts: dict) -> Reading | None:
+def read_dates(df: DataFrame, f: Field, facts: dict, texts: DataFrame) -> Reading | None:
     """The reading of a column of dates, or None when it holds something else."""
     shapes = dates.shapes_of(facts["shapes"])
     if not facts["dateish"]:
         return None
-    evidence = date_evidence(df, f, shapes)
+    evidence = date_evidence(df, f, shapes, texts)
     if evidence["share"] < DATETIME_SHARE:
         return None
     for style in (dates.ISO, dates.MIXED):
@@ -146,11 +164,21 @@ def cell_type(facts: dict) -> str:
     return "boolean" if facts["reader_flags"] == facts["valid"] else ""
 
 
-def read_text(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
+@dataclass
+class Found:
+    """What inference knows: the readings, the distinct texts of columns that may hold numbers or dates, and the number of
+    rows where a column without gaps proves it."""
+
+    readings: dict[int, Reading] = field(default_factory=dict)
+    texts: dict[int, DataFrame] = field(default_factory=dict)
+    rows: int | None = None
+
+
+def read_text(df: DataFrame, fields: list[Field]) -> Found:
     """The readings of text columns, each narrowed down with as few passes as it needs.
 
-    The first pass screens all columns; only columns that are still open go into
-    the passes with the costlier patterns. No pass moves a value.
+    The first pass screens all columns; the distinct texts of those that are still
+    open are counted and stored, and the costlier patterns look at them only.
     """
     facts = {i: fact for i, fact in screen(df, fields).items() if fact["valid"]}
     readings = {f.position: Reading(EMPTY) for f in fields if f.position not in facts}
@@ -163,8 +191,11 @@ def read_text(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
         ]
 
     maybe_numbers = still_possible("numberish", NUMERIC_SHARE)
+    maybe_dates = still_possible("datable", DATETIME_SHARE)
+    undecided = [f for f in open_fields if f in maybe_numbers or f in maybe_dates]
+    texts = stored(text_counts(df, undecided)) if undecided else None
     if maybe_numbers:
-        for i, found in number_facts(df, maybe_numbers).items():
+        for i, found in number_facts(texts, maybe_numbers).items():
             facts[i].update(found)
             style = number_style(facts[i])
             if style:
@@ -176,18 +207,20 @@ def read_text(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
     maybe_dates = still_possible("datable", DATETIME_SHARE)
     if maybe_dates:
         by_position = {f.position: f for f in maybe_dates}
-        for i, found in date_facts(df, maybe_dates).items():
-            reading = read_dates(df, by_position[i], {**facts[i], **found})
+        for i, found in date_facts(texts, maybe_dates).items():
+            reading = read_dates(df, by_position[i], {**facts[i], **found}, texts)
             if reading:
                 readings[i] = reading
     for f in open_fields:
         reading = readings.setdefault(f.position, Reading(LABEL))
         reading.cell_type = cell_type(facts[f.position])
-    return readings
+    rows = next((fact["rows"] for fact in facts.values() if fact["rows"] == fact["valid"]), None)
+    return Found(readings, {f.position: _texts_of(texts, [f]) for f in undecided}, rows)
 
 
-def read_fields(df: DataFrame, fields: list[Field]) -> dict[int, Reading]:
+def read_fields(df: DataFrame, fields: list[Field]) -> Found:
     """The reading of every given field; native types settle without a job."""
     text_fields = [f for f in fields if f.native_kind is None]
-    readings = {f.position: Reading(f.native_kind) for f in fields if f.native_kind is not None}
-    return {**readings, **(read_text(df, text_fields) if text_fields else {})}
+    found = read_text(df, text_fields) if text_fields else Found()
+    found.readings.update({f.position: Reading(f.native_kind) for f in fields if f.native_kind is not None})
+    return found

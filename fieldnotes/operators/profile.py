@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import numbers
+from ..functions import dates, numbers
 from .clean import value_counts
 from .columns import (
     BOOLEAN, CATEGORICAL, DATETIME, EMPTY, LABEL, NUMERIC, TEXT, UNSUPPORTED,
-    Field, Profile, Reading, is_parsed, typed_value,
+    Field, Profile, Reading, typed_value,
 )
 from .infer import long_form
 from .jobs import together
@@ -63,6 +64,65 @@ def number_facts(df: DataFrame, fields: list[Field], readings: dict[int, Reading
     return {row["i"]: row.asDict() for row in rows.collect()}
 
 
+def counted_values(texts: DataFrame, f: Field, reading: Reading) -> DataFrame:
+    """Distinct values of a column written as text with their occurrences ``n``, each distinct text read once.
+
+    Numbers are told apart by their decimal value ``exact``, and where it doesn't fit a decimal as doubles."""
+    # the generators keep a text from being read again for every use of its value
+    text = F.col("text")
+    if reading.kind == DATETIME:
+        moment = dates.text_timestamp(text, reading.style, reading.shapes)
+        read = texts.select(F.stack(F.lit(1), moment, F.col("n")).alias("moment", "n")).where("moment is not null")
+        return read.groupBy("moment").agg(F.sum("n").alias("n"))
+    plain = texts.select(F.stack(F.lit(1), *numbers.plain_text(text, reading.style), F.col("n")).alias("plain", "negative", "n"))
+    exact = numbers.signed_decimal(F.col("plain"), F.col("negative"))
+    number = numbers.signed_number(F.col("plain"), F.col("negative"), reading.style)
+    read = plain.select(F.stack(F.lit(1), exact, number, F.col("n")).alias("exact", "number", "n")).where("number is not null")
+    rounded = F.when(F.col("exact").isNull(), F.col("number")).alias("rounded")
+    return read.groupBy("exact", rounded).agg(F.min("number").alias("number"), F.sum("n").alias("n")).drop("rounded")
+
+
+def counted_number_facts(values: DataFrame) -> tuple[dict, dict]:
+    """Counts, extremes and moments of counted numbers, and the facts on their distinct values."""
+    number, n, exact = F.col("number"), F.col("n"), F.col("exact")
+    whole = F.rint(number)
+    row = values.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("valid"),
+        (F.sum(whole * n) + F.sum((number - whole) * n)).alias("sum"),
+        F.min("number").alias("min"), F.max("number").alias("max"),
+        F.count_if(number != whole).alias("fractions"),
+        F.count("*").alias("unique"), F.count("exact").alias("fitting"),
+        F.min("exact").alias("least"), F.max("exact").alias("most"), F.count_if(exact % 1 != 0).alias("parts"),
+    ).first().asDict()
+    facts = {name: row[name] for name in ("valid", "sum", "min", "max", "fractions")}
+    names = ("unique", "fitting", "least", "most", "parts") if row["fitting"] == row["unique"] else ("unique",)
+    return {**facts, **_spread(values, facts)}, {name: row[name] for name in names}
+
+
+def _spread(values: DataFrame, facts: dict) -> dict:
+    """Standard deviation of the sample and skewness of counted numbers; a constant has no skewness."""
+    n, low, high = facts["valid"], facts["min"], facts["max"]
+    if not n or low == high:
+        return {"std": 0.0 if n > 1 else None, "skewness": None}
+    # a sum can pass the doubles where no number does
+    center = facts["sum"] / n if math.isfinite(facts["sum"]) else low / 2 + high / 2
+    off = F.col("number") - F.lit(center)
+    first, second, third = values.agg(*[F.sum(F.pow(off, F.lit(k)) * F.col("n")) for k in (1, 2, 3)]).first()
+    shift = first / n
+    squares = second - n * shift * shift
+    cubes = third - 3 * shift * second + 2 * n * shift * shift * shift
+    if not 0 < squares < math.inf:
+        return {"std": math.sqrt(max(squares, 0.0)) / math.sqrt(n - 1) if squares == squares else math.nan, "skewness": None}
+    return {"std": math.sqrt(squares / (n - 1)), "skewness": math.sqrt(n) * cubes / squares / math.sqrt(squares)}
+
+
+def counted_moment_facts(values: DataFrame) -> dict:
+    return values.agg(
+        F.count("*").alias("unique"), F.coalesce(F.sum("n"), F.lit(0)).alias("valid"),
+        F.min("moment").alias("first"), F.max("moment").alias("last"),
+    ).first().asDict()
+
+
 def _digest(text: Column) -> Column:
     return F.when(F.octet_length(text) > SHORT_TEXT_BYTES, F.unhex(F.sha2(text, 256)))
 
@@ -88,23 +148,9 @@ def _text_counts(df: DataFrame, fields: list[Field], readings: dict[int, Reading
     )
 
 
-def _moment_counts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> DataFrame:
-    """Times with their occurrences; of times written as text, each distinct text is read once."""
-    parts = []
-    native = [f for f in fields if not is_parsed(f, readings[f.position])]
-    if native:
-        parts.append(_counted(df, "moment", _typed(native, readings, DATETIME), "moment"))
-    for f in fields:
-        if is_parsed(f, readings[f.position]):
-            texts = df.where(f.raw.isNotNull()).groupBy(f.raw).agg(F.count("*").alias("n"))
-            moment = typed_value(f, readings[f.position])
-            read = texts.select(F.stack(F.lit(1), moment, F.col("n")).alias("moment", "n")).where("moment is not null")
-            parts.append(read.groupBy(F.lit(f.position).alias("i"), "moment").agg(F.sum("n").alias("n")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    """Exact distinct count per column, extremes of times, and mode with its count of labels.
+    """Exact distinct count per column, extremes of times, and mode with its count of labels; columns whose values are
+    read from text are counted apart.
 
     Each storage type is counted apart, over its own columns of the source.
     """
@@ -122,11 +168,11 @@ def distinct_facts(df: DataFrame, fields: list[Field], readings: dict[int, Readi
 
 
 def _number_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    """Doubles are counted as such; whole types, decimals and numbers written as text on keys that don't round, since
-    doubles of 2^53 and more fall together."""
+    """Doubles are counted as such; whole types and decimals on keys that don't round, since doubles of 2^53 and more
+    fall together."""
     numeric = [f for f in fields if readings[f.position].kind == NUMERIC]
     whole = [f for f in numeric if isinstance(f.dtype, T.LongType)]
-    exact = [f for f in numeric if isinstance(f.dtype, T.DecimalType) or f.native_kind is None]
+    exact = [f for f in numeric if isinstance(f.dtype, T.DecimalType)]
     others = [f for f in fields if f not in whole and f not in exact]
     jobs = [partial(_exact_distincts, df, f, readings[f.position]) for f in exact]
     if others:
@@ -153,11 +199,8 @@ def _whole_distincts(df: DataFrame, fields: list[Field]) -> dict[int, dict]:
 
 
 def _exact_distincts(df: DataFrame, f: Field, reading: Reading) -> dict[int, dict]:
-    """Distinct decimals, or distinct numbers of a text column by their decimal value; what doesn't fit a decimal is told
-    apart as a double."""
-    decimal = f.raw if f.native_kind else numbers.styled_decimal(f.raw, reading.style)
-    # the generator keeps a text from being read again for every use of its value
-    values = df.where(f.raw.isNotNull()).select(F.stack(F.lit(1), decimal, typed_value(f, reading)).alias("exact", "number"))
+    """Distinct decimals; what doesn't fit is told apart as a double."""
+    values = df.where(f.raw.isNotNull()).select(F.stack(F.lit(1), f.raw, typed_value(f, reading)).alias("exact", "number"))
     key = F.when(F.col("exact").isNull(), F.col("number")).alias("rounded")
     distinct = values.where("number is not null").groupBy("exact", key).agg(F.count("*").alias("n"))
     row = distinct.agg(
@@ -170,7 +213,7 @@ def _exact_distincts(df: DataFrame, f: Field, reading: Reading) -> dict[int, dic
 
 
 def _moment_distincts(df: DataFrame, fields: list[Field], readings: dict[int, Reading]) -> dict[int, dict]:
-    rows = _moment_counts(df, fields, readings).groupBy("i").agg(
+    rows = _counted(df, "moment", _typed(fields, readings, DATETIME), "moment").groupBy("i").agg(
         F.count("*").alias("unique"), F.sum("n").alias("valid"),
         F.min("moment").alias("first"), F.max("moment").alias("last"),
     )

@@ -10,14 +10,13 @@ between them. Every pass is a scan with a small aggregate; no value is moved.
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import stored
 
 # Values (with repeats) that one task may hold to answer a quantile directly.
 DIRECT_LIMIT = 2_000_000
@@ -203,18 +202,42 @@ def _finish(df: DataFrame, value: str, searches: list[_Search], group: str | Non
         by_key[row["key"]].answer = row["v"]
 
 
+def counted_quantiles(df: DataFrame, shares: list[float], total: int, distinct: int, limit: int = DIRECT_LIMIT) -> list:
+    """Linearly interpolated quantiles of values ``v`` that occur ``n`` times each, ``total`` times in all.
+
+    Up to ``limit`` distinct values are put in order by one task. More are dealt out by ranges; counts per range tell in
+    which of them a wanted rank lies, and only those are read again."""
+    ranks = sorted({r for s in shares for r in ranks_of(total, s)[:2]})
+    if distinct <= limit:
+        rows = df.select("v", "n", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("before"))
+    else:
+        parts = math.ceil(distinct / max(limit // 4, 1))
+        # stored, so that a part is the same rows each time it is read
+        dealt = stored(df.select("v", "n").repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
+        ahead, before = 0, []
+        for part, size in dealt.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
+            if any(ahead <= rank < ahead + size for rank in ranks):
+                before += [F.lit(part), F.lit(ahead).cast("bigint")]
+            ahead += size
+        starts = F.create_map(*before)
+        rows = dealt.where(F.col("part").isin(before[::2])).withColumn("before", F.element_at(starts, F.col("part")))
+    running = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = rows.withColumn("upto", F.col("before") + F.sum("n").over(running))
+    hit = [(F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank) for rank in ranks]
+    found = upto.agg(*[F.min(F.when(test, F.col("v"))) for test in hit]).first()
+    at = dict(zip(ranks, found))
+    return [at[low] + (at[high] - at[low]) * past for low, high, past in (ranks_of(total, s) for s in shares)]
+
+
 def group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, ``value``) with the exact median of every group, however many and however large the groups are.
 
     Distinct values with their counts are dealt out by ranges of (group, value), so that a large group lies in several
     parts and a frequent value is one row. Counts per part tell in which parts a median's two neighbours lie, and
     only those are read again."""
-    spark = df.sparkSession
     counted = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    path = f"{shared_folder(spark).rstrip('/')}/fieldnotes-{uuid.uuid4().hex}"
-    # written, so that a part is the same rows each time it is read
-    counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.parquet(path)
+    # stored, so that a part is the same rows each time it is read
+    dealt = stored(counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()))
     ahead = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("g", "part").agg(F.sum("n").alias("size")).select(
         "g", "part", "size", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"),

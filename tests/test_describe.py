@@ -70,3 +70,27 @@ def test_group_medians_by_search_are_exact(make):
     expected = pd.DataFrame({"g": groups, "v": values}).groupby("g")["v"]
     got = quantiles.exact_quantiles(frame, "v", expected.count().to_dict(), [0.5], group="g", limit=60)
     assert {g: v[0] for g, v in got.items()} == expected.median().to_dict()
+
+
+def test_written_numbers_have_the_statistics_of_their_cells(make):
+    values = [float(v) for v in np.random.default_rng(4).gamma(2, 50, 60).round(2)] * 5 + [-7.25, 0.1, 0.1]
+    row = make(v=[f"${v:,.2f}" if v >= 0 else f"(${-v:,.2f})" for v in values] + ["n/k"]).describe("v").first()
+    s = pd.Series(values)
+    expected = {"mean": s.mean(), "std": s.std(), "q1": s.quantile(0.25), "median": s.median(), "q3": s.quantile(0.75),
+                "min": s.min(), "max": s.max(), "sum": s.sum(), "skewness": s.skew()}
+    assert {k: row[k] for k in expected} == {k: round(float(v), 4) for k, v in expected.items()}
+    assert (row["valid"], row["missing"], row["unique"]) == (len(values), 1, len(set(values)))
+    same = make(v=["0,1", "0,1", "0,10", "0,1"]).describe("v").first()
+    assert (same["std"], same["skewness"], same["mean"], same["unique"]) == (0, 0, 0.1, 1)
+    assert make(v=["1,5"]).describe("v").first()["std"] is None
+
+
+@pytest.mark.parametrize("limit", [10_000, 40, 2])
+def test_quantiles_of_counted_values_are_exact(spark, limit):
+    rng = np.random.default_rng(6)
+    counts = {float(v): int(n) for v, n in zip(rng.normal(0, 1e6, 200), rng.integers(1, 9, 200))} | {3.0: 900}
+    frame = spark.createDataFrame(list(counts.items()), "v double, n bigint")
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = quantiles.counted_quantiles(frame, shares, sum(counts.values()), len(counts), limit=limit)
+    expected = pd.Series(np.repeat(list(counts), list(counts.values()))).quantile(shares)
+    assert got == pytest.approx(list(expected), rel=1e-12)

@@ -5,6 +5,7 @@ import pytest
 from conftest import by_name
 from pyspark.sql import functions as F
 
+from fieldnotes import from_dataframe
 from fieldnotes.functions import dates, numbers
 from fieldnotes.operators.infer import date_evidence
 
@@ -156,3 +157,26 @@ def test_number_texts_read_as_pandas_reads_them(spark):
         theirs = pd.to_numeric(pd.Series([text, "1"], dtype=object), errors="coerce")[0]
         assert ours == (None if pd.isna(theirs) else float(theirs)), text
         assert screened or ours is None, text
+
+
+PASSES = {
+    "named_day_first": "date_format(date_add(DATE'2020-01-01', CAST(id % 7 AS INT)), 'd MMMM yyyy')",
+    "percent": "concat(id % 7, '%')",
+    "long": "date_format(date_add(DATE'2020-01-01', CAST(id % 7 AS INT)), 'MMM d, yyyy')",
+    "short_year": "date_format(date_add(DATE'2020-01-01', CAST(id % 7 AS INT)), 'MM/dd/yy')",
+    "offset": "concat(date_add(DATE'2020-01-01', CAST(id % 7 AS INT)), 'T10:00:00+02:00')",
+    "euro": "concat('1.20', id % 7, ',50')",
+    "afternoon": "concat(date_format(date_add(DATE'2020-01-01', CAST(id % 7 AS INT)), 'MM-dd-yyyy'), ' 1:30 PM')",
+}
+
+
+@pytest.mark.parametrize("style", PASSES)
+def test_cells_are_read_twice_whatever_is_asked(spark, style):
+    """Once for the screening, once for the distinct texts that all else comes from."""
+    seen = spark.sparkContext.accumulator(0)
+    cell = F.udf(lambda text: seen.add(1) or text, "string")
+    ds = from_dataframe(spark.range(0, 210, 1, 3).select(cell(F.expr(PASSES[style])).alias("v")))
+    row = ds.describe("v").first()
+    assert (row["valid"], row["missing"], row["unique"]) == (210, 0, 7)
+    assert row["kind"] == ("numeric" if style in ("percent", "euro") else "datetime")
+    assert seen.value <= 420
