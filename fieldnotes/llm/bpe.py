@@ -17,12 +17,17 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that a chunk covers and characters that it shares with the next one.
-CHUNK, OVERLAP = 16_384, 1_024
+from fieldnotes.llm.base import slices
+
+#: Characters that a chunk covers and characters that it shares with the next one; characters that are encoded together.
+CHUNK, OVERLAP, TOGETHER = 16_384, 1_024, 1_000_000
+#: The rank of a pair that is no token.
+_NONE = 1 << 40
 FIELDS = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
@@ -32,45 +37,88 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tokens that stand for a token together, as one number in order, and the rank of that token."""
+    found = sorted(
+        (left << 32 | right, rank)
+        for token, rank in ranks.items() for k in range(1, len(token))
+        if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+    )
+    return np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+
+
 class Encoder:
-    """Encodes pieces by ranks, remembering short ones."""
+    """Encodes pieces by ranks, remembering short ones by their packed ids (little-endian 32-bit)."""
 
-    KEPT = 500_000
+    #: Pieces to remember; bytes of a piece that is merged with others, and such pieces in a table.
+    KEPT, SHORT, ROWS = 200_000, 40, 4_096
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, list[int]] = {}
-
-    def piece(self, text: str) -> list[int]:
-        ids = self.known.get(text)
-        if ids is None:
+        self.keys, self.merged = pair_ranks(ranks) if pairs is None else pairs
+        self.tokens, self.names = (np.empty(max(ranks.values(), default=-1) + 1, object) for _ in "ab")
+        for token, rank in ranks.items():
+            self.tokens[rank], self.names[rank] = token, str(rank)
+        self.of_byte = np.array([ranks.get(bytes([k]), -1) for k in range(256)], np.int64)
+        self.of_bytes = self.pairs(self.of_byte[:, None], self.of_byte[None, :])
+        self.known: dict[str, bytes] = {}
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, _NONE for those that are no token together."""
+        if not len(self.keys):
+            return np.full(np.broadcast_shapes(left.shape, right.shape), _NONE)
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.keys[at] == keys) & (left >= 0) & (right >= 0), self.merged[at], _NONE)
+
+    def learn(self, pieces: set[str]) -> None:
+        short: list[tuple[str, bytes]] = []
+        whole = bool((self.of_byte >= 0).all())
+        for text in pieces:
             raw = text.encode("utf-8")
             rank = self.ranks.get(raw)
-            ids = [rank] if rank is not None else self.merge_short(raw) if len(raw) <= 40 else self.merge(raw)
-            if len(text) <= 64:
-                if len(self.known) >= self.KEPT:
-                    self.known.clear()
-                self.known[text] = ids
-        return ids
-
-    def merge_short(self, raw: bytes) -> list[int]:
-        """The same as merge() by looking through all pairs, which is faster for a few bytes."""
-        get, bounds = self.ranks.get, list(range(len(raw) + 1))
-        pairs = [get(raw[i : i + 2], 1 << 30) for i in range(len(raw) - 1)]
-        while pairs:
-            best = min(pairs)
-            if best == 1 << 30:
-                break
-            k = pairs.index(best)
-            del bounds[k + 1], pairs[k]
-            if k < len(pairs):
-                pairs[k] = get(raw[bounds[k] : bounds[k + 2]], 1 << 30)
-            if k:
-                pairs[k - 1] = get(raw[bounds[k - 1] : bounds[k + 1]], 1 << 30)
-        return [self.ranks[raw[a:b]] for a, b in zip(bounds, bounds[1:])]
+            if rank is not None:
+                self.known[text] = rank.to_bytes(4, "little")
+            elif len(raw) <= self.SHORT and (whole or all(self.of_byte[k] >= 0 for k in raw)):
+                short.append((text, raw))
+            else:
+                self.known[text] = np.array(self.merge(raw), "<u4").tobytes()
+        short.sort(key=lambda piece: len(piece[1]))
+        for k in range(0, len(short), self.ROWS):
+            part = short[k : k + self.ROWS]
+            self.known.update(zip((text for text, _ in part), self.merge_together([raw for _, raw in part])))
+
+    def merge_together(self, raws: list[bytes]) -> list[bytes]:
+        """The same as merge() for many short pieces, whose bytes are tokens, in one table: each round merges the pair of
+        lowest rank, the leftmost of equals, of every piece that has one."""
+        sizes = np.array([*map(len, raws)])
+        width = int(sizes.max())
+        body = np.frombuffer(b"".join(raw.ljust(width, b"\0") for raw in raws), np.uint8).reshape(-1, width)
+        columns = np.arange(width)
+        ids = np.where(columns < sizes[:, None], self.of_byte[body], -1)
+        pairs = np.where(columns[1:] < sizes[:, None], self.of_bytes[body[:, :-1], body[:, 1:]], _NONE)
+        ended, open_ = ids.copy(), np.arange(len(raws))
+        while len(open_):
+            at = pairs.argmin(1)
+            best = pairs[np.arange(len(at)), at]
+            if not (goes_on := best < _NONE).all():
+                ended[open_[~goes_on]] = ids[~goes_on]
+                open_, ids, pairs, at, best = open_[goes_on], ids[goes_on], pairs[goes_on], at[goes_on], best[goes_on]
+                if not len(open_):
+                    break
+            rows, behind = np.arange(len(at)), columns > at[:, None]
+            ids[:, :-1] = np.where(behind[:, :-1], ids[:, 1:], ids[:, :-1])
+            pairs[:, :-1] = np.where(behind[:, :-2], pairs[:, 1:], pairs[:, :-1])
+            ids[:, -1], pairs[:, -1] = -1, _NONE
+            ids[rows, at] = best
+            pairs[rows, at] = self.pairs(best, ids[rows, at + 1])
+            rows, at, best = rows[at > 0], at[at > 0], best[at > 0]
+            pairs[rows, at - 1] = self.pairs(ids[rows, at - 1], best)
+        packed = ended[ended >= 0].astype("<u4").tobytes()
+        ends = np.cumsum((ended >= 0).sum(1) * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
 
     def merge(self, raw: bytes) -> list[int]:
         """Merges the pair of lowest rank, the leftmost of equals, until none is left: a heap of pairs over a
@@ -101,21 +149,26 @@ class Encoder:
     def starts(self, text: str) -> list[int]:
         return [m.start() for m in self.split.finditer(text)]
 
-    def encode(self, pieces) -> list[int]:
-        ids: list[int] = []
-        known, piece = self.known, self.piece
-        for p in pieces:
-            ids += known.get(p) or piece(p)
+    def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The ids of texts that are split into pieces."""
+        pieces = set().union(*texts)
+        if len(self.known) + len(pieces) > self.KEPT:
+            self.known.clear()
+        self.learn(pieces.difference(self.known))
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, text)), "<u4") for text in texts]
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        for text in pieces:
+            if len(text) > 64:
+                self.known.pop(text, None)
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.tokens[ids].tolist())
 
-    def digest(self, ids: list[int]) -> tuple:
-        import numpy as np
-
-        text = " ".join(map(str, ids)).encode()
-        return len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest(), np.array(ids, "<u4").tobytes()
+    def digest(self, ids: np.ndarray) -> tuple:
+        text = " ".join(self.names[ids].tolist()).encode()
+        return len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest(), ids.tobytes()
 
 
 def stitch(encoder: Encoder, text: str, chunks: list[tuple[int, int, list[int]]]) -> list[int]:
@@ -147,17 +200,19 @@ def stitch(encoder: Encoder, text: str, chunks: list[tuple[int, int, list[int]]]
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with n_tokens, ids (little-endian 32-bit), ids_sha256 and decoded_sha256 instead of the text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))  # one vocabulary file, its size is fixed
+    ranks = read_ranks(vocabulary)
+    shared = spark.sparkContext.broadcast((ranks, pair_ranks(ranks)))  # one vocabulary file, its size is fixed
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256", text)]
     keep = [docs.schema[c] for c in kept]
     source = docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).select(*kept, text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), FIELDS])
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(shared.value[0], pattern, shared.value[1])
         for batch in batches:
-            rows = [encoder.digest(encoder.encode(encoder.split.findall(t))) for t in batch.pop(text)]
-            yield pd.concat([batch, pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"], index=batch.index)], axis=1)
+            for part in slices(batch, text, TOGETHER):
+                rows = [encoder.digest(ids) for ids in encoder.encode([encoder.split.findall(t) for t in part[text]])]
+                yield pd.concat([part[kept], pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"], index=part.index)], axis=1)
 
     short = source.filter(F.length(text) <= chunk + OVERLAP).mapInPandas(direct, schema)
     # chunks of a long text spread over the tasks, then meet again under the row's key
@@ -171,18 +226,19 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", c
     cut_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), "_row string, _part int, _chunk string, _size int, _starts array<int>"])
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(shared.value[0], pattern, shared.value[1])
         for batch in batches:
-            yield batch.assign(_starts=[[s + part * chunk for s in encoder.starts(t)] for part, t in zip(batch["_part"], batch["_chunk"])])
+            for some in slices(batch, "_chunk", TOGETHER):
+                yield some.assign(_starts=[[s + part * chunk for s in encoder.starts(t)] for part, t in zip(some["_part"], some["_chunk"])])
 
     def join_up(group: pd.DataFrame) -> pd.DataFrame:
         global _ENCODER
-        encoder = _ENCODER = _ENCODER if _ENCODER is not None and _ENCODER.split.pattern == pattern and _ENCODER.ranks is shared.value else Encoder(shared.value, pattern)
+        encoder = _ENCODER = _ENCODER if _ENCODER is not None and _ENCODER.split.pattern == pattern and _ENCODER.ranks is shared.value[0] else Encoder(shared.value[0], pattern, shared.value[1])
         group = group.sort_values("_part")
         body = "".join(t[:chunk] for t in group["_chunk"])
         parts = [(p * chunk, min(p * chunk + chunk + OVERLAP, len(body)), list(s)) for p, s in zip(group["_part"], group["_starts"])]
         bounds = [*stitch(encoder, body, parts), len(body)]
-        row = encoder.digest(encoder.encode(body[a:b] for a, b in zip(bounds, bounds[1:])))
+        row = encoder.digest(encoder.encode([[body[a:b] for a, b in zip(bounds, bounds[1:])]])[0])
         if len(encoder.known) > 20_000:  # the worker outlives the task
             encoder.known.clear()
         head = group[kept].head(1).reset_index(drop=True)
@@ -197,6 +253,4 @@ _ENCODER: Encoder | None = None
 
 def decode(ids: bytes, bytes_of: dict[int, bytes]) -> bytes:
     """The bytes that little-endian 32-bit ids stand for."""
-    import numpy as np
-
     return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -108,6 +108,26 @@ def test_bpe_agrees_with_the_library(spark):
         assert bpe.decode(bytes(r.ids), bytes_of) == text.encode()
 
 
+def test_short_pieces_are_merged_together(monkeypatch):
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": 256, b"abc": 300, b"bc": 301, b"aa": 302, b"aaa": 303, "é".encode(): 304}
+    encoder = bpe.Encoder(ranks, r"\S+|\s+")
+    rng = random.Random(11)
+    pieces = ["".join(rng.choice("aabcé ") for _ in range(rng.randrange(2, 15))) for _ in range(2_000)]
+    want = {p: encoder.merge(p.encode()) for p in pieces}
+    monkeypatch.setattr(bpe.Encoder, "merge", None)  # a piece at a time is too slow for them
+    monkeypatch.setattr(bpe.Encoder, "KEPT", 50)
+    monkeypatch.setattr(bpe.Encoder, "ROWS", 64)
+    whole = {p: [ranks[p.encode()]] if p.encode() in ranks else ids for p, ids in want.items()}
+    got = encoder.encode([[p] for p in pieces] + [pieces, []])
+    assert [ids.tolist() for ids in got] == [whole[p] for p in pieces] + [[k for p in pieces for k in whole[p]], []]
+    assert len(encoder.known) <= 50
+
+
+def test_pieces_with_bytes_that_are_no_tokens():
+    encoder = bpe.Encoder({b"a": 0, b"b": 1, b"xy": 2, b"ab": 3}, r"\S+")
+    assert encoder.encode([["axyab", "ab", "ba"]])[0].tolist() == [0, 2, 3, 3, 1, 0]
+
+
 def test_decontamination_is_exact(spark):
     rng = random.Random(8)
     items = [prose(rng, n, 9_000) for n in (5, 9, 14, 30, 60, 150, 300)] + [None, "", "too short", "too short"]
