@@ -17,7 +17,9 @@ it shares most lists with among those drawn for that round, the links found are
 whose members have all met drop out. Rounds end when the pairs of members that are still apart are few for the rows
 of the lists, or when a round joins few of the classes still open. Those pairs are then compared, so that no link
 between components is lost: each set carries a bitmap of its shingles' parities, whose difference is no larger than
-that of the sets, and pairs with too large a difference are ruled out before their sets are read.
+that of the sets, and pairs with too large a difference are ruled out before their sets are read. Large sets have a
+second bitmap that grows with them, as differences of many shingles fill the first; it is looked at for the pairs that
+the first leaves open.
 
 Null and empty texts have empty sets and link with nothing. Rows keep their own line in the result, repeated ids
 included; a null id takes part, but never names a component. Clashing columns are not read.
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldnotes.llm.base import SIMILAR, components, mix, released, saved, shingle_hashes
+from fieldnotes.llm.base import SIMILAR, components, mix, released, saved, shingle_hashes, slices
 
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together; lines of lists that a task hands over together.
@@ -43,8 +45,8 @@ LIGHT, FREQUENT, LAST, TOGETHER, WRITTEN = 10, 24, 131_072, 1_000_000, 100_000
 #: All pairs that are still apart are compared when a round finds less than a link for so many open classes, or when
 #: there are at most so many for a row of the lists.
 DIRECT, AFFORDABLE = 8, 16
-#: Longs in the bitmap of a set.
-BITMAP = 8
+#: Longs in the bitmap of a set; the second one has at least so many places for a shingle.
+BITMAP, PLACES = 8, 2
 #: Members that are drawn from a list in a round, and candidates that a class is held against.
 DRAWN = 4
 #: Ids that may go to every task, 16 bytes each; more than that are joined by a shuffle.
@@ -85,24 +87,24 @@ def _class_of(hashes: np.ndarray) -> int:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, small, bits) and the key if rows have one, small: the hashes of sets that may be
-    light."""
+    """(doc_id, n_shingles, class, small, bits, fine) and the key if rows have one, small: the hashes of sets that may be
+    light, fine: the second bitmap of large sets."""
     own_columns = [c for c in rows.columns if c != "text"]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             table = []
             for hashes in shingle_hashes(batch["text"]):
                 own = np.unique(hashes)
-                table.append((len(own), _class_of(own) if len(own) else None, own.view(np.int64) if 0 < len(own) <= LIGHT else None, _bitmap(own)))
-            more = pd.DataFrame(table, columns=["n_shingles", "class", "small", "bits"], dtype=object)
+                table.append((len(own), _class_of(own) if len(own) else None, own.view(np.int64) if 0 < len(own) <= LIGHT else None, _bitmap(own), _fine(own)))
+            more = pd.DataFrame(table, columns=["n_shingles", "class", "small", "bits", "fine"], dtype=object)
             # not by way of floats, which the numbers of a batch with an empty text would else become
             more = more.assign(n_shingles=more["n_shingles"].astype("int64"), **{"class": pd.array(more["class"].to_numpy(object), dtype="Int64")})
             yield pd.concat([batch[own_columns].reset_index(drop=True), more], axis=1)
 
     # ids go as text, since pandas makes floats of long numbers where some are null
     kinds = "".join(f"{c} string, " for c in own_columns)
-    built = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(build, f"{kinds}n_shingles long, class long, small array<long>, bits array<long>")
+    built = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(build, f"{kinds}n_shingles long, class long, small array<long>, bits array<long>, fine array<long>")
     return built.withColumn("doc_id", F.col("doc_id").cast(rows.schema["doc_id"].dataType))
 
 
@@ -207,7 +209,7 @@ def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> Da
     key also (key, label): rows with the same label are linked, whatever their ids; sets without shingles have none."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sets = saved(_sets(rows if key is None else docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("key"))), "sizes")
-    classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits")), "classes")
+    classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine")), "classes")
     lists = saved(_shared(_lists(rows.select("text"), _frequent(rows.select("text")), least), least), "lists")
     boundary = _boundary(lists, classes, least)
     if boundary:
@@ -218,7 +220,9 @@ def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> Da
     links, turn, whole = None, 0, False
     left = lists.select("token", "class", "n", "p", F.col("class").alias("label"))  # each has two classes or more
     while n_rows:
-        pairs = saved(_all_apart(left, classes, least) if whole else _near(_drawn(left, turn, least), classes, least), "pairs")
+        drawn = saved(_all_apart(left, classes, least) if whole else _near(_drawn(left, turn, least), classes, least), "drawn")
+        pairs = saved(_nearer(drawn, classes, least), "pairs")
+        released(drawn)
         full = _full(rows, pairs, classes)
         new = saved(_verified(pairs, full, least), "found")
         released(pairs, full)
@@ -257,14 +261,14 @@ def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(members) if few else members, "doc_id")
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             own = [np.unique(h) for h in shingle_hashes(batch["text"])]
             same = [len(o) > 0 and _class_of(o) == c for o, c in zip(own, batch["class"])]
             if any(same):  # an empty frame has no lists to tell its type by
                 yield pd.DataFrame({"class": batch["class"][same].to_numpy(), "hashes": [o.view(np.int64) for o, s in zip(own, same) if s]})
 
     def build_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             own = [o for o in map(np.unique, shingle_hashes(batch["text"])) if len(o)]
             if own:
                 yield pd.DataFrame({"class": [_class_of(o) for o in own], "hashes": [o.view(np.int64) for o in own]})
@@ -279,10 +283,18 @@ def _full(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return full
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITMAP places whether an odd number of hashes fall there."""
-    places = (mix(hashes) % np.uint64(64 * BITMAP)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
+def _bitmap(hashes: np.ndarray, longs: int = BITMAP) -> np.ndarray:
+    """For each of 64 * longs places whether an odd number of hashes fall there."""
+    places = (mix(hashes) % np.uint64(64 * longs)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * longs) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _fine(hashes: np.ndarray) -> np.ndarray | None:
+    """The bitmap of BITMAP longs, doubled until there are PLACES places for each hash; none if it is no larger."""
+    longs = BITMAP
+    while 64 * longs < PLACES * len(hashes):
+        longs *= 2
+    return _bitmap(hashes, longs) if longs > BITMAP else None
 
 
 def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -333,6 +345,23 @@ def _near(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(_bits_near(least)).select("a", "b")
 
 
+def _nearer(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """The pairs that the second bitmaps leave open. The halves of a bitmap, one on the other, are that of half the
+    places; those of sets that may be linked differ by one doubling at most."""
+    bits = F.coalesce("fine", "bits")
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), bits.alias("fine_a"))
+    two = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), bits.alias("fine_b"))
+    longs = F.least(F.size("fine_a"), F.size("fine_b"))
+
+    def halved(name: str) -> Column:
+        halves = F.zip_with(F.slice(name, F.lit(1), longs), F.slice(name, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(name) == longs, F.col(name)).when(F.size(name) == 2 * longs, halves)
+
+    differ = F.aggregate(F.zip_with(halved("fine_a"), halved("fine_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    open_ = F.coalesce(differ <= F.col("n_a") + F.col("n_b") - 2 * _common("n_a", "n_b", least), F.lit(True))
+    return pairs.join(one, "a").join(two, "b").filter(open_).select("a", "b")
+
+
 def _fitting(least: int) -> Column:
     """Whether a pair can be linked by its sizes and by the places of the shingle that it shares."""
     fits = 100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")

@@ -10,6 +10,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,27 @@ def test_jaccard_light_part_alone(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.link(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
 
 
+def test_second_bitmaps_rule_out_large_sets_only_where_they_may(spark):
+    rng = random.Random(21)
+    sets, pairs = [], []
+    for n in (200, 255, 258, 300, 1_000, 2_048, 3_000):
+        whole = [rng.getrandbits(64) for _ in range(2 * n)]
+        for k in range(0, n, max(1, n // 40)):  # the second set has k others
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [whole[:n], whole[k : n + k + rng.randrange(n // 4)]]
+    arrays = [np.unique(np.array(own, np.uint64)) for own in sets]
+    schema = "class long, n long, bits array<long>, fine array<long>"
+    lists = lambda bits: None if bits is None else bits.tolist()
+    classes = spark.createDataFrame([(k, len(own), jaccard._bitmap(own).tolist(), lists(jaccard._fine(own))) for k, own in enumerate(arrays)], schema)
+    kept = {tuple(r) for r in jaccard._nearer(spark.createDataFrame(pairs, "a long, b long"), classes, 75).collect()}
+    similar = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    assert {p for p in pairs if similar(*p) >= 0.75} <= kept
+    assert not {p for p in kept if similar(*p) < 0.5}
+    # the first bitmaps leave pairs of large sets open that share nothing
+    far = {p for p in pairs if len(arrays[p[0]]) >= 2_048 and similar(*p) < 0.5}
+    assert far <= {tuple(r) for r in jaccard._near(spark.createDataFrame(pairs, "a long, b long"), classes, 75).collect()}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
