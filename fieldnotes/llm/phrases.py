@@ -7,8 +7,9 @@ dictionary. Shards are written once, and all later steps go by them.
 2. Every shard builds an FM-index over its frequent words and extends each word to the left: the intervals are its pairs
    of words with their counts. The counts are summed over shards.
 3. Every shard keeps only places where frequent pairs chain, builds an FM-index of that and one of its reverse, and
-   enumerates phrases up to DEPTH words by bidirectional interval extension, to the right and to the left in turn. Every
-   part of a candidate is a candidate, so none is lost. The counts are summed over shards.
+   enumerates phrases of three words by bidirectional interval extension, to the right and to the left in turn. The counts
+   are summed over shards. In the same way phrases up to DEPTH words come from places where frequent triples chain. Every
+   part of a candidate is a candidate, so none is lost.
 4. A phrase whose extension by one word to the left or to the right is as frequent as itself goes; a longer one that is
    as frequent comes with such an extension. The counts of the parts of the rest give the scores.
 
@@ -40,10 +41,12 @@ from fieldnotes.llm.base import released, saved
 LEAST, DEPTH, TOP = 100, 5, 2_000
 #: Words of a shard; bytes of text that are split together.
 SHARD, TOGETHER = 2_000_000, 1 << 20
-#: Frequent pairs that may go to every task (16 bytes each); more of them are joined to the shards by a shuffle.
+#: Frequent pairs or triples that may go to every task (8 bytes a word); more of them are joined to the shards by a shuffle.
 FEW = 1_000_000
 #: Bits of a word's number that tell words of a shard apart, and shards of a task.
 LOCAL_BITS, TASK_BITS = 24, 16
+#: Names of a phrase's words by the ids of a shard, and by those of all shards.
+LOCAL, GLOBAL = ["a", "b", "c", "d", "e"], ["w1", "w2", "w3", "w4", "w5"]
 
 # A-Z become a-z, what parts pieces becomes a line break, a tab a space.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -242,56 +245,101 @@ def _summed_pairs(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame
 
 
 class _Pairs:
-    """Frequent pairs of words, to be asked for many at once."""
+    """Pairs of numbers, to be asked for many at once."""
 
     def __init__(self, w1: np.ndarray, w2: np.ndarray):
         self.words = np.unique(np.concatenate([w1, w2]))
-        self.keys = np.sort(np.searchsorted(self.words, w1) * len(self.words) + np.searchsorted(self.words, w2))
+        self.keys = np.unique(np.searchsorted(self.words, w1) * len(self.words) + np.searchsorted(self.words, w2))
 
-    def among(self, w1: np.ndarray, w2: np.ndarray, together: int = 1 << 18) -> np.ndarray:
-        parts = [self._among(w1[k : k + together], w2[k : k + together]) for k in range(0, len(w1), together)]
-        return np.concatenate([np.zeros(0, bool), *parts])
-
-    def _among(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+    def place(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        """Where pairs stand in order, -1 for others."""
         if not len(self.keys):
-            return np.zeros(len(w1), bool)
+            return np.full(len(w1), -1)
         places = [np.minimum(np.searchsorted(self.words, w), len(self.words) - 1) for w in (w1, w2)]
         keys = places[0] * len(self.words) + places[1]
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return (self.keys[at] == keys) & (self.words[places[0]] == w1) & (self.words[places[1]] == w2)
-
-
-def _chained_phrases(sequence: np.ndarray, number: np.ndarray, pairs: _Pairs) -> pd.DataFrame:
-    """Phrases of three to DEPTH words of a shard in which all pairs are frequent, by global ids, and their counts."""
-    names = [*(f"w{k}" for k in range(1, DEPTH + 1)), "n"]
-    ids = number[sequence]
-    del sequence
-    chained = np.concatenate([[False], pairs.among(ids[:-1], ids[1:]), [False]])  # between places i - 1 and i
-    stays = chained[:-1] | chained[1:]
-    # a break goes behind every place that doesn't chain with the next one
-    ends = (stays & ~chained[1:])[stays]
-    words, dense = np.unique(ids[stays], return_inverse=True)
-    reduced = np.zeros(len(dense) + int(ends.sum()), np.int64)
-    reduced[np.arange(len(dense)) + np.cumsum(ends) - ends] = dense + 1
+        return np.where((self.keys[at] == keys) & (self.words[places[0]] == w1) & (self.words[places[1]] == w2), at, -1)
+
+
+class _Phrases:
+    """Frequent phrases of one size, to be asked for many at once: each word more is a pair with the place of those before."""
+
+    def __init__(self, *words: np.ndarray):
+        self.size, self.steps = len(words), []
+        before = words[0]
+        for word in words[1:]:
+            self.steps.append(_Pairs(before, word))
+            before = self.steps[-1].place(before, word)
+
+    def starts(self, ids: np.ndarray, together: int = 1 << 18) -> np.ndarray:
+        """Whether such a phrase begins at each place but the last few."""
+        many = max(0, len(ids) - self.size + 1)
+        found = [np.zeros(0, bool)]
+        for k in range(0, many, together):
+            part = ids[k : min(k + together, many) + self.size - 1]
+            before = part[: len(part) - self.size + 1]
+            for nth, step in enumerate(self.steps, 1):
+                before = step.place(before, part[nth : nth + len(before)])
+            found.append(before >= 0)
+        return np.concatenate(found)
+
+
+def _chained_phrases(shard: int, sequence: np.ndarray, number: np.ndarray, frequent: _Phrases, longest: int) -> pd.DataFrame:
+    """Phrases of a shard, longer than the frequent ones and of up to `longest` words, in which all parts of their size are
+    frequent: by local and by global ids, with their counts."""
+    columns = ["shard", *LOCAL[:longest], *GLOBAL[:longest], "n"]
+    starts = np.concatenate([[False], frequent.starts(number[sequence]), [False]])
+    first, behind = np.flatnonzero(~starts[:-1] & starts[1:]), np.flatnonzero(starts[:-1] & ~starts[1:])
+    # each chain with its last phrase to the end; a chain of one has none that is longer
+    sizes = behind - first + frequent.size - 1
+    first, sizes = first[sizes > frequent.size], sizes[sizes > frequent.size]
+    ends = np.cumsum(sizes)
+    places = np.arange(int(sizes.sum())) + np.repeat(first - (ends - sizes), sizes)
+    words, dense = np.unique(sequence[places], return_inverse=True)
+    # a break behind every chain
+    reduced = np.zeros(len(dense) + len(sizes), np.int64)
+    reduced[np.arange(len(dense)) + np.repeat(np.arange(len(sizes)), sizes)] = dense + 1
     found = []
-    index = BothWays(reduced, DEPTH) if len(reduced) else None
-    for length in range(2, DEPTH + 1):
+    index = BothWays(reduced, longest) if len(reduced) else None
+    for length in range(2, longest + 1):
         if index is None or not len(index.counts):
             break
         index.left() if length % 2 else index.right()
-        if length > 2:
-            rows = np.full((len(index.words), DEPTH), -1, np.int64)
-            rows[:, :length] = words[index.words - 1]
-            found.append(np.column_stack([rows, index.counts]))
-    return pd.DataFrame(np.concatenate(found) if found else np.empty((0, DEPTH + 1), np.int64), columns=names)
+        if length > frequent.size:
+            rows = np.full((len(index.words), 2 * longest + 2), -1, np.int64)
+            rows[:, 0], rows[:, -1] = shard, index.counts
+            rows[:, 1 : length + 1] = words[index.words - 1]
+            rows[:, longest + 1 : longest + 1 + length] = number[rows[:, 1 : length + 1]]
+            found.append(rows)
+    return pd.DataFrame(np.concatenate(found) if found else np.empty((0, len(columns)), np.int64), columns=columns)
+
+
+def _extended(meet, known: DataFrame, own: DataFrame, frequent: DataFrame, size: int, longest: int) -> DataFrame:
+    """What _chained_phrases() finds in all shards by the frequent phrases of a size. own: those of each shard, frequent or
+    not, by local and by global ids; they are only read when the frequent ones are too many for every task."""
+    schema = ", ".join(f"{c} long" for c in ["shard", *LOCAL[:longest], *GLOBAL[:longest], "n"])
+    here, names = LOCAL[:size], GLOBAL[:size]
+    if frequent.count() <= FEW:
+        few = frequent.select(*names).toPandas()
+        shared = frequent.sparkSession.sparkContext.broadcast([few[w].to_numpy() for w in names])
 
+        def by_words(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            sequence = _sequence(shard) if len(shard) and len(known) else np.zeros(1, np.int64)
+            number = _numbers(sequence, known) if len(known) else np.full(1, -1, np.int64)
+            return _chained_phrases(key[0], sequence, number, _Phrases(*shared.value), longest)
 
-def _phrases_by_pairs(key, shard: pd.DataFrame, chains: pd.DataFrame) -> pd.DataFrame:
-    """The same for a shard with its own frequent pairs."""
-    sequence = _sequence(shard) if len(shard) else np.zeros(1, np.int64)
-    number = np.full(int(max([sequence.max(), *chains["a"], *chains["b"]])) + 1, -1, np.int64)
-    number[chains["a"].to_numpy()], number[chains["b"].to_numpy()] = chains["w1"].to_numpy(), chains["w2"].to_numpy()
-    return _chained_phrases(sequence, number, _Pairs(chains["w1"].to_numpy(), chains["w2"].to_numpy()))
+        return meet(known).applyInPandas(by_words, schema)
+
+    def by_chains(key, shard: pd.DataFrame, chains: pd.DataFrame) -> pd.DataFrame:
+        """The same for a shard with its own frequent phrases."""
+        sequence = _sequence(shard) if len(shard) else np.zeros(1, np.int64)
+        number = np.full(int(max([sequence.max(), *(chains[c].max() for c in here if len(chains))])) + 1, -1, np.int64)
+        for c, w in zip(here, names):
+            number[chains[c].to_numpy()] = chains[w].to_numpy()
+        return _chained_phrases(key[0], sequence, number, _Phrases(*(chains[w].to_numpy() for w in names)), longest)
+
+    chains = own.join(frequent.select(*names), names).select("shard", *here, *names)
+    return meet(chains).applyInPandas(by_chains, schema)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -312,24 +360,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     meet = lambda other: sequences.groupBy("_shard").cogroup(other.groupBy("shard"))
     pairs = meet(known).applyInPandas(_summed_pairs, "w1 long, w2 long, n long")
     frequent = saved(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
-    names = [f"w{k}" for k in range(1, DEPTH + 1)]
-    schema = ", ".join(f"{c} long" for c in [*names, "n"])
-    if frequent.count() <= FEW:
-        few = frequent.select("w1", "w2").toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast((few["w1"].to_numpy(), few["w2"].to_numpy()))
-
-        def by_words(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            sequence = _sequence(shard) if len(shard) and len(known) else np.zeros(1, np.int64)
-            number = _numbers(sequence, known) if len(known) else np.full(1, -1, np.int64)
-            return _chained_phrases(sequence, number, _Pairs(*shared.value))
-
-        longer = meet(known).applyInPandas(by_words, schema)
-    else:
-        own_pairs = meet(known).applyInPandas(_word_pairs, "shard long, a long, b long, w1 long, w2 long, n long")
-        chains = own_pairs.join(frequent.select("w1", "w2"), ["w1", "w2"]).select("shard", "a", "b", "w1", "w2")
-        longer = meet(chains).applyInPandas(_phrases_by_pairs, schema)
-    longer = longer.groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    long_ids = F.filter(F.array(*names), lambda w: w >= 0)
+    own_pairs = meet(known).applyInPandas(_word_pairs, "shard long, a long, b long, w1 long, w2 long, n long")
+    own_triples = _extended(meet, known, own_pairs, frequent, 2, 3)
+    triples = saved(own_triples.groupBy(*GLOBAL[:3]).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "triples")
+    longer = _extended(meet, known, own_triples, triples, 3, DEPTH).groupBy(*GLOBAL).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    longer = longer.unionByName(triples.withColumns({"w4": F.lit(-1).cast("long"), "w5": F.lit(-1).cast("long")}))
+    long_ids = F.filter(F.array(*GLOBAL), lambda w: w >= 0)
     candidates = frequent.select(F.array("w1", "w2").alias("ids"), F.col("n").alias("a")).unionByName(longer.select(long_ids.alias("ids"), "a"))
     candidates = saved(candidates, "candidates")
     released(shards)

@@ -86,5 +86,18 @@ def test_all_phrases_as_by_hand(spark, monkeypatch, shard, least, top):
     assert {tuple(r) for r in got.collect()} == by_hand(rows(), least, top)
 
 
+def test_only_places_where_frequent_triples_chain_give_longer_phrases():
+    # 1 2 3 4 and 2 3 4 5 hold frequent triples only; those of 3 4 5 6 chain with none on their right
+    sequence = np.array([1, 2, 3, 4, 5, 6, 7, 0, 3, 4, 5, 0, 5, 6, 7, 1, 2, 3, 0])
+    number = np.concatenate([[-1], np.arange(1, 8) * 10])
+    triples = phrases._Phrases(*np.array([[10, 20, 30], [20, 30, 40], [30, 40, 50], [50, 60, 70]]).T)
+    found = phrases._chained_phrases(9, sequence, number, triples, 5)
+    assert {tuple(r) for r in found[[*phrases.GLOBAL, "n"]].itertuples(index=False)} == {(10, 20, 30, 40, -1, 1), (20, 30, 40, 50, -1, 1), (10, 20, 30, 40, 50, 1)}
+    assert set(found["shard"]) == {9} and (found["a"] * 10 == found["w1"]).all()
+    pairs = phrases._Phrases(np.array([10, 20, 60]), np.array([20, 30, 70]))
+    found = phrases._chained_phrases(9, sequence, number, pairs, 3)
+    assert {tuple(r) for r in found[["w1", "w2", "w3", "n"]].itertuples(index=False)} == {(10, 20, 30, 2)}
+
+
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).collect() == []
