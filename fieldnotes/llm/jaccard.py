@@ -16,7 +16,7 @@ Members of a list are not paired off. In a round each class is held against a fe
 it shares most lists with among those drawn for that round, the links found are closed into components, and lists
 whose members have all met drop out. Rounds end when the pairs of members that are still apart are few for the rows
 of the lists, or when a round joins few of the classes still open. Those pairs are then compared, so that no link
-between components is lost: each set carries a bitmap of its shingles' parities, whose difference is no larger than
+between components is lost, each in the first list that it shares: each set carries a bitmap of its shingles' parities, whose difference is no larger than
 that of the sets, and pairs with too large a difference are ruled out before their sets are read. Large sets have a
 second bitmap that grows with them, as differences of many shingles fill the first; it is looked at for the pairs that
 the first leaves open.
@@ -36,6 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldnotes.llm.base import SIMILAR, components, mix, released, saved, shingle_hashes, slices
 
@@ -45,6 +46,8 @@ LIGHT, FREQUENT, LAST, TOGETHER, WRITTEN = 10, 24, 131_072, 1_000_000, 100_000
 #: All pairs that are still apart are compared when a round finds less than a link for so many open classes, or when
 #: there are at most so many for a row of the lists.
 DIRECT, AFFORDABLE = 8, 16
+#: Lists before its own that a line knows when all pairs are compared, so that a pair is not made once for each list.
+BEFORE = 8
 #: Longs in the bitmap of a set; the second one has at least so many places for a shingle.
 BITMAP, PLACES = 8, 2
 #: Members that are drawn from a list in a round, and candidates that a class is held against.
@@ -325,11 +328,20 @@ def _drawn(lists: DataFrame, turn: int, least: int) -> DataFrame:
 
 def _all_apart(lists: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """All pairs of members of a list with different labels, fitting sizes and bitmaps near enough."""
-    lists = lists.join(classes.select("class", "bits"), "class")
-    one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"))
-    two = lists.select(F.col("token").alias("other"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"))
+    return _met(lists, classes, least).distinct()
+
+
+def _met(lists: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(a, b) of _all_apart(), from the first list that they share and from a later one only where none of the few lists
+    before it in both classes is shared. No line before that of the first shared list is in the other class, so a pair
+    that is linked always comes."""
+    before = Window.partitionBy("class").orderBy("p", "token").rowsBetween(-BEFORE, -1)
+    lists = lists.withColumn("before", F.collect_list("token").over(before)).join(classes.select("class", "bits"), "class")
+    one = lists.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"), F.col("label").alias("label_a"), F.col("bits").alias("bits_a"), F.col("before").alias("before_a"))
+    two = lists.select(F.col("token").alias("other"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("p").alias("p_b"), F.col("label").alias("label_b"), F.col("bits").alias("bits_b"), F.col("before").alias("before_b"))
     apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    return one.join(two, (F.col("token") == F.col("other")) & apart & _fitting(least) & _bits_near(least)).select("a", "b").distinct()
+    new = ~F.arrays_overlap("before_a", "before_b")
+    return one.join(two, (F.col("token") == F.col("other")) & apart & _fitting(least) & _bits_near(least) & new).select("a", "b")
 
 
 def _bits_near(least: int) -> Column:

@@ -95,6 +95,26 @@ def test_second_bitmaps_rule_out_large_sets_only_where_they_may(spark):
     assert far <= {tuple(r) for r in jaccard._near(spark.createDataFrame(pairs, "a long, b long"), classes, 75).collect()}
 
 
+def test_pairs_of_many_lists_are_made_once(spark):
+    # sets of 40 in one order: b shares 35 with a, c begins elsewhere and shares the last 12, d shares every tenth
+    sets = [list(range(40)), [*range(100, 105), *range(5, 40)], [*range(200, 228), *range(28, 40)], [k if k % 10 == 9 else 300 + k for k in range(40)]]
+    lists = spark.createDataFrame([(token, k, 40, p, k) for k, own in enumerate(sets) for p, token in enumerate(own)], "token long, class long, n long, p long, label long")
+    classes = spark.createDataFrame([(k, [0] * jaccard.BITMAP) for k in range(4)], "class long, bits array<long>")
+    met = [tuple(r) for r in jaccard._met(lists, classes, 75).collect()]
+    assert met.count((0, 1)) == 1 and len(met) < 10
+    assert (0, 1) in {tuple(r) for r in jaccard._all_apart(lists, classes, 75).collect()}
+    # whatever the lists, a pair that fits in its first one comes
+    rng = random.Random(17)
+    sets = [sorted(rng.sample(range(60), rng.randrange(20, 30))) for _ in range(60)]
+    lists = spark.createDataFrame([(token, k, len(own), p, k) for k, own in enumerate(sets) for p, token in enumerate(own)], "token long, class long, n long, p long, label long")
+    classes = spark.createDataFrame([(k, [0] * jaccard.BITMAP) for k in range(60)], "class long, bits array<long>")
+    found = {tuple(r) for r in jaccard._all_apart(lists, classes, 30).collect()}
+    for a in range(60):
+        for b in range(a + 1, 60):
+            if 100 * len({*sets[a]} & {*sets[b]}) >= 30 * len({*sets[a]} | {*sets[b]}):
+                assert (a, b) in found
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
