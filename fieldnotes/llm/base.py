@@ -46,16 +46,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's setting for the rows that a Python worker is handed together, and how many texts that are.
+_HANDED, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
 @contextlib.contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What is shuffled meanwhile is deleted with the end of the query, as its rows are written; the session's own setting
-    holds again afterwards."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting that holds meanwhile; the session's own holds again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """What is shuffled meanwhile is deleted with the end of the query, as its rows are written."""
+    return _setting(spark, _CLEANUP, "true")
+
+
+def few_texts(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """Executors and their Python workers hold fewer texts at once meanwhile; a session that holds still fewer keeps
+    to its own number."""
+    own = int(spark.conf.get(_HANDED, None) or 0)
+    return _setting(spark, _HANDED, str(min(own, TEXTS) if own > 0 else TEXTS))
 
 
 def released(*tables: DataFrame) -> None:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldnotes.llm.base import SIMILAR, components, mix, released, saved, shingle_hashes, slices
+from fieldnotes.llm.base import SIMILAR, components, few_texts, mix, released, saved, shingle_hashes, slices
 
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together; lines of lists that a task hands over together.
@@ -210,6 +210,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach. With a
     key also (key, label): rows with the same label are linked, whatever their ids; sets without shingles have none."""
+    with few_texts(docs.sparkSession):  # all that Python does is saved within
+        return _link(docs, least, key)
+
+
+def _link(docs: DataFrame, least: int, key: Column | None) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sets = saved(_sets(rows if key is None else docs.select("doc_id", F.col("text").cast("string").alias("text"), key.alias("key"))), "sizes")
     classes = saved(sets.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine")), "classes")

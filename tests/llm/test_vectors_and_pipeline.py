@@ -57,6 +57,23 @@ def test_pipeline(spark):
     assert corpus_pipeline.secrets_replaced(spark, docs, folder).columns == docs.columns
 
 
+def test_few_texts_are_handed_over_together(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    import corpus_pipeline
+
+    seen, saved, own = [], jaccard.saved, spark.conf.get(name, None)
+
+    def noted(df, what):
+        seen.append(int(spark.conf.get(name)))
+        return saved(df, what)
+
+    monkeypatch.setattr(jaccard, "saved", noted)
+    docs = spark.createDataFrame([(k, f"one two three four five six {k % 2}") for k in range(4)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()} == {0, 1}
+    assert seen and max(seen) <= 1_000
+    assert spark.conf.get(name, None) == own
+
+
 def test_rows_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 
