@@ -6,16 +6,20 @@ dictionary. Shards are written once, and all later steps go by them.
 1. Dictionaries are summed over shards. Words found less than LEAST times in a language stand in no candidate.
 2. Every shard builds an FM-index over its frequent words and extends each word to the left: the intervals are its pairs
    of words with their counts. The counts are summed over shards.
-3. Every shard keeps only places where frequent pairs chain, builds an FM-index of that and one of its reverse, and
-   enumerates phrases of three words by bidirectional interval extension, to the right and to the left in turn. The counts
-   are summed over shards. In the same way phrases up to DEPTH words come from places where frequent triples chain. Every
-   part of a candidate is a candidate, so none is lost.
-4. A phrase whose extension by one word to the left or to the right is as frequent as itself goes; a longer one that is
+3. Places where frequent pairs chain hold triples that may be frequent. Every shard counts them by buckets of a hash, and
+   the counts are summed over shards: a triple in a bucket with less than LEAST is not frequent, so its places go. What
+   is left over stays right, as the sum of a bucket is never below the count of a triple in it.
+4. Every shard builds an FM-index of the places that are left and one of its reverse, and enumerates phrases of three
+   words by bidirectional interval extension, to the right and to the left in turn. The counts are summed over shards.
+   In the same way phrases up to DEPTH words come from places where frequent triples chain, with buckets for those of
+   four words. Every part of a candidate is a candidate, so none is lost.
+5. A phrase whose extension by one word to the left or to the right is as frequent as itself goes; a longer one that is
    as frequent comes with such an extension. The counts of the parts of the rest give the scores.
 
 What a task holds is bounded by SHARD; counts go through the shuffle one row for each shard and phrase, so a language, a
-word or a pair that fills a third of the table costs a row for each shard. A piece is never cut, a shard may grow by one
-piece.
+word or a pair that fills a third of the table costs a row for each shard. Without the buckets a shard would give a row
+for each rare triple of frequent pairs, and such pairs become many as a corpus grows. A piece is never cut, a shard may
+grow by one piece.
 
 Null texts are empty, a null language is `und`; ids are not looked at, so null and repeated ids and repeated rows all
 count. Ties go by the contract: score, count, phrase in UTF-8 byte order. A table without rows gives none. Other columns of the table
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldnotes.llm.base import released, saved
+from fieldnotes.llm.base import mix, released, saved
 
 #: Least count of a candidate, words of the longest, phrases that are reported for a language.
 LEAST, DEPTH, TOP = 100, 5, 2_000
@@ -43,6 +47,8 @@ LEAST, DEPTH, TOP = 100, 5, 2_000
 SHARD, TOGETHER = 2_000_000, 1 << 20
 #: Frequent pairs or triples that may go to every task (8 bytes a word); more of them are joined to the shards by a shuffle.
 FEW = 1_000_000
+#: Words of the table for a bucket; least and most buckets (a bit each goes to every task); buckets that are summed together.
+LOAD, LEAST_BUCKETS, MOST_BUCKETS, BLOCK = 32, 1 << 20, 1 << 28, 1 << 18
 #: Bits of a word's number that tell words of a shard apart, and shards of a task.
 LOCAL_BITS, TASK_BITS = 24, 16
 #: Names of a phrase's words by the ids of a shard, and by those of all shards.
@@ -284,15 +290,59 @@ class _Phrases:
         return np.concatenate(found)
 
 
-def _chained_phrases(shard: int, sequence: np.ndarray, number: np.ndarray, frequent: _Phrases, longest: int) -> pd.DataFrame:
+def _longer(ids: np.ndarray, frequent: _Phrases) -> np.ndarray:
+    """Places where a phrase begins that is one word longer than the frequent ones and has two of them as its parts."""
+    starts = frequent.starts(ids)
+    return np.flatnonzero(starts[:-1] & starts[1:])
+
+
+def _buckets(ids: np.ndarray, places: np.ndarray, size: int, many: int) -> np.ndarray:
+    """The bucket, of a power of two, of the phrase of so many words at each place."""
+    hashes = np.zeros(len(places), np.uint64)
+    for k in range(size):
+        hashes = mix(hashes + ids[places + k].astype(np.uint64))
+    return (hashes & np.uint64(many - 1)).astype(np.int64)
+
+
+def _bucket_counts(ids: np.ndarray, frequent: _Phrases, many: int) -> pd.DataFrame:
+    """Phrases of a shard, one word longer than the frequent ones, in each bucket: a row for each block, with the places
+    of its buckets that hold some and their counts."""
+    buckets, counts = np.unique(_buckets(ids, _longer(ids, frequent), frequent.size + 1, many), return_counts=True)
+    blocks, first = np.unique(buckets // BLOCK, return_index=True)
+    at, n = (buckets % BLOCK).astype(np.int32), counts.astype(np.int32)
+    parts = zip(blocks.tolist(), np.split(at, first[1:]), np.split(n, first[1:]))
+    return pd.DataFrame(list(parts), columns=["block", "at", "n"], dtype=object)
+
+
+def _full_buckets(counts: DataFrame, many: int, least: int) -> np.ndarray:
+    """A bit for each bucket: whether all shards together have as many phrases in it as a candidate needs."""
+
+    def summed(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK, np.int64)
+        for at, n in zip(parts["at"], parts["n"]):
+            total[at] += n
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(total >= least, bitorder="little").tobytes()]})
+
+    bits = np.zeros((many // BLOCK, BLOCK // 8), np.uint8)
+    for row in counts.groupBy("block").applyInPandas(summed, "block long, bits binary").toLocalIterator():
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.reshape(-1)
+
+
+def _chained_phrases(shard: int, sequence: np.ndarray, number: np.ndarray, frequent: _Phrases, longest: int, full: np.ndarray | None = None) -> pd.DataFrame:
     """Phrases of a shard, longer than the frequent ones and of up to `longest` words, in which all parts of their size are
-    frequent: by local and by global ids, with their counts."""
+    frequent, and all parts of one word more in full buckets if those are given: by local and by global ids, with their
+    counts."""
     columns = ["shard", *LOCAL[:longest], *GLOBAL[:longest], "n"]
-    starts = np.concatenate([[False], frequent.starts(number[sequence]), [False]])
-    first, behind = np.flatnonzero(~starts[:-1] & starts[1:]), np.flatnonzero(starts[:-1] & ~starts[1:])
-    # each chain with its last phrase to the end; a chain of one has none that is longer
-    sizes = behind - first + frequent.size - 1
-    first, sizes = first[sizes > frequent.size], sizes[sizes > frequent.size]
+    ids = number[sequence]
+    places = _longer(ids, frequent)
+    if full is not None:
+        buckets = _buckets(ids, places, frequent.size + 1, 8 * len(full))
+        places = places[(full[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1 > 0]
+    # each chain with its last phrase to the end
+    chained = np.concatenate([[True], np.diff(places) > 1])[: len(places)]
+    first = places[chained]
+    sizes = places[np.concatenate([chained[1:], [True]])[: len(places)]] - first + frequent.size + 1
     ends = np.cumsum(sizes)
     places = np.arange(int(sizes.sum())) + np.repeat(first - (ends - sizes), sizes)
     words, dense = np.unique(sequence[places], return_inverse=True)
@@ -314,32 +364,49 @@ def _chained_phrases(shard: int, sequence: np.ndarray, number: np.ndarray, frequ
     return pd.DataFrame(np.concatenate(found) if found else np.empty((0, len(columns)), np.int64), columns=columns)
 
 
-def _extended(meet, known: DataFrame, own: DataFrame, frequent: DataFrame, size: int, longest: int) -> DataFrame:
-    """What _chained_phrases() finds in all shards by the frequent phrases of a size. own: those of each shard, frequent or
-    not, by local and by global ids; they are only read when the frequent ones are too many for every task."""
+def _extended(meet, known: DataFrame, own: DataFrame, frequent: DataFrame, size: int, longest: int, n_words: int, least: int, held: list[DataFrame]) -> DataFrame:
+    """What _chained_phrases() finds in all shards by the frequent phrases of a size, n_words being those of the table. own:
+    those of each shard, frequent or not, by local and by global ids; they are only read when the frequent ones are too
+    many for every task, and those that are frequent are then saved and added to held."""
     schema = ", ".join(f"{c} long" for c in ["shard", *LOCAL[:longest], *GLOBAL[:longest], "n"])
     here, names = LOCAL[:size], GLOBAL[:size]
     if frequent.count() <= FEW:
         few = frequent.select(*names).toPandas()
         shared = frequent.sparkSession.sparkContext.broadcast([few[w].to_numpy() for w in names])
+        dealt = known
 
-        def by_words(key, shard: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        def prepared(shard: pd.DataFrame, known: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, _Phrases]:
             sequence = _sequence(shard) if len(shard) and len(known) else np.zeros(1, np.int64)
             number = _numbers(sequence, known) if len(known) else np.full(1, -1, np.int64)
-            return _chained_phrases(key[0], sequence, number, _Phrases(*shared.value), longest)
+            return sequence, number, _Phrases(*shared.value)
+
+    else:
+        dealt = saved(own.join(frequent.select(*names), names).select("shard", *here, *names), "chains")
+        held.append(dealt)
+
+        def prepared(shard: pd.DataFrame, chains: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, _Phrases]:
+            """The same for a shard with its own frequent phrases."""
+            sequence = _sequence(shard) if len(shard) else np.zeros(1, np.int64)
+            number = np.full(int(max([sequence.max(), *(chains[c].max() for c in here if len(chains))])) + 1, -1, np.int64)
+            for c, w in zip(here, names):
+                number[chains[c].to_numpy()] = chains[w].to_numpy()
+            return sequence, number, _Phrases(*(chains[w].to_numpy() for w in names))
+
+    many = LEAST_BUCKETS
+    while many < MOST_BUCKETS and many * LOAD < n_words:
+        many *= 2
+
+    def by_buckets(key, shard: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        sequence, number, phrases = prepared(shard, other)
+        return _bucket_counts(number[sequence], phrases, many)
 
-        return meet(known).applyInPandas(by_words, schema)
+    counts = meet(dealt).applyInPandas(by_buckets, "block long, at array<int>, n array<int>")
+    full = frequent.sparkSession.sparkContext.broadcast(_full_buckets(counts, many, least))
 
-    def by_chains(key, shard: pd.DataFrame, chains: pd.DataFrame) -> pd.DataFrame:
-        """The same for a shard with its own frequent phrases."""
-        sequence = _sequence(shard) if len(shard) else np.zeros(1, np.int64)
-        number = np.full(int(max([sequence.max(), *(chains[c].max() for c in here if len(chains))])) + 1, -1, np.int64)
-        for c, w in zip(here, names):
-            number[chains[c].to_numpy()] = chains[w].to_numpy()
-        return _chained_phrases(key[0], sequence, number, _Phrases(*(chains[w].to_numpy() for w in names)), longest)
+    def by_words(key, shard: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        return _chained_phrases(key[0], *prepared(shard, other), longest, full.value)
 
-    chains = own.join(frequent.select(*names), names).select("shard", *here, *names)
-    return meet(chains).applyInPandas(by_chains, schema)
+    return meet(dealt).applyInPandas(by_words, schema)
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -361,14 +428,15 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     pairs = meet(known).applyInPandas(_summed_pairs, "w1 long, w2 long, n long")
     frequent = saved(pairs.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "frequent")
     own_pairs = meet(known).applyInPandas(_word_pairs, "shard long, a long, b long, w1 long, w2 long, n long")
-    own_triples = _extended(meet, known, own_pairs, frequent, 2, 3)
+    n_words, held = totals.agg(F.sum("n")).first()[0] or 0, [shards]
+    own_triples = _extended(meet, known, own_pairs, frequent, 2, 3, n_words, least, held)
     triples = saved(own_triples.groupBy(*GLOBAL[:3]).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "triples")
-    longer = _extended(meet, known, own_triples, triples, 3, DEPTH).groupBy(*GLOBAL).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    longer = _extended(meet, known, own_triples, triples, 3, DEPTH, n_words, least, held).groupBy(*GLOBAL).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     longer = longer.unionByName(triples.withColumns({"w4": F.lit(-1).cast("long"), "w5": F.lit(-1).cast("long")}))
     long_ids = F.filter(F.array(*GLOBAL), lambda w: w >= 0)
     candidates = frequent.select(F.array("w1", "w2").alias("ids"), F.col("n").alias("a")).unionByName(longer.select(long_ids.alias("ids"), "a"))
     candidates = saved(candidates, "candidates")
-    released(shards)
+    released(*held)
 
     # what is as frequent with one word more
     part = lambda first, size: F.slice("ids", first, size)

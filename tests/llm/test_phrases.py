@@ -99,5 +99,28 @@ def test_only_places_where_frequent_triples_chain_give_longer_phrases():
     assert {tuple(r) for r in found[["w1", "w2", "w3", "n"]].itertuples(index=False)} == {(10, 20, 30, 2)}
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_rare_triples_of_frequent_pairs_give_no_rows(spark, monkeypatch, few):
+    # any two of 40 words follow each other often, any three seldom, but for one triple in every text
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(400)) + " a b c d" for _ in range(100)]
+    made, extended = [], phrases._extended
+
+    def noted(*given):
+        made.append(extended(*given))
+        made.append(made[-1].count())
+        return made[-2]
+
+    monkeypatch.setattr(phrases, "_extended", noted)
+    monkeypatch.setattr(phrases, "FEW", few)
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3)
+    got = {tuple(r) for r in phrases.collocations(docs, least=12, top=10_000).collect()}
+    counts = Counter(tuple(w[i : i + 3]) for w in map(str.split, texts) for i in range(len(w) - 2))
+    frequent = sum(n >= 12 for n in counts.values())
+    assert got == by_hand([("en", t) for t in texts], 12, 10_000)
+    # three shards; buckets may let a few more pass
+    assert made[1] <= 3 * (frequent + 10) and len(counts) > 1_000
+
+
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], "doc_id long, lang string, text string")).collect() == []
