@@ -5,6 +5,9 @@ ngram_jaccard_join          of each group of near copies the document with the s
 benchmark_decontamination   documents that hold a benchmark item go
 secret_scan                 secrets are replaced by a mark, n_chars follows
 bpe_tokens                  digests of ids and of the decoded bytes
+
+Stages with work in Python hand few texts over at once and save its rows before they return: executors and their Python
+workers live through all stages, and what one stage has taken is there while the next one runs.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import bpe, decontaminate, jaccard, quality, secret_scan
-from fieldnotes.llm.base import row_key, saved, shared_folder
+from fieldnotes.llm.base import few_texts, row_key, saved, shared_folder
 from fieldnotes.llm.queries import vocabulary
 
 #: Ids or keys that may go to every task; more of them are joined by a shuffle.
@@ -23,8 +26,9 @@ FEW = 200_000
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.filter("keep").select(*docs.columns)
+    with few_texts(spark):
+        scored = quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+        return saved(scored.filter("keep").select(*docs.columns), "accepted")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold an item go, each for itself: rows that only share an id with one stay, rows without an id go too."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row_key())
-    leaks = saved(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
+    with few_texts(spark):
+        found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row_key())
+        leaks = saved(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
     keyed = docs.withColumn("key", row_key())
     return keyed.join(F.broadcast(leaks) if leaks.count() <= FEW else leaks, "key", "left_anti").select(*docs.columns)
 
@@ -57,8 +62,9 @@ def secrets_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs, *vocabulary())
-    return encoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
+    with few_texts(spark):
+        encoded = bpe.encode(docs, *vocabulary())
+        return saved(encoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256"), "tokens")
 
 
 STAGES = [

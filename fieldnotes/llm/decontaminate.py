@@ -31,8 +31,8 @@ BANDS = 32
 SIZES = (8, 16, 32, 64, 128)
 #: Bits of a Bloom filter: 4 MB, whatever the number of items. A full filter only lets more through.
 BLOOM_BITS = 1 << 25
-#: Shingles that are looked at together.
-TOGETHER = 1_000_000
+#: Shingles that are looked at together; some dozen numbers are held for each.
+TOGETHER = 250_000
 SALTS = 16
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD1B54A32D192ED03 >> (k % 7)) & (2**64 - 1) | 1 for k in range(BANDS)], np.uint64)
 

@@ -74,6 +74,27 @@ def test_few_texts_are_handed_over_together(spark, monkeypatch):
     assert spark.conf.get(name, None) == own
 
 
+def test_stages_do_their_work_in_python_with_few_texts(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    import corpus_pipeline
+    from fieldnotes.llm import decontaminate, quality
+
+    seen, own = [], spark.conf.get(name, None)
+    for module in (corpus_pipeline, decontaminate, quality):
+        def noted(df, what, saved=module.saved):
+            seen.append((what, int(spark.conf.get(name))))
+            return saved(df, what)
+
+        monkeypatch.setattr(module, "saved", noted)
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.benchmark_decontamination, corpus_pipeline.bpe_tokens):
+        left = stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+        assert not any(what in left for what in ("Python", "Pandas", "Arrow"))
+    assert {"paths", "accepted", "hits", "leaks", "tokens"} <= {what for what, _ in seen} and max(n for _, n in seen) <= 1_000
+    assert spark.conf.get(name, None) == own
+
+
 def test_rows_with_null_and_repeated_ids(spark):
     import corpus_pipeline
 
