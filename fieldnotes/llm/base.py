@@ -73,6 +73,19 @@ def few_texts(spark: SparkSession) -> contextlib.AbstractContextManager:
     return _setting(spark, _HANDED, str(min(own, TEXTS) if own > 0 else TEXTS))
 
 
+#: Spark's settings for the bytes up to which a table is broadcast, by its estimate and by what a shuffle has measured.
+_ESTIMATED, _MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+@contextlib.contextmanager
+def measured_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Spark broadcasts meanwhile by what it has measured alone. Its estimates go by the bytes of files, in which sparse
+    bitmaps and repeated numbers are packed, and take an array for one number."""
+    own = spark.conf.get(_MEASURED, None) or spark.conf.get(_ESTIMATED)
+    with _setting(spark, _MEASURED, own), _setting(spark, _ESTIMATED, "-1"):
+        yield
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes what saved() has written, once nothing reads it any more."""
     for table in tables:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldnotes.llm.base import SIMILAR, components, few_texts, mix, released, saved, shingle_hashes, slices
+from fieldnotes.llm.base import SIMILAR, components, few_texts, measured_broadcasts, mix, released, saved, shingle_hashes, slices
 
 #: Largest size that may count as light; documents that make a shingle frequent, and how many such are put last;
 #: shingles that are counted together; lines of lists that a task hands over together.
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 def link(docs: DataFrame, least: int = SIMILAR, key: Column | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach. With a
     key also (key, label): rows with the same label are linked, whatever their ids; sets without shingles have none."""
-    with few_texts(docs.sparkSession):  # all that Python does is saved within
+    with few_texts(docs.sparkSession), measured_broadcasts(docs.sparkSession):  # all that Python does is saved within
         return _link(docs, least, key)
 
 
@@ -253,7 +253,8 @@ def _link(docs: DataFrame, least: int, key: Column | None) -> DataFrame:
     # a class may hold a third of all rows; its one name goes to as many rows, dealt over salts
     salts = 32
     dealt = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    spread = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Spark sizes the names as if they weren't repeated, and would make the driver build a table of all of them to broadcast
+    spread = names.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     own = [] if key is None else ["key", "label"]
     return dealt.join(spread, ["class", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *own)
 

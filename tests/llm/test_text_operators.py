@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldnotes.llm import bpe, decontaminate, hmm, html_text, jaccard, license_scan, quality, quotes, secret_scan
+from fieldnotes.llm.base import measured_broadcasts
 from fieldnotes.llm.queries import vocabulary
 
 KIND = "doc_id long, text string"
@@ -115,6 +116,41 @@ def test_pairs_of_many_lists_are_made_once(spark):
                 assert (a, b) in found
 
 
+def test_jaccard_broadcasts_no_table_that_spark_only_estimates(spark, monkeypatch):
+    estimated, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    plans, saved, own = {}, jaccard.saved, (spark.conf.get(estimated, None), spark.conf.get(measured, None))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(plan(df))
+        return saved(df, name)
+
+    monkeypatch.setattr(jaccard, "saved", noted)
+    texts = ["one two three four five six", "one two three four five six seven", "q r s t u v w", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), KIND)
+    linked = jaccard.link(docs, 50)
+    assert {r.doc_id: r.component_id for r in linked.collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    # the names, once for each salt, are joined when the caller's settings hold again
+    assert "Generate" in plan(linked) and "Broadcast" not in plan(linked)
+    # bitmaps and sets of classes: files say little of their size in memory
+    assert all("Broadcast" not in p for name in ("drawn", "pairs", "found", "names") for p in plans[name])
+    assert (spark.conf.get(estimated, None), spark.conf.get(measured, None)) == own
+
+
+@pytest.mark.parametrize("own", [None, "5m", "-1"])
+def test_measured_broadcasts_keep_the_session_s_size(spark, own):
+    estimated, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(estimated)
+    try:
+        if own:
+            spark.conf.set(measured, own)
+        with measured_broadcasts(spark):
+            assert spark.conf.get(estimated) == "-1" and spark.conf.get(measured) == (own or usual)
+        assert spark.conf.get(estimated) == usual and spark.conf.get(measured, None) == own
+    finally:
+        spark.conf.unset(measured)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
